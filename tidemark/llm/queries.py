@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .fingerprints import op4_closed_syncmers
+from .line_runs import OP8_SQL, op8_line_runs
+from .near_copies import op9_jaccard_forest
 from .packing import op3_pack_best_fit
 from .private_data import op5_private_spans
 from .piece_coding import op2_sentencepiece_chunks
@@ -19,8 +21,10 @@ QUERIES = {
         op4_closed_syncmers,
         op5_private_spans,
         op7_token_planes,
+        op8_line_runs,
+        op9_jaccard_forest,
         op10_toxicity_ftrl,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_runs": OP8_SQL}
