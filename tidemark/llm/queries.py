@@ -9,6 +9,7 @@ from .packing import op3_pack_best_fit
 from .private_data import op5_private_spans
 from .piece_coding import op2_sentencepiece_chunks
 from .quality import op1_compression_bands
+from .seating import op6_pitman_yor
 from .token_files import op7_token_planes
 from .toxicity import op10_toxicity_ftrl
 
@@ -20,6 +21,7 @@ QUERIES = {
         op3_pack_best_fit,
         op4_closed_syncmers,
         op5_private_spans,
+        op6_pitman_yor,
         op7_token_planes,
         op8_line_runs,
         op9_jaccard_forest,
