@@ -38,7 +38,13 @@ class ChunkTable:
                 raise ValueError("this model's pieces cross whitespace markers")
         if [self.model.encode(x, out_type=str) for x in ("", "a", " a")] != [[], ["▁a"], self._spelt(" a")]:
             raise ValueError("this model normalises white space; chunks would not be exact")
-        self.limit, self.ids, self.spelt = limit, {}, {}
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty but for the chunk of a marker alone, which ends a text that ends in a space."""
+        marker = self.model.piece_to_id("▁")
+        self.ids, self.spelt = {"": [marker]}, {"": str(marker)}
 
     def _spelt(self, text: str) -> list[str]:
         got = self.model.encode(text, out_type=str)
@@ -59,7 +65,7 @@ class ChunkTable:
         cut = [self.chunks(x) for x in texts]
         distinct = set(chain.from_iterable(cut))
         if len(self.ids) + len(distinct) > self.limit:
-            self.ids, self.spelt = {}, {}
+            self.clear()
         new = [x for x in distinct if x not in self.ids]
         got = self.model.encode(new, num_threads=1) if new else []
         self.ids.update(zip(new, got, strict=True))
