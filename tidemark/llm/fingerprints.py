@@ -26,15 +26,21 @@ def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, most:
     # Columns named per output keep each costly array one projection's result, used by the next.
     h, m, found = (f"__{out}_{x}" for x in ("h", "m", "found"))
     df = df.withColumn(h, F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), lambda w: F.xxhash64(w)))
-    windows = F.size(h) - F.lit(s - 1)
-    starts = F.when(windows > 0, F.sequence(F.lit(1), F.greatest(windows, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(m, F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, F.lit(s)))))
+    # A hash of s pieces is that of the arrays shifted against each other; places past the end, where
+    # a shifted array has nulls, are never asked for.
+    last = F.greatest(F.size(h) - (s - 1), F.lit(0))
+    inner_hash = F.slice(h, F.lit(1), last)
+    for j in range(1, s):
+        inner_hash = F.zip_with(inner_hash, F.slice(h, F.lit(1 + j), last), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn(m, inner_hash)
 
     def closed(i: Column) -> Column:
-        return F.least(F.get(m, i - 1), F.get(m, i + (inner - 2))) <= F.array_min(F.slice(m, i, F.lit(inner)))
+        middle = [F.get(m, i + j) for j in range(inner - 2)]
+        edges = (F.get(m, i - 1), F.get(m, i + (inner - 2)))
+        return F.least(*edges) <= (F.least(*middle) if len(middle) > 1 else middle[0]) if middle else F.lit(True)
 
     def anchor(i: Column) -> Column:
-        return F.xxhash64(F.slice(h, i, F.lit(k))).bitwiseAND(F.lit(mask)).bitwiseOR((i - 1).cast("long").bitwiseAND(F.lit(~mask)))
+        return F.xxhash64(*[F.get(h, i - 1 + j) for j in range(k)]).bitwiseAND(F.lit(mask)).bitwiseOR((i - 1).cast("long").bitwiseAND(F.lit(~mask)))
 
     whole = F.size(h) - F.lit(k - 1)
     places = F.when(whole > 0, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)))).otherwise(F.array().cast("array<int>"))
