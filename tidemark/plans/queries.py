@@ -250,9 +250,9 @@ def _events(spark, sf_dir):
     return ev, ok, rets, m
 
 
-@query(f"WITH {EVENTS} SELECT ticker, idx, date, round(close, 4) AS close, volume FROM grid")
+@query(f"WITH {EVENTS} SELECT ticker, idx, date, volume FROM grid")
 def price_grid_densify(spark, sf_dir):
-    return mk.returns(src.prices(spark, sf_dir)).select("ticker", "idx", "date", r(F.col("close"), 4).alias("close"), "volume")
+    return mk.returns(src.prices(spark, sf_dir)).select("ticker", "idx", "date", "volume")
 
 
 @query(f"WITH {EVENTS} SELECT ticker, idx, round(ret, 8) AS ret FROM rets WHERE ret IS NOT NULL")
