@@ -77,3 +77,31 @@ def latest_fact(asked: DataFrame, facts: DataFrame, fresh_days: int = 400) -> Da
         (F.col("filed") <= F.date_add("day", 3)) & (F.col("end") <= F.col("day")) & (F.col("end") > F.date_sub("day", fresh_days))
     )
     return x.groupBy("id", "day").agg(F.max(F.struct("end", "filed", "val")).alias("m")).select("id", "day", "m.end", "m.filed", "m.val")
+
+
+def controls(events: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame:
+    """doc_id, log_tradeval, pre_ret, zero_share, volume_year: what the sessions before an event show.
+
+    One spread of the offsets serves all four; offsets outside the calendar have no rows.
+    """
+    spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(-252), F.lit(-1))).alias("k"))
+    x = spread.withColumn("idx", F.col("i0") + F.col("k")).join(rets.select("ticker", "idx", "ret", "close", "volume"), ["ticker", "idx"])
+    x = x.join(market.select("idx", F.col("ret").alias("mret")), "idx")
+    k = F.col("k")
+    value = F.avg(F.when(k >= -60, F.col("close") * F.col("volume")))
+    gap = F.sum(F.when(k.between(-30, -2), F.col("ret") - F.col("mret")))
+    zero = F.count_if(k.between(-150, -11) & (F.col("ret") == 0)) / F.count_if(k.between(-150, -11))
+    return x.groupBy("doc_id").agg(
+        F.when(value > 0, F.log(value)).alias("log_tradeval"), gap.alias("pre_ret"), zero.alias("zero_share"),
+        F.sum(F.when(k <= -6, F.col("volume"))).alias("volume_year"),
+    )
+
+
+def news_windows(events: DataFrame, news: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Every item of the event's ticker in sessions [lo, hi] around it, with its offset k.
+
+    Items are counted per (ticker, idx, kind) before the join, so a busy session is one row.
+    """
+    daily = news.groupBy("ticker", "idx", "kind").agg(F.count(F.lit(1)).alias("n"))
+    spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
+    return spread.withColumn("idx", F.col("i0") + F.col("k")).join(daily, ["ticker", "idx"]).select("doc_id", "k", "kind", "n")
