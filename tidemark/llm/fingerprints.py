@@ -54,18 +54,23 @@ def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, most:
 def likeness(a: str, b: str, most: int = 128, shift: float = 0.5) -> Column:
     """How alike two sketches are, 0 to 1: among the `most` least hashes of both, the share found in
     both with first places no further apart than `shift` of the largest place in either."""
-    low = F.lit((1 << POSITION_BITS) - 1)
-    place = lambda x: x.bitwiseAND(low)
+    place = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     hash_at = lambda x: F.shiftright(x, POSITION_BITS)
-    hashes = lambda c: F.transform(F.col(c), hash_at)
-    least = F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, most)
-    places = F.map_from_arrays(hashes(b), F.transform(F.col(b), place))
-    far = F.greatest(F.lit(16.0), shift * F.greatest(*[F.array_max(F.transform(F.col(c), place)) for c in (a, b)]))
-    near = F.filter(F.col(a), lambda x: F.abs(place(x) - F.try_element_at(places, hash_at(x))) <= far)
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(least, F.transform(near, hash_at))) / F.size(least)
+    both = F.sort_array(F.concat(a, b))  # a hash found in both has its two anchors side by side
+    hashes = F.array_distinct(F.transform(both, hash_at))
+    far = F.greatest(F.lit(16.0), shift * F.array_max(F.transform(both, place)))
+    # What a lambda names is evaluated for every element: bounds go in once, with the start value.
+    start = F.struct(
+        F.lit(None).cast("long").alias("last"), far.alias("far"), F.array_max(F.slice(hashes, 1, most)).alias("cut"), F.lit(0).alias("n")
     )
 
+    def step(acc: Column, x: Column) -> Column:
+        met = (hash_at(x) == hash_at(acc["last"])) & (hash_at(x) <= acc["cut"]) & (F.abs(place(x) - place(acc["last"])) <= acc["far"])
+        return F.struct(x.alias("last"), acc["far"].alias("far"), acc["cut"].alias("cut"), (acc["n"] + F.when(met, 1).otherwise(0)).alias("n"))
+
+    shared = F.aggregate(both, start, step, lambda acc: acc["n"])
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(shared / F.least(F.size(hashes), F.lit(most)))
+
 
 def spelt(sketch: str) -> Column:
     return F.array_join(F.transform(F.col(sketch), lambda x: F.lpad(F.hex(x), 16, "0")), "")
