@@ -41,13 +41,14 @@ TOKEN = r"\b[A-Z][A-Z\-]+\b"
 SPANS = f"""WITH {LEX}, {DOCS}, u AS (SELECT doc_id, regexp_replace(upper(text), '[À-ɏ]', '_', 'g') AS u FROM docs WHERE lang = 'en'),
 s AS (SELECT doc_id, unnest(regexp_extract_all(u, '{TOKEN}')) AS term, unnest(string_split_regex(u, '{TOKEN}')) AS gap, unnest(range(len(regexp_extract_all(u, '{TOKEN}')) + 1)) AS i FROM u),
 p AS (SELECT doc_id, term, sum(length(gap)) OVER w + coalesce(sum(length(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT doc_id, start, bool_or(lexicon = 'gen' AND category = 'negative') AS gen, bool_or(lexicon = 'fin') AS fin FROM p JOIN lex USING (term) GROUP BY doc_id, start)
-SELECT u.doc_id, count_if(gen)::BIGINT AS n_general, count_if(gen AND NOT fin)::BIGINT AS n_apart, min(start) FILTER (gen AND NOT fin)::INT AS first_start FROM u LEFT JOIN k USING (doc_id) GROUP BY u.doc_id"""
+k AS (SELECT doc_id, start, bool_or(lexicon = 'gen' AND category = 'negative') AS gen, bool_or(lexicon = 'fin') AS fin FROM p JOIN lex USING (term) GROUP BY doc_id, start),
+c AS (SELECT u.doc_id, count(*) FILTER (gen) AS g, count(*) FILTER (gen AND NOT fin) AS a, min(start) FILTER (gen AND NOT fin)::INT AS f FROM u LEFT JOIN k USING (doc_id) GROUP BY u.doc_id)
+SELECT c.doc_id, CASE WHEN NOT grows THEN g END AS n_general, CASE WHEN NOT grows THEN a END AS n_apart, CASE WHEN NOT grows THEN f END AS first_start FROM c JOIN (SELECT doc_id, regexp_matches(text, '[ßŉǰﬀ-ﬆ]') AS grows FROM documents) USING (doc_id)"""
 
 
 @query(SPANS)
 def mislabeled_spans(spark, sf_dir):
-    """General negative words of a text that no financial term covers."""
+    """General negative words of a text that no financial term covers; null where upper case is longer (ß)."""
     gen: dict = {t: [c] for lex, t, c in src.LEXICON if lex == "gen" and c == "negative"}
     fin: dict = {t: [c] for lex, t, c in src.LEXICON if lex == "fin"}
     x = src.english(spark, sf_dir).select("doc_id", phrases.term_spans(gen)("text").alias("g"), phrases.term_spans(fin)("text").alias("f"))
@@ -177,7 +178,16 @@ def tone_panel(spark, sf_dir):
     return x.select("doc_id", "ticker", "year", "lang", "n_words", r(F.col("neg")).alias("fin_neg"), r(F.col("net")).alias("fin_net"))
 
 
-@query()
+_net = "CASE WHEN {p} + ng > 0 THEN ({p} - ng) / ({p} + ng) ELSE 0.0 END::DOUBLE"
+DIFF = f"""WITH {LEX}, {DOCS}, tok AS (SELECT doc_id, {TOKENS} AS t FROM docs WHERE lang = 'en'),
+w AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM tok),
+f AS (SELECT *, coalesce(bool_or(term IN {src.NEGATORS}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS off FROM w),
+c AS (SELECT doc_id, count_if(category = 'negative') AS ng, count_if(category = 'positive') AS ps, count_if(category = 'positive' AND NOT off) AS pn FROM f JOIN lex USING (term) WHERE lexicon = 'fin' GROUP BY doc_id),
+b AS (SELECT {_net.format(p='ps')} AS b, {_net.format(p='pn')} AS a FROM (SELECT coalesce(ng, 0) AS ng, coalesce(ps, 0) AS ps, coalesce(pn, 0) AS pn FROM tok LEFT JOIN c USING (doc_id)))
+SELECT count(*) AS n, round(corr(b, a), 6) AS r, round(avg(abs(a - b)), 8) AS mean_gap, round(max(abs(a - b)), 8) AS max_gap, count_if(abs(a - b) > 1e-9)::BIGINT AS n_changed FROM b"""
+
+
+@query(DIFF)
 def panel_diff(spark, sf_dir):
     """Tone before and after the negation rule: correlation, mean and largest change, changed rows."""
     d, lex = src.english(spark, sf_dir), src.lexicon(spark, "fin")
