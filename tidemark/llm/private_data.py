@@ -38,13 +38,13 @@ ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "io", "de", "fr", "es",
 
 #: Candidates beyond the base: kind and a pattern that is broad on purpose. The votes decide.
 BROAD = (
-    ("email", "@", re.compile(r"(?<![\w.+%-])[\w.+%-]++ ?(?:\[at\]|\(at\)|@) ?[\w-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[\w-]+)+")),
+    ("email", "[at]", re.compile(r"(?<![\w.+%-])[\w.+%-]++ ?(?:\[at\]|\(at\)|@) ?[\w-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[\w-]+)+")),
     ("email", "at", re.compile(r"(?<![\w.+%-])[\w.+%-]++ ?(?:\[at\]|\(at\)| at ) ?[\w-]+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[\w-]+)+", re.I)),
     ("phone", "0", re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")),
     ("card", "0", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){11,18}(?![\w-])")),
     ("ip", ":", re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])")),
     ("secret", "=", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[\w+/.-]{6,}[\"']?")),
-    ("secret", "0", re.compile(r"(?<![\w+/=-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,128}(?![\w+/=-])")),
+    ("secret", "0", re.compile(r"(?<![\w+/=-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}+(?![\w+/=-])")),
 )
 
 SECRET_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "xoxb-", "AIza", "eyJ")
@@ -100,10 +100,14 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     """Spans of the broad patterns that touch no base span and no earlier candidate."""
     digit, found = DIGIT.search(text) is not None, []
     lowered = None
+    address = "@" in text or "[at]" in text or "(at)" in text
     for kind, needs, pattern in BROAD:
         if needs == "0":
             if not digit:
                 continue
+        elif needs == "[at]":
+            if not address:
+                continue
         elif needs == "at":
             lowered = text.lower() if lowered is None else lowered
             if "dot" not in lowered:
