@@ -12,13 +12,13 @@ PIECE = "[^\\x20\\x09-\\x0D]{1,32}"
 POSITION_BITS = 24
 
 
-def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, most: int = 128) -> DataFrame:
+def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> DataFrame:
     """`df` with array<long> `out`: the anchors of `text`, ascending.
 
     A window of k pieces is a closed syncmer if the least hash among its inner windows of s pieces
     lies at the first or the last place: a property of the window alone, so that equal passages give
     equal anchors wherever they stand. An anchor is 40 bits of the window's hash over 24 bits of
-    its first position. The `most` least hashes make the sketch, each hash once, at its first place.
+    its first position. All anchors make the sketch, each hash once, at its first place.
     A text without any syncmer, such as one of fewer than k pieces, has one anchor, its own hash.
     """
     inner = k - s + 1
@@ -47,29 +47,27 @@ def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, most:
     df = df.withColumn(found, F.sort_array(F.transform(F.filter(places, closed), anchor)))
     hash_at = lambda x: F.shiftright(x, POSITION_BITS)
     single = F.filter(F.col(found), lambda x, j: (j == 0) | (hash_at(x) != hash_at(F.get(found, j - 1))))
-    sketch = F.when(F.size(found) > 0, F.slice(single, 1, most)).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(mask))))
+    sketch = F.when(F.size(found) > 0, single).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(mask))))
     return df.withColumn(out, sketch).drop(h, m, found)
 
 
-def likeness(a: str, b: str, most: int = 128, shift: float = 0.5) -> Column:
-    """How alike two sketches are, 0 to 1: among the `most` least hashes of both, the share found in
-    both with first places no further apart than `shift` of the largest place in either."""
+def likeness(a: str, b: str, slack: int = 16) -> Column:
+    """How alike two sketches are, 0 to 1: among the hashes of both, the share found in both with
+    first places no further apart than the texts' lengths, told by the largest places, or `slack`."""
     place = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     hash_at = lambda x: F.shiftright(x, POSITION_BITS)
     both = F.sort_array(F.concat(a, b))  # a hash found in both has its two anchors side by side
-    hashes = F.array_distinct(F.transform(both, hash_at))
-    far = F.greatest(F.lit(16.0), shift * F.array_max(F.transform(both, place)))
+    length = lambda x: F.array_max(F.transform(F.col(x), place))
+    far = F.greatest(F.lit(slack).cast("long"), F.abs(length(a) - length(b)))
     # What a lambda names is evaluated for every element: bounds go in once, with the start value.
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), far.alias("far"), F.array_max(F.slice(hashes, 1, most)).alias("cut"), F.lit(0).alias("n")
-    )
+    start = F.struct(F.lit(None).cast("long").alias("last"), far.alias("far"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        met = (hash_at(x) == hash_at(acc["last"])) & (hash_at(x) <= acc["cut"]) & (F.abs(place(x) - place(acc["last"])) <= acc["far"])
-        return F.struct(x.alias("last"), acc["far"].alias("far"), acc["cut"].alias("cut"), (acc["n"] + F.when(met, 1).otherwise(0)).alias("n"))
+        met = (hash_at(x) == hash_at(acc["last"])) & (F.abs(place(x) - place(acc["last"])) <= acc["far"])
+        return F.struct(x.alias("last"), acc["far"].alias("far"), (acc["n"] + F.when(met, 1).otherwise(0)).alias("n"))
 
     shared = F.aggregate(both, start, step, lambda acc: acc["n"])
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(shared / F.least(F.size(hashes), F.lit(most)))
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(shared / F.size(F.array_union(F.transform(F.col(a), hash_at), F.transform(F.col(b), hash_at))))
 
 
 def spelt(sketch: str) -> Column:
@@ -114,7 +112,7 @@ def with_next(docs: DataFrame, docs_per_bucket: int = 500, most_buckets: int = 6
     return both, Window.partitionBy("bucket").orderBy("ghost", "doc_id", "tie")
 
 
-def fingerprint(docs: DataFrame, k: int = 5, s: int = 2, most: int = 128) -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = 5, s: int = 2) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty. Texts without pieces, empty ones too, share one fingerprint and are wholly
@@ -123,20 +121,20 @@ def fingerprint(docs: DataFrame, k: int = 5, s: int = 2, most: int = 128) -> Dat
     """
     rows, neighbours = with_next(docs)
     rows = rows.withColumn("next_text", F.lead("text").over(neighbours))
-    rows = add_sketch(rows, "text", "sketch", k, s, most)
+    rows = add_sketch(rows, "text", "sketch", k, s)
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(neighbours)).where(~F.col("ghost"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.left("text", F.length("text") - quarter), F.left("next_text", quarter))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    rows = add_sketch(rows, "edited", "edited_sketch", k, s, most)
+    rows = add_sketch(rows, "edited", "edited_sketch", k, s)
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         spelt("sketch").alias("fingerprint"),
         spelt("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch", most).alias("near_edited"),
-        likeness("sketch", "next_sketch", most).alias("near_next"),
+        likeness("sketch", "edited_sketch").alias("near_edited"),
+        likeness("sketch", "next_sketch").alias("near_next"),
     )
 
 
