@@ -20,7 +20,8 @@ class Bands:
     """Limits on bytes / zstandard-compressed bytes, by the length of what is compressed.
 
     `most` and `least` are (bytes, ratio) corners, joined by lines over the logarithm of the length
-    and level outside: short texts compress less, so their limits lie lower. A ratio above `most`
+    and level outside: short texts compress less, so their limits lie lower. Past its last corner
+    `most` goes on rising as between its last two, as whole ratios do with length. A ratio above it
     means repetition (boilerplate, symbol runs), one below `least` text without a language's
     redundancy (keys, encoded bytes). A document fails by its whole ratio, or if over `bad_share`
     of its chunks lie outside. The corners were set from rows with a quality label: about 0.05 above
@@ -36,7 +37,9 @@ class Bands:
     least: tuple[tuple[int, float], ...] = ((255, 0.0), (256, 1.15), (512, 1.25), (1024, 1.4), (4096, 1.6), (16384, 1.7))
 
     def outside(self, ratio: float, size: int) -> bool:
-        return not _at(self.least, size) <= ratio <= _at(self.most, size)
+        (a, low), (b, high) = self.most[-2:]
+        beyond = max(0.0, np.log2(max(1, size) / b)) * (high - low) / np.log2(b / a)
+        return not _at(self.least, size) <= ratio <= _at(self.most, size) + beyond
 
 
 def _at(corners: tuple[tuple[int, float], ...], size: int) -> float:
