@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_text, mix, word_hashes, words, written
+from .common import documents, map_text, mix, tasks, word_hashes, words, written
 from .graph import components
 
 
@@ -18,8 +18,11 @@ from .graph import components
 class Forest:
     """shingle: words per n-gram; least: the Jaccard similarity of a link; trees and deepest: the
     forest's prefix tries; recall: the chance wanted of a pair at `least` to meet in some tree;
-    plausible: signatures' agreement below which a meeting is taken as chance; block: most sets on
-    a side of a verification task."""
+    plausible: signatures' agreement below which a meeting is taken as chance; sure: the agreement
+    that a pair at `least` all but surely reaches (128 of 160 bytes expected, 100 asked); block: most
+    sets on a side of a verification task; node: most members of a trie node compared all with all;
+    splits: functions by which a larger node's members are dealt to smaller ones; levels: most such
+    splits of a node."""
 
     shingle: int = 5
     least: float = 0.8
@@ -27,7 +30,11 @@ class Forest:
     deepest: int = 8
     recall: float = 0.99999
     plausible: float = 0.4
+    sure: float = 0.625
     block: int = 512
+    node: int = 1024
+    splits: int = 12
+    levels: int = 6
 
     @property
     def depth(self) -> int:
@@ -106,6 +113,69 @@ def agreement(pairs: DataFrame, width: int) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, agree double")
 
 
+def node_ties(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (i, j), j < i, that connect all of a node's members whose signatures agree in `least` or more."""
+    out, need, group = [], least * sign.shape[1], np.arange(len(sign))
+    for j in range(len(sign) - 1):
+        hits = j + 1 + np.flatnonzero(np.count_nonzero(sign[j + 1 :] == sign[j], axis=1) >= need)
+        fresh, at = np.unique(group[hits], return_index=True)
+        new = fresh != group[j]
+        if new.any():
+            out += [(int(i), j) for i in hits[at[new]]]
+            group[np.isin(group, fresh[new])] = group[j]
+    return out
+
+
+def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
+    """a, b: ties among the members (prefix, rep) of the tries' nodes; signed: rep, signature.
+
+    A node's members are tied to its lead where they agree plausibly. Two members that agree in
+    p.sure differ in their agreement with the lead by at most 1 - p.sure; so where one agrees with
+    it in `near` or more, both are tied to it. The members below that are compared all with all; a
+    node left with more than p.node of them is dealt to smaller ones by the values of p.splits
+    functions, where a pair at p.least stays together but for (1 - p.least) ** p.splits, and led anew.
+    """
+    width, near, found = p.trees * p.depth, p.plausible + 1 - p.sure, []
+    n_buckets = tasks(hung, 64)
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, rep = table["prefix"].to_numpy(), table["rep"].to_numpy()
+        sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, width)
+        order = np.lexsort((rep, key))
+        key, rep, sign = key[order], rep[order], sign[order]
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        out, start = set(), 0
+        for end in ends.tolist():
+            out.update((int(rep[start + i]), int(rep[start + j])) for i, j in node_ties(sign[start:end], p.sure))
+            start = end
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    for level in range(p.levels + 1):
+        rank = F.xxhash64("prefix", "rep") if level else F.col("rep")
+        lead = hung.groupBy("prefix").agg(F.min(F.struct(rank.alias("rank"), "rep"))["rep"].alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
+        led = written(hung.join(lead, "prefix").where("rep <> lead").select("prefix", "met", F.col("rep").alias("a"), F.col("lead").alias("b")), "near-led")
+        pairs = led.select("a", "b").distinct().join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
+        agreed = written(agreement(pairs, width), "near-agreed")
+        found.append(agreed.where(F.col("agree") >= p.plausible).select("a", "b"))
+        rest = led.where("met > 2").join(agreed.where(F.col("agree") < near), ["a", "b"]).select("prefix", F.col("a").alias("rep"))
+        sizes = rest.groupBy("prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+        rest = written(rest.join(sizes, "prefix"), "near-rest")
+        small = rest if level == p.levels else rest.where(F.col("met") <= p.node)
+        bucket = F.pmod(F.xxhash64("prefix"), F.lit(n_buckets)).alias("bucket")
+        dealt = small.select(bucket, "prefix", "rep").join(signed, "rep").groupBy("bucket")
+        found.append(written(dealt.applyInArrow(compare, "a long, b long"), "near-compared"))
+        large = rest.where(F.col("met") > p.node)
+        if level == p.levels or not large.take(1):
+            break
+        at = [(level * p.splits + i) * 7 % width for i in range(p.splits)]
+        keys = F.array(*[F.xxhash64("prefix", F.lit(level), F.lit(i), F.substring("signature", i + 1, 1)) for i in at])
+        hung = written(large.select("prefix", "rep").join(signed, "rep").select("rep", F.explode(keys).alias("prefix")), "near-nodes")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of each left with each right set (or left, if None), by matrix
     products over slices of the shingles that occur in two sets or more."""
@@ -172,7 +242,7 @@ def near_copies(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     more with this one's; class_id is the least doc_id of all documents connected by links; copy_id
     the least doc_id with an equal set. Equal sets are one node from the start, and only nodes are
     compared; so groups of copies are never paired. Candidates meet in a tree of the forest; those
-    whose signatures agree plausibly join to components, and all pairs inside a component are
+    whose signatures agree plausibly with a node's first, or surely with each other, join to components, and all pairs inside a component are
     verified exactly, large components in pairs of blocks. Only counts and one edge per node leave
     a verification task.
 
@@ -186,15 +256,10 @@ def near_copies(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     classes = written(keyed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
     reps = keyed.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
     reps = reps.select(F.col("doc_id").alias("rep"), "prefixes", "signature")
-    # The tries in sorted order: equal prefixes meet, and each node is tied to its prefix's first.
-    hung = reps.select("rep", F.explode("prefixes").alias("prefix"))
-    first = hung.groupBy("prefix").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    ties = hung.join(first, "prefix").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    ties = written(ties, "near-ties")
+    # The tries in sorted order: equal prefixes meet.
+    hung = reps.select("rep", F.explode("prefixes").alias("prefix")).distinct()
     signed = reps.select("rep", "signature").dropDuplicates(["rep"])
-    pairs = ties.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
-    plausible = agreement(pairs, p.trees * p.depth).where(F.col("agree") >= p.plausible)
-    groups = written(components(plausible, "a", "b"), "near-components")
+    groups = written(components(met_ties(hung, signed, p), "a", "b"), "near-components")
 
     checked = written(_verify(docs, groups, classes, p), "near-checked")
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"))
