@@ -76,12 +76,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, one machine), a folder of /tmp serves.
+    Where the setting is absent a folder of /tmp serves, on a local master only.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-checkpoints"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "/tmp/tidemark-checkpoints"
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
