@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more leave the texts; every document stays."""
-    return line_runs.delete_line_runs(docs).select(*docs.columns)
+    """Later copies of line runs of 50 words or more leave the texts; a document whose every word
+    stands in such a copy goes, so that no emptied text is packed."""
+    return line_runs.drop_emptied(docs)
 
 
 def near_copy_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
