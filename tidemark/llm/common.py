@@ -108,3 +108,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def tasks(df: DataFrame, least: int = 1) -> int:
     """The session's shuffle partition count, for repartition calls that take a number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame, share: int = 512, least: int = 1000) -> DataFrame:
+    """Inner join of `rows` with `table`, which has one row per key, so that no hot key meets one task.
+
+    counted: a written table with the rows' keys. Keys with more than one in `share` of its rows, and
+    more than `least`, are at most `share` many; their table rows are broadcast, the others shuffled.
+    """
+    limit = max(least, counted.count() // share)
+    hot = [r[0] for r in counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    here = F.col(key).isin(hot)
+    return rows.where(here).join(F.broadcast(table.where(here)), key).unionByName(rows.where(~here).join(table.where(~here), key))

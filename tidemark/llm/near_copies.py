@@ -1,4 +1,12 @@
-"""Operator 9: similarity join on word n-gram Jaccard by a MinHash LSH forest and exact verification."""
+"""Operator 9: similarity join on word n-gram Jaccard by a MinHash LSH forest and exact verification.
+
+A text's label in a tree is a string of `deepest` bytes, one per hash function: the last byte of its
+least value over the shingles. The labels of a tree, in order, are a prefix trie: a node of depth d is
+the texts whose labels agree in d bytes. Matching starts with whole labels. What meets there tells, by
+the agreement of its signatures, how similar linked texts are in these data, and so which share of the
+links would meet in some tree at each depth; matched prefixes are shortened until that share reaches
+`recall` (`chosen_depth`), at most to the depth that serves pairs which are all just at `least`.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_text, mix, tasks, word_hashes, words, written
+from .common import documents, fresh, join_spread, map_text, mix, tasks, word_hashes, words, written
 from .graph import components
 
 
 @dataclass(frozen=True)
 class Forest:
     """shingle: words per n-gram; least: the Jaccard similarity of a link; trees and deepest: the
-    forest's prefix tries; recall: the chance wanted of a pair at `least` to meet in some tree;
+    forest's prefix tries; recall: the share of links wanted to meet in some tree;
     plausible: signatures' agreement below which a meeting is taken as chance; sure: the agreement
-    that a pair at `least` all but surely reaches (128 of 160 bytes expected, 100 asked); block: most
+    that a pair at `least` all but surely reaches (0.8 of 256 bytes expected); block: most
     sets on a side of a verification task; node: most members of a trie node compared all with all;
     splits: functions by which a larger node's members are dealt to smaller ones; levels: most such
     splits of a node."""
@@ -36,11 +44,15 @@ class Forest:
     splits: int = 12
     levels: int = 6
 
+    def met(self, similarity, depth: int):
+        """The chance that a pair of that similarity shares a prefix of `depth` in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
+
     @property
     def depth(self) -> int:
-        """The prefix length of a match: from the deepest shortened until the recall is reached."""
+        """The depth at which the recall is reached if all links are just at `least`."""
         for d in range(self.deepest, 1, -1):
-            if 1 - (1 - self.least**d) ** self.trees >= self.recall:
+            if self.met(self.least, d) >= self.recall:
                 return d
         return 1
 
@@ -76,31 +88,61 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, p: Forest) -> DataFrame:
-    """doc_id, n (shingles), set_a, set_b (a digest of the set), prefixes (array, one per tree),
-    signature (a byte per function). Texts without words have n = 0 and no prefixes."""
-    a, b = permutations(p.trees * p.depth)
-    salt = np.arange(p.trees, dtype=np.uint64)
+    """doc_id, n (shingles), set_a, set_b (a digest of the set), signature (the labels of all trees,
+    p.deepest bytes each). Texts without words have n = 0."""
+    a, b = permutations(p.trees * p.deepest)
 
     def compute(texts: list[str]) -> dict[str, object]:
-        rows: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "prefixes", "signature")}
+        rows: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "signature")}
         for text in texts:
             s = shingles(text, p.shingle)
-            least = signature(s, a, b)
-            key = salt.copy()
-            for column in least.reshape(p.trees, p.depth).T:
-                key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + column)
             m = mix(s)
             rows["n"].append(len(s))
             rows["set_a"].append(int((m.sum(dtype=np.uint64)).view(np.int64)))
             rows["set_b"].append(int((np.bitwise_xor.reduce(mix(m)) if len(m) else np.uint64(0)).view(np.int64)))
-            rows["prefixes"].append(key.view(np.int64) if len(s) else [])
-            rows["signature"].append(least.astype(np.uint8).tobytes())
+            rows["signature"].append(signature(s, a, b).astype(np.uint8).tobytes())
         return rows
 
-    fields = [("n", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), ("prefixes", T.ArrayType(T.LongType())), ("signature", T.BinaryType())]
+    fields = [("n", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), ("signature", T.BinaryType())]
     return map_text(docs, compute, fields)
 
 
+def trie_nodes(signed: DataFrame, depth: int, p: Forest) -> DataFrame:
+    """rep, prefix: each text's node of that depth in every tree; signed: rep, signature."""
+    labels = [F.xxhash64(F.lit(t), F.substring("signature", t * p.deepest + 1, depth)) for t in range(p.trees)]
+    return signed.select("rep", F.explode(F.array(*labels)).alias("prefix"))
+
+
+def chosen_depth(signed: DataFrame, p: Forest) -> int:
+    """The greatest depth at which p.recall of the links meet, as whole labels show them.
+
+    Each text that shares a whole label with others is held against the node's least one. A tie whose
+    signatures agree as a link's would counts for as many links as whole labels miss for each they
+    find. Without such ties the depth is p.depth.
+    """
+    if p.depth == p.deepest:
+        return p.depth
+    width = p.trees * p.deepest
+    hung = trie_nodes(signed, p.deepest, p)
+    lead = hung.groupBy("prefix").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    pairs = written(hung.join(lead, "prefix").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "near-whole")
+    agreed = agreement(with_signatures(pairs, signed), width).groupBy("agree").agg(F.count(F.lit(1)).alias("n"))
+    seen = agreed.where(F.col("agree") >= p.least - 0.05).toPandas()  # a row per share of equal bytes: width + 1 at most
+    if not len(seen):
+        return p.depth
+    similarity = np.clip(seen["agree"].to_numpy(), p.least, 1)
+    links = seen["n"].to_numpy() / p.met(similarity, p.deepest)
+    for d in range(p.deepest, p.depth, -1):
+        if (links * p.met(similarity, d)).sum() >= p.recall * links.sum():
+            return d
+    return p.depth
+
+
+def with_signatures(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Written pairs (a, b) with sig_a, sig_b; a text that leads many others is joined by broadcast."""
+    return join_spread(pairs.join(signed.toDF("a", "sig_a"), "a"), signed.toDF("b", "sig_b"), "b", pairs)
+
+
 def agreement(pairs: DataFrame, width: int) -> DataFrame:
     """pairs (a, b, sig_a, sig_b) with `agree`, the share of equal signature bytes."""
 
@@ -135,7 +177,7 @@ def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
     node left with more than p.node of them is dealt to smaller ones by the values of p.splits
     functions, where a pair at p.least stays together but for (1 - p.least) ** p.splits, and led anew.
     """
-    width, near, found = p.trees * p.depth, p.plausible + 1 - p.sure, []
+    width, near, found = p.trees * p.deepest, p.plausible + 1 - p.sure, []
     n_buckets = tasks(hung, 64)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -154,8 +196,8 @@ def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
         rank = F.xxhash64("prefix", "rep") if level else F.col("rep")
         lead = hung.groupBy("prefix").agg(F.min(F.struct(rank.alias("rank"), "rep"))["rep"].alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
         led = written(hung.join(lead, "prefix").where("rep <> lead").select("prefix", "met", F.col("rep").alias("a"), F.col("lead").alias("b")), "near-led")
-        pairs = led.select("a", "b").distinct().join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
-        agreed = written(agreement(pairs, width), "near-agreed")
+        pairs = written(led.select("a", "b").distinct(), "near-pairs")
+        agreed = written(agreement(with_signatures(pairs, signed), width), "near-agreed")
         found.append(agreed.where(F.col("agree") >= p.plausible).select("a", "b"))
         rest = led.where("met > 2").join(agreed.where(F.col("agree") < near), ["a", "b"]).select("prefix", F.col("a").alias("rep"))
         sizes = rest.groupBy("prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
@@ -255,10 +297,8 @@ def near_copies(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     key = ["set_a", "set_b", "n"]
     classes = written(keyed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
     reps = keyed.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "prefixes", "signature")
-    # The tries in sorted order: equal prefixes meet.
-    hung = reps.select("rep", F.explode("prefixes").alias("prefix")).distinct()
-    signed = reps.select("rep", "signature").dropDuplicates(["rep"])
+    signed = written(reps.select(F.col("doc_id").alias("rep"), "signature").dropDuplicates(["rep"]), "near-signed")
+    hung = trie_nodes(signed, chosen_depth(signed, p), p)
     groups = written(components(met_ties(hung, signed, p), "a", "b"), "near-components")
 
     checked = written(_verify(docs, groups, classes, p), "near-checked")
@@ -329,8 +369,9 @@ def _verify(docs: DataFrame, groups: DataFrame, classes: DataFrame, p: Forest) -
 
 def keep_one(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     """`docs` without the documents of a class other than its least doc_id; all columns stay."""
-    gone = near_copies(docs, p).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = near_copies(docs, p).where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op9_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
