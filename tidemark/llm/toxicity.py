@@ -104,6 +104,7 @@ def score_toxicity(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits
     """doc_id, held_out, score, predicted of every document, from the whole text alone.
 
     Null and empty texts score by the bias. A null doc_id is never held out. Repeated rows stay.
+    Without any weight, as nothing was learnt, every score is 0: nothing is called toxic.
     The broadcast weights are bounded by 2**bits and L1-sparse.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -112,7 +113,7 @@ def score_toxicity(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits
         dense = np.zeros(1 << bits)
         dense[sent.value[0]] = sent.value[1]
         s = np.array([dense[features(x, bits)].sum() for x in texts])
-        score = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+        score = 1 / (1 + np.exp(-np.clip(s, -35, 35))) if len(sent.value[0]) else np.zeros(len(texts))
         return {"score": score, "predicted": (score >= threshold).astype(np.int32)}
 
     scored = map_text(docs, compute, [("score", T.DoubleType()), ("predicted", T.IntegerType())])
