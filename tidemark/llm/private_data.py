@@ -98,8 +98,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of the broad patterns that touch no base span and no earlier candidate."""
-    digit, found = DIGIT.search(text) is not None, []
-    lowered = None
+    digit, found, lowered = DIGIT.search(text) is not None, [], None
+    taken = bytearray(len(text))
+    for s, e, _ in base:
+        taken[s:e] = b"\1" * (e - s)
     address = "@" in text or "[at]" in text or "(at)" in text
     for kind, needs, pattern in BROAD:
         if needs == "0":
@@ -115,8 +117,9 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         elif needs not in text and not (needs == "=" and ":" in text):
             continue
         for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, e, _ in base + found):
+            if taken.find(1, m.start(), m.end()) < 0:
                 found.append((m.start(), m.end(), kind))
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     return sorted(found)
 
 
