@@ -18,7 +18,7 @@ def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> Da
     A window of k pieces is a closed syncmer if the least hash among its inner windows of s pieces
     lies at the first or the last place: a property of the window alone, so that equal passages give
     equal anchors wherever they stand. An anchor is 40 bits of the window's hash over 24 bits of
-    its first position. All anchors make the sketch, each hash once, at its first place.
+    its first position; places past 2**24 - 1 count as that. All anchors make the sketch, each hash once, at its first place.
     A text without any syncmer, such as one of fewer than k pieces, has one anchor, its own hash.
     """
     inner = k - s + 1
@@ -40,7 +40,7 @@ def add_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> Da
         return F.least(*edges) <= (F.least(*middle) if len(middle) > 1 else middle[0]) if middle else F.lit(True)
 
     def anchor(i: Column) -> Column:
-        return F.xxhash64(*[F.get(h, i - 1 + j) for j in range(k)]).bitwiseAND(F.lit(mask)).bitwiseOR((i - 1).cast("long").bitwiseAND(F.lit(~mask)))
+        return F.xxhash64(*[F.get(h, i - 1 + j) for j in range(k)]).bitwiseAND(F.lit(mask)).bitwiseOR(F.least((i - 1).cast("long"), F.lit(~mask)))
 
     whole = F.size(h) - F.lit(k - 1)
     places = F.when(whole > 0, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)))).otherwise(F.array().cast("array<int>"))
