@@ -77,9 +77,10 @@ def pack(
     end_id: int = 1,
     tokenizer: str | None = None,
     docs_per_shard: int = 1024,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (binary, little-endian uint32),
-    sequence_id, offset.
+    """One row per piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset and, unless
+    with_ids is false, ids (binary, little-endian uint32), which then need not be shuffled.
 
     A document is its ids and `end_id`. It is cut into full windows of `size` ids, which are
     sequences by themselves, and a rest, which best fit decreasing places. Documents are dealt by a
@@ -94,48 +95,47 @@ def pack(
     path = tokenizer or default_path()
     shards = max(1, -(-docs.count() // docs_per_shard))
     id_type = docs.schema["doc_id"].dataType
-    cut = f"doc_id {id_type.simpleString()}, shard long, start long, doc_tokens long, ids binary"
+    cut = f"doc_id {id_type.simpleString()}, shard long, start long, doc_tokens long, length long, ids_crc32 long"
+    cut += ", ids binary" if with_ids else ""
     id_arrow = _arrow(id_type)
 
     def pieces(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out = ([], [], [], [], [])
+                out = ([], [], [], [], [], [], [])
                 for doc, shard, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     ids = np.append(encode(text or "", path), np.array([end_id], "<u4"))
                     for start in range(0, len(ids), size):
-                        for column, x in zip(out, (doc, shard, start, len(ids), ids[start : start + size].tobytes()), strict=True):
+                        part = ids[start : start + size]
+                        for column, x in zip(out, (doc, shard, start, len(ids), len(part), zlib.crc32(part), part.tobytes()), strict=True):
                             column.append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], id_arrow), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary())],
-                    names=["doc_id", "shard", "start", "doc_tokens", "ids"],
-                )
+                names = ["doc_id", "shard", "start", "doc_tokens", "length", "ids_crc32"]
+                arrays = [pa.array(out[0], id_arrow), *(pa.array(c, pa.int64()) for c in out[1:6])]
+                if with_ids:
+                    names, arrays = [*names, "ids"], [*arrays, pa.array(out[6], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def place(table: pa.Table) -> pa.Table:
         # Within a shard rows come in any order; a fixed one makes a recomputed task place alike.
         table = table.combine_chunks()
-        order = np.lexsort((table["start"].to_numpy(), [zlib.crc32(repr(x).encode()) for x in table["doc_id"].to_pylist()]))
+        known = [zlib.crc32(repr(x).encode()) for x in table["doc_id"].to_pylist()]
+        order = np.lexsort((table["ids_crc32"].to_numpy(), table["doc_tokens"].to_numpy(), table["start"].to_numpy(), known))
         table = table.take(pa.array(order))
-        lengths = np.array([len(x) // 4 for x in table["ids"].to_pylist()], np.int64)
-        window, offset = best_fit_decreasing(lengths, size)
+        window, offset = best_fit_decreasing(table["length"].to_numpy(), size)
         shard = table["shard"].to_numpy()
-        return pa.table(
-            {
-                "doc_id": table["doc_id"], "start": table["start"], "length": pa.array(lengths),
-                "doc_tokens": table["doc_tokens"], "ids": table["ids"],
-                "sequence_id": pa.array((shard << np.int64(32)) + window), "offset": pa.array(offset),
-            }
-        )
+        placed = {"sequence_id": pa.array((shard << np.int64(32)) + window), "offset": pa.array(offset)}
+        return pa.table({c: table[c] for c in ("doc_id", "start", "length", "doc_tokens", "ids_crc32")} | placed | ({"ids": table["ids"]} if with_ids else {}))
 
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    out = f"doc_id {id_type.simpleString()}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
+    out = f"doc_id {id_type.simpleString()}, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, offset long"
+    out += ", ids binary" if with_ids else ""
     return docs.select("doc_id", shard.alias("shard"), "text").mapInArrow(pieces, cut).groupBy("shard").applyInArrow(place, out)
 
 
 def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(documents(spark, sf_dir)))
+    return digest(pack(documents(spark, sf_dir), with_ids=False))
