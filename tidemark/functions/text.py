@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .html import drop_numeric_tables  # noqa: F401
+from .unicode import normal
+
 
 def tokens_en(text: Column) -> Column:
     """Upper-case words of two letters or more, hyphens inside; Unicode word bounds."""
@@ -28,58 +31,58 @@ def net(pos: Column, neg: Column) -> Column:
     return F.when(pos + neg > 0, (pos - neg) / (pos + neg)).otherwise(F.lit(0.0))
 
 
-def strip_html(html: Column) -> Column:
-    """Text of an HTML page: scripts, comments and tables of numbers go, inline tags join, block tags break lines."""
-    x = F.regexp_replace(drop_numeric_tables(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)</?(?:span|font|b|i|u|em|strong|a|sup|sub|small)\b[^>]*>", "")
-    x = F.regexp_replace(x, r"(?i)</?(?:p|div|br|tr|li|h[1-6]|table|ul|ol|section|article)\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(x), r"[ \t\x{00A0}]+", " "), r"\n{3,}", "\n\n"))
-
-
 def sentences(text: Column, least: int = 8, most: int = 80) -> Column:
     """Sentences of `least` to `most` words, in order."""
     parts = F.split(text, r"(?<=[.!?])\s+")
     return F.filter(parts, lambda s: F.regexp_count(s, F.lit(r"\S+")).between(least, most))
 
 
-def drop_numeric_tables(html: Column, limit: float = 0.25) -> Column:
-    """html without the tables of which digits are over `limit` of the visible, non-blank characters."""
-    pieces = F.split(html, r"(?i)(?=<table\b)|(?<=</table>)")
+#: The accented letters of Vietnamese, by which a page's language is told.
+VIETNAMESE = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
 
-    def keep(piece: Column) -> Column:
-        shown = F.regexp_replace(F.regexp_replace(piece, r"<[^>]+>", " "), r"(?U)\s+", "")
-        digits = F.length(shown) - F.length(F.regexp_replace(shown, "[0-9]", ""))
-        return ~(piece.rlike(r"(?is)^<table\b.*</table>$") & (digits > F.length(shown) * limit))
 
-    return F.array_join(F.filter(pieces, keep), "")
-
-
-def page_gate(text: Column, accented: str = "[à-ỹđ]", least: int = 80, odd_share: float = 0.02) -> tuple[Column, Column]:
+def page_gate(text: Column, accented: str = f"[{VIETNAMESE}]", least: int = 80, odd_share: float = 0.02) -> tuple[Column, Column]:
     """(state, accent share): `empty` under `least` letters, `garbled` with many odd characters, else `ok`."""
 
     def count(pattern: str, of: Column) -> Column:
         return F.length(of) - F.length(F.regexp_replace(of, pattern, ""))
 
-    low = F.lower(F.coalesce(text, F.lit("")))
+    whole = F.coalesce(text, F.lit(""))
+    low = F.lower(whole)
     letters = count(r"\p{L}", low)
-    odd = count(r"[\x{A0}-\x{BF}\x{E000}-\x{F8FF}]", low) + 5 * F.regexp_count(low, F.lit(r"\(cid:"))
-    state = F.when(letters < least, "empty").when(odd > odd_share * F.length(low), "garbled").otherwise("ok")
+    odd = count(r"[\x{A0}-\x{BF}\x{E000}-\x{F8FF}]", whole) + 5 * F.regexp_count(whole, F.lit(r"\(cid:"))
+    state = F.when(letters < least, "empty").when(odd > odd_share * F.length(whole), "garbled").otherwise("ok")
     return state, F.when(letters < least, 0.0).otherwise(count(accented, low) / letters)
 
 
+def character_error_rate(found: Column, wanted: Column) -> Column:
+    """Edit distance over the characters wanted (one at least), both in normal form. Nulls are empty."""
+    a, b = (normal(F.coalesce(x, F.lit(""))) for x in (found, wanted))
+    return F.levenshtein(a, b) / F.greatest(F.length(b), F.lit(1))
+
+
+#: Characters that can name words: code points from 2**16 on.
+MOST_WORDS = 0x10FFFF - 0xFFFF
+
+
 def word_error_rate(found: Column, wanted: Column) -> Column:
-    """Edit distance in words over the words wanted (one at least).
+    """Edit distance in words over the words wanted (one at least), both in normal form. Nulls are empty.
 
-    Each distinct word of the pair is named by one character, so that the built-in distance counts words.
+    Each distinct word of the pair is named by one character, so that the built-in distance counts
+    words; a pair of more distinct words than there are characters for raises an error.
     """
-    a, b = F.split(F.trim(found), r"\s+"), F.split(F.trim(wanted), r"\s+")
+    a, b = (F.array_remove(F.split(normal(F.coalesce(x, F.lit(""))), " "), "") for x in (found, wanted))
+    # One lambda names both arrays, so that what makes them is evaluated outside of it, and once.
+    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
+    return F.get(F.transform(pair, lambda p: _word_rate(p["a"], p["b"])), F.lit(0))
+
+
+def _word_rate(a: Column, b: Column) -> Column:
     names = F.array_distinct(F.concat(a, b))
 
     def coded(words: Column) -> Column:
-        place = lambda w: F.array_position(names, w).cast("int") + 0x3400
-        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(place(w)), 4, "0")), "")), "UTF-16BE")
+        place = lambda w: F.array_position(names, w).cast("int") + 0xFFFF
+        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(place(w)), 8, "0")), "")), "UTF-32")
 
-    return F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(b), F.lit(1))
+    rate = F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(b), F.lit(1))
+    return F.when(F.size(names) <= MOST_WORDS, rate).otherwise(F.raise_error(F.lit("too many distinct words for one pair")))

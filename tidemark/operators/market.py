@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import fiscal_year
+
 
 def calendar(prices: DataFrame) -> DataFrame:
     """date, idx: the sessions, numbered from 0. One row per trading day: small at any scale."""
@@ -22,20 +26,38 @@ def returns(prices: DataFrame) -> DataFrame:
     return full.select("ticker", "idx", "date", "close", "volume", (F.col("close") / before - 1).alias("ret"))
 
 
-def event_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """events with i0: the first session at or after event_date, one later if after_close.
+def session_of(days: DataFrame, sessions: DataFrame, day: str) -> DataFrame:
+    """days with `idx`, the first session at or after the date `day`; null after the last session.
 
-    Sessions are spread over civil days once, so that the as-of join is an equi-join.
-    """
-    nxt = F.lead("date").over(Window.orderBy("idx"))
-    prev = F.lag("date").over(Window.orderBy("idx"))
-    days = sessions.select("idx", "date", prev.alias("prev"), nxt.alias("nxt"))
-    first = F.coalesce(F.date_add("prev", 1), F.date_add("date", -366))
-    civil = days.select("idx", F.explode(F.sequence(first, F.col("date"))).alias("event_date"))
-    met = events.join(civil, "event_date")
+    Sessions are spread over civil days once, from the least day asked on, so that the as-of join is an
+    equi-join of the days with a calendar."""
+    prev, next_ = F.lag("date").over(Window.orderBy("idx")), F.lead("date").over(Window.orderBy("idx"))
+    least = days.agg(F.min(day).alias("least"))
+    known = sessions.select("idx", "date", prev.alias("prev"), next_.alias("next")).crossJoin(F.broadcast(least))  # one row
+    first = F.coalesce(F.date_add("prev", 1), F.least("date", F.coalesce("least", "date")))
+    civil = known.select("idx", F.explode(F.sequence(first, F.col("date"))).alias(day))
+    return days.join(civil, day, "left")
+
+
+def event_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """events with i0: the first session at or after event_date, one later if after_close; null after
+    the last session. An event before the first session has that one."""
+    met = session_of(events, sessions, "event_date")
     return met.withColumn("i0", F.col("idx") + F.col("after_close").cast("int")).drop("idx")
 
 
+def news_sessions(news: DataFrame, sessions: DataFrame, close_hour: int = 15, clamp: bool = True) -> DataFrame:
+    """news (ts) with `session`: that of its date, the next one where it is a session and the hour is
+    close_hour or later; with clamp at most the last session, else the number of sessions beyond it."""
+    x = session_of(news.withColumn("__day", F.to_date("ts")), sessions, "__day")
+    dates = sessions.select(F.col("date").alias("__day"), F.lit(1).alias("__open"))
+    size = sessions.agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    x = x.join(dates, "__day", "left").crossJoin(F.broadcast(size))  # one row
+    late = F.when(F.col("__open").isNotNull() & (F.hour("ts") >= close_hour), 1).otherwise(0)
+    at = F.coalesce("idx", "__n") + late
+    return x.withColumn("session", F.least(at, F.col("__n") - 1) if clamp else at).drop("idx", "__day", "__open", "__n")
+
+
 def windows(events: DataFrame, rets: DataFrame, market: DataFrame, lo: int, hi: int) -> DataFrame:
     """A row per event and session offset in [lo, hi]: own and market return, by an equi-join."""
     spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
@@ -45,7 +67,9 @@ def windows(events: DataFrame, rets: DataFrame, market: DataFrame, lo: int, hi:
 
 
 def market_model(events: DataFrame, rets: DataFrame, market: DataFrame, least: int, lo: int = -150, hi: int = -11) -> DataFrame:
-    """doc_id, n_obs, alpha, beta, sigma by least squares on the days with returns that are not 0."""
+    """doc_id, n_obs, alpha, beta, sigma by least squares on the days with returns that are not 0.
+
+    With lo = -252 and hi = -6 alpha is the abnormal return before the event (`pre_alpha`)."""
     x = windows(events, rets, market, lo, hi).where("ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0")
     fit = x.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_obs"), F.regr_intercept("ret", "mret").alias("alpha"), F.regr_slope("ret", "mret").alias("beta"),
@@ -70,15 +94,57 @@ def car(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, l
     return x.select("doc_id", F.when(whole, F.col("s")).alias("car"), F.when(whole, F.col("s") / (F.col("sigma") * n**0.5)).alias("scar"), (F.col("own") - F.col("mkt")).alias("bhar"))
 
 
-def latest_fact(asked: DataFrame, facts: DataFrame, fresh_days: int = 400) -> DataFrame:
+def car_family(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
+    """doc_id, lo, hi, car, scar, carma (market-adjusted) of every window with all its abnormal returns.
+
+    One spread over the widest window serves all: a session counts for every window it lies in."""
+    lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
+    x = abnormal(events, fit, rets, market, lo, hi)
+    inside = F.array_compact(F.array(*[F.when(F.col("k").between(a, b), F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"))) for a, b in spans]))
+    x = x.select("doc_id", "ar", (F.col("ret") - F.col("mret")).alias("over"), "sigma", F.inline(inside))
+    g = x.groupBy("doc_id", "lo", "hi").agg(F.count("ar").alias("n"), F.sum("ar").alias("car"), F.sum("over").alias("carma"), F.first("sigma").alias("sigma"))
+    size = F.col("hi") - F.col("lo") + 1
+    return g.where(F.col("n") == size).select("doc_id", "lo", "hi", "car", (F.col("car") / (F.col("sigma") * F.sqrt(size))).alias("scar"), "carma")
+
+
+def latest_fact(asked: DataFrame, facts: DataFrame, fresh_days: int = 400, annual: bool = False) -> DataFrame:
     """Per (id, day) the fact with the last period end, then filing, filed up to 3 days later and
-    not older than fresh_days."""
+    not older than fresh_days. annual: only facts whose period, from `start`, is 350 to 380 days."""
+    if annual:
+        facts = facts.where(F.datediff("end", "start").between(350, 380))
     x = asked.join(facts, "id").where(
         (F.col("filed") <= F.date_add("day", 3)) & (F.col("end") <= F.col("day")) & (F.col("end") > F.date_sub("day", fresh_days))
     )
     return x.groupBy("id", "day").agg(F.max(F.struct("end", "filed", "val")).alias("m")).select("id", "day", "m.end", "m.filed", "m.val")
 
 
+def fact_by_priority(asked: DataFrame, sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """id, day, val, end, source: the latest fact of the first source that has one; null without any.
+
+    sources: (name, facts) in order of preference, each as `latest_fact` returns them."""
+    out = asked.select("id", "day").distinct()
+    for name, found in sources:
+        out = out.join(found.select("id", "day", F.struct("val", "end").alias(name)), ["id", "day"], "left")
+    label = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n, _ in sources])
+    return out.select("id", "day", F.coalesce(*[n for n, _ in sources]).alias("f"), label.alias("source")).select("id", "day", "f.val", "f.end", "source")
+
+
+def fundamentals(events: DataFrame, rets: DataFrame, facts: DataFrame) -> DataFrame:
+    """doc_id, log_mcap, bm, turnover: facts has doc_id, shares, equity. Nulls where a part is missing
+    or not positive; volume is that of sessions -252 to -6."""
+    x = events.select("doc_id", "ticker", "i0").join(facts, "doc_id", "left")
+    before = rets.select("ticker", (F.col("idx") + 1).alias("i0"), "close")
+    spread = events.select("doc_id", "ticker", F.col("i0"), F.explode(F.sequence(F.lit(-252), F.lit(-6))).alias("k"))
+    spread = spread.select("doc_id", "ticker", (F.col("i0") + F.col("k")).alias("idx"))
+    volume = spread.join(rets.select("ticker", "idx", "volume"), ["ticker", "idx"]).groupBy("doc_id").agg(F.sum("volume").alias("v"))
+    x = x.join(before, ["ticker", "i0"], "left").join(volume, "doc_id", "left").withColumn("mcap", F.col("close") * F.col("shares"))
+    sized = F.col("mcap") > 0
+    return x.select(
+        "doc_id", F.when(sized, F.log("mcap")).alias("log_mcap"), F.when(sized & (F.col("equity") > 0), F.col("equity") / F.col("mcap")).alias("bm"),
+        F.when(F.col("shares") > 0, F.coalesce("v", F.lit(0.0)) / F.col("shares")).alias("turnover"),
+    )
+
+
 def controls(events: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame:
     """doc_id, log_tradeval, pre_ret, zero_share, volume_year: what the sessions before an event show.
 
@@ -105,3 +171,46 @@ def news_windows(events: DataFrame, news: DataFrame, lo: int, hi: int) -> DataFr
     daily = news.groupBy("ticker", "idx", "kind").agg(F.count(F.lit(1)).alias("n"))
     spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
     return spread.withColumn("idx", F.col("i0") + F.col("k")).join(daily, ["ticker", "idx"]).select("doc_id", "k", "kind", "n")
+
+
+def news_counts(events: DataFrame, news: DataFrame, spans: Mapping[str, tuple[int, int]], kinds: Sequence[str]) -> DataFrame:
+    """doc_id and, by window, n_<window> (all items) and <kind>_<window> of the event's ticker; zeros
+    where there are none. spans: window -> sessions (lo, hi) around the event."""
+    lo, hi = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
+    x = news_windows(events.where("i0 IS NOT NULL"), news, lo, hi)
+    sums = []
+    for name, (a, b) in spans.items():
+        here = F.col("k").between(a, b)
+        sums.append(F.sum(F.when(here, F.col("n"))).alias(f"n_{name}"))
+        sums += [F.sum(F.when(here & (F.col("kind") == kind), F.col("n"))).alias(f"{kind}_{name}") for kind in kinds]
+    return events.select("doc_id").join(x.groupBy("doc_id").agg(*sums), "doc_id", "left").na.fill(0)
+
+
+def coverage(news: DataFrame, unit: str, crawled: Column, least_tickers: int = 10, share: float = 0.25) -> DataFrame:
+    """period, n, n_tickers, per_ticker, gap over the whole spine of periods between the first and last item.
+
+    news: ticker, ts. n_tickers: tickers whose first day is not after the period's start; a period is judged
+    where they are least_tickers or more and it lies before the period of `crawled`; it is a gap if
+    its items per ticker, rounded to 2 places, are under `share` of the median of the judged ones."""
+    start = F.date_trunc(unit, F.col("ts"))
+    n = news.groupBy(start.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    spine = n.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("period"))
+    first = news.groupBy("ticker").agg(F.min("ts").alias("first"))
+    covered = F.when(F.date_trunc(unit, "first") == F.col("first"), F.col("first")).otherwise(F.date_trunc(unit, "first") + F.expr(f"interval 1 {unit}"))
+    new = first.groupBy(covered.alias("period")).agg(F.count(F.lit(1)).alias("new"))
+    x = spine.join(n, "period", "left").join(new, "period", "left").na.fill(0)
+    tickers = F.sum("new").over(Window.orderBy("period"))  # a row per period
+    x = x.select("period", "n", tickers.alias("n_tickers"))
+    x = x.withColumn("per_ticker", F.when(F.col("n_tickers") > 0, F.round(F.col("n") / F.col("n_tickers"), 2)))
+    judged = (F.col("n_tickers") >= least_tickers) & (F.col("period") < F.date_trunc(unit, crawled))
+    middle = x.where(judged).agg(F.median("per_ticker").alias("middle"))  # a row per period
+    gap = judged & (F.col("per_ticker") < share * F.col("middle"))
+    return x.crossJoin(F.broadcast(middle)).select("period", "n", "n_tickers", "per_ticker", F.coalesce(gap, F.lit(False)).alias("gap"))
+
+
+def earliest(disclosures: DataFrame, wanted: str, excluded: str) -> DataFrame:
+    """ticker, fy, ts, title of the first disclosure (ticker, ts, title) of each ticker and fiscal year
+    whose title matches `wanted` and not `excluded`; fy is the last year 20xx it names. Ties by title."""
+    x = disclosures.where(F.col("title").rlike(wanted) & ~F.col("title").rlike(excluded)).withColumn("fy", fiscal_year(F.col("title")))
+    first = x.where("fy IS NOT NULL").groupBy("ticker", "fy").agg(F.min(F.struct("ts", "title")).alias("m"))
+    return first.select("ticker", "fy", "m.ts", "m.title")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import negated, tokens_vi
@@ -52,25 +50,79 @@ def _bounded(lexicon: DataFrame, most: int = 100_000) -> bool:
     return lexicon.limit(most + 1).count() <= most
 
 
-def term_spans(terms: Mapping[str, Sequence[str]]):
-    """A column function: text -> array of (start, end, categories) of single-word terms.
+TOKEN = r"(?U)\b[A-Z][A-Z\-]+\b"
 
-    Offsets count code points of the text; null where upper-casing changes the length, and for a null text.
-    """
-    word = re.compile(r"\b[A-Z][A-Z\-]+\b")
-    lookup = {t: list(c) for t, c in terms.items()}
-
-    @F.pandas_udf("array<struct<start:int,end:int,categories:array<string>>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        def one(text):
-            upper = text.upper() if isinstance(text, str) else None
-            if upper is None or len(upper) != len(text):
-                return None
-            return [{"start": m.start(), "end": m.end(), "categories": lookup[m[0]]} for m in word.finditer(upper) if m[0] in lookup]
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+def term_spans(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ()) -> DataFrame:
+    """doc_id, spans: array of (start, end, term, categories) of a text's single-word terms, by start.
 
-    return spans
+    lexicon: term, category. Offsets count code points of the text; spans are null where upper-casing
+    changes the length, and for a null text. A positive term after a negator is left out. Places are
+    running sums of the lengths of words and of what stands between them, a window per text.
+    """
+    upper = F.upper("text")
+    whole = F.length(upper) == F.length("text")
+    t = docs.select("doc_id", F.when(whole, upper).alias("u"))
+    parts = t.select("doc_id", F.split("u", TOKEN).alias("gaps"), F.regexp_extract_all("u", F.lit(TOKEN), F.lit(0)).alias("terms"))
+    rows = parts.select("doc_id", "terms", F.posexplode("gaps").alias("i", "gap")).withColumn("term", F.get("terms", F.col("i")))
+    off = negated(F.col("terms"), F.col("i"), negators) if negators else F.lit(False)
+    rows = rows.select("doc_id", "i", "term", F.length("gap").alias("before"), F.coalesce(F.length("term"), F.lit(0)).alias("long"), F.coalesce(off, F.lit(False)).alias("off"))
+    end = F.sum(F.col("before") + F.col("long")).over(Window.partitionBy("doc_id").orderBy("i"))
+    placed = rows.select("doc_id", "term", "long", "off", end.cast("int").alias("end"))
+    entries = lexicon.groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    met = placed.join(F.broadcast(entries) if _bounded(lexicon) else entries, "term")
+    kept = F.filter("categories", lambda c: (c != "positive") | ~F.col("off"))
+    span = F.struct((F.col("end") - F.col("long")).alias("start"), "end", "term", kept.alias("categories"))
+    spans = met.where(F.size(kept) > 0).groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    none = F.array().cast("array<struct<start: int, end: int, term: string, categories: array<string>>>")
+    return t.join(spans, "doc_id", "left").select("doc_id", F.when(F.col("u").isNotNull(), F.coalesce("spans", none)).alias("spans"))
+
+
+def phrase_spans(docs: DataFrame, lexicon: DataFrame, longest: int, negators: Sequence[str] = ()) -> DataFrame:
+    """doc_id, spans: array of (start, end, term, categories) of greedy longest phrases in lower-case text.
+
+    The rule is that of `longest_matches`; offsets count code points of the text, null where
+    lower-casing changes the length."""
+    low = F.lower("text")
+    t = docs.select("doc_id", F.when(F.length(low) == F.length("text"), low).alias("u"))
+    word = "[a-zà-ỹđ]+"
+    parts = t.select("doc_id", F.split("u", word).alias("gaps"), F.regexp_extract_all("u", F.lit(word), F.lit(0)).alias("terms"))
+    rows = parts.select("doc_id", "terms", F.posexplode("gaps").alias("i", "gap"))
+    size = F.length("gap") + F.coalesce(F.length(F.get("terms", F.col("i"))), F.lit(0))
+    rows = rows.select("doc_id", "terms", "i", F.sum(size).over(Window.partitionBy("doc_id").orderBy("i")).cast("int").alias("end"))
+    off = negated(F.col("terms"), F.col("i"), negators) if negators else F.lit(False)
+    held = rows.select("doc_id", "i", "end", F.length(F.get("terms", F.col("i"))).alias("long"), F.coalesce(off, F.lit(False)).alias("off"), *[F.get("terms", F.col("i") + j).alias(f"w{j}") for j in range(longest)])
+    spread = Window.partitionBy("doc_id").orderBy("i")
+    runs = [F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{j}" for j in range(n)]).alias("term"), F.lead("end", n - 1).over(spread).alias("last")) for n in range(1, longest + 1)]
+    runs = [F.when(F.col(f"w{n - 1}").isNotNull(), r) for n, r in enumerate(runs, start=1)]
+    x = held.select("doc_id", "i", (F.col("end") - F.col("long")).alias("start"), "off", F.array(*runs).alias("runs"))
+    x = x.select("doc_id", "i", "start", "off", F.inline("runs"))
+    entries = lexicon.groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    met = x.join(F.broadcast(entries) if _bounded(lexicon) else entries, "term")
+    kept = F.filter("categories", lambda c: (c != "positive") | ~F.col("off"))
+    hit = F.struct("i", (-F.col("n")).alias("shorter"), "n", "start", "last", "term", kept.alias("categories"))
+    found = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("found"))
+    # Which hits are taken is a fold over one text's matches; it keeps their numbers only.
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("taken"))
+    places = F.sequence(F.lit(0), F.size("found") - 1)
+
+    def take(a: Column, k: Column) -> Column:
+        h = F.get("found", k)
+        return F.when(h["i"] >= a["free"], F.struct((h["i"] + h["n"]).alias("free"), F.concat(a["taken"], F.array(k)).alias("taken"))).otherwise(a)
+
+    taken = found.select("doc_id", "found", F.aggregate(places, start, take, lambda a: a["taken"]).alias("taken"))
+    spans = F.filter(F.transform("taken", lambda k: F.get("found", k)), lambda h: F.size(h["categories"]) > 0)
+    spans = F.transform(spans, lambda h: F.struct(h["start"].alias("start"), h["last"].alias("end"), h["term"].alias("term"), h["categories"].alias("categories")))
+    none = F.array().cast("array<struct<start: int, end: int, term: string, categories: array<string>>>")
+    return t.join(taken.select("doc_id", spans.alias("spans")), "doc_id", "left").select("doc_id", F.when(F.col("u").isNotNull(), F.coalesce("spans", none)).alias("spans"))
+
+
+def top_words(spans: DataFrame, most: int = 12) -> DataFrame:
+    """doc_id, category, term, n, place: each text's most frequent terms by category, ties by term."""
+    s = spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.term").alias("term"), F.explode("s.categories").alias("category"))
+    n = s.groupBy("doc_id", "category", "term").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy(F.desc("n"), "term"))
+    return n.withColumn("place", place).where(F.col("place") <= most)
 
 
 def apart(spans: Column, others: Column) -> Column:

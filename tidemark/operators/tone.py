@@ -23,19 +23,26 @@ def hits(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ()) -> D
     return met.groupBy("doc_id", "lexicon", "category", "term").agg(F.sum("n").alias("tf"))
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(tokens_en(F.col("text"))).cast("long").alias("n_words"))
+def lengths(docs: DataFrame, master: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words: all tokens, or those that the word list `master` (term) holds."""
+    t = docs.select("doc_id", tokens_en(F.col("text")).alias("tokens"))
+    if master is None:
+        return t.select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).cast("long").alias("n_words"))
+    words = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    met = words.join(master.select("term").distinct(), "term").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return t.select("doc_id").join(met, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
 
 
-def indices(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words and per category its share of the words; net tone."""
+def indices(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = (), master: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_neg, n_pos and per category its share of the words; net tone."""
     by = hits(docs, lexicon, negators).groupBy("doc_id").agg(
         *[F.sum(F.when(F.col("category") == c, F.col("tf")).otherwise(0)).alias(c) for c in ("negative", "positive", "uncertainty", "litigious")]
     )
-    x = lengths(docs).join(by, "doc_id", "left").na.fill(0)
+    x = lengths(docs, master).join(by, "doc_id", "left").na.fill(0)
     n = F.greatest(F.col("n_words"), F.lit(1))
     shares = [(F.col(c) / n).alias(a) for c, a in (("negative", "neg"), ("positive", "pos"), ("uncertainty", "unc"), ("litigious", "lit"))]
-    return x.select("doc_id", "n_words", *shares, net(F.col("positive"), F.col("negative")).alias("net"))
+    counts = [F.col("negative").alias("n_neg"), F.col("positive").alias("n_pos")]
+    return x.select("doc_id", "n_words", *counts, *shares, net(F.col("positive"), F.col("negative")).alias("net"))
 
 
 def tf_idf(docs: DataFrame, found: DataFrame) -> DataFrame:

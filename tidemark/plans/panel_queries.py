@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import page_gate, sentences, word_error_rate
+from ..functions.text import VIETNAMESE, page_gate, sentences, word_error_rate
 from ..operators import market as mk
 from ..operators import phrases, regression, stats, tone
 from ..sources import tables as src
-from .queries import DOCS, EVENTS, LEX, TOKENS, TONE, VI, _car, _car_sql, _events, _tone, query, r
+from ..sources.files import stored
+from .queries import DOCS, EVENTS, LEX, TOKENS, TONE, VI, _events, _tone, query, r
 
 PHRASES = (
     ("la", "negative"), ("de la", "negative"), ("que de la", "uncertainty"), ("de", "positive"), ("et", "positive"), ("que el", "litigious"), ("en", "positive"),
@@ -41,18 +42,17 @@ TOKEN = r"\b[A-Z][A-Z\-]+\b"
 SPANS = f"""WITH {LEX}, {DOCS}, u AS (SELECT doc_id, regexp_replace(upper(text), '[À-ɏ]', '_', 'g') AS u FROM docs WHERE lang = 'en'),
 s AS (SELECT doc_id, unnest(regexp_extract_all(u, '{TOKEN}')) AS term, unnest(string_split_regex(u, '{TOKEN}')) AS gap, unnest(range(len(regexp_extract_all(u, '{TOKEN}')) + 1)) AS i FROM u),
 p AS (SELECT doc_id, term, sum(length(gap)) OVER w + coalesce(sum(length(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT doc_id, start, bool_or(lexicon = 'gen' AND category = 'negative') AS gen, bool_or(lexicon = 'fin') AS fin FROM p JOIN lex USING (term) GROUP BY doc_id, start),
+k AS (SELECT doc_id, start, bool_or(lexicon = 'gen' AND category = 'negative') AS gen, bool_or(lexicon = 'fin' AND category = 'negative') AS fin FROM p JOIN lex USING (term) GROUP BY doc_id, start),
 c AS (SELECT u.doc_id, count(*) FILTER (gen) AS g, count(*) FILTER (gen AND NOT fin) AS a, min(start) FILTER (gen AND NOT fin)::INT AS f FROM u LEFT JOIN k USING (doc_id) GROUP BY u.doc_id)
 SELECT c.doc_id, CASE WHEN NOT grows THEN g END AS n_general, CASE WHEN NOT grows THEN a END AS n_apart, CASE WHEN NOT grows THEN f END AS first_start FROM c JOIN (SELECT doc_id, regexp_matches(text, '[ßŉǰﬀ-ﬆ]') AS grows FROM documents) USING (doc_id)"""
 
 
 @query(SPANS)
 def mislabeled_spans(spark, sf_dir):
-    """General negative words of a text that no financial term covers; null where upper case is longer (ß)."""
-    gen: dict = {t: [c] for lex, t, c in src.LEXICON if lex == "gen" and c == "negative"}
-    fin: dict = {t: [c] for lex, t, c in src.LEXICON if lex == "fin"}
-    x = src.english(spark, sf_dir).select("doc_id", phrases.term_spans(gen)("text").alias("g"), phrases.term_spans(fin)("text").alias("f"))
-    x = x.withColumn("a", phrases.apart(F.col("g"), F.col("f")))
+    """General negative words of a text that no financial negative span overlaps; null where upper case is longer (ß)."""
+    d, lex = src.english(spark, sf_dir).select("doc_id", "text"), src.lexicon(spark).where("category = 'negative'")
+    g, f = (phrases.term_spans(d, lex.where(F.col("lexicon") == k)).withColumnRenamed("spans", n) for k, n in (("gen", "g"), ("fin", "f")))
+    x = g.join(f, "doc_id").withColumn("a", phrases.apart(F.col("g"), F.col("f")))
     return x.select("doc_id", F.size("g").cast("long").alias("n_general"), F.size("a").cast("long").alias("n_apart"), F.array_min(F.transform("a", lambda s: s["start"])).alias("first_start"))
 
 
@@ -68,24 +68,55 @@ def event_controls(spark, sf_dir):
     return x.select("doc_id", *[r(F.col(c)).alias(c) for c in ("log_tradeval", "pre_ret", "zero_share")], "volume_year")
 
 
-PANEL = f"""{EVENTS}, {TONE.replace(DOCS + ', ', '')}, {CONTROLS}, cr AS ({_car_sql(0, 3).replace('round(sum(ar), 8)', 'sum(ar)')}),
-j AS (SELECT doc_id, ticker, year, car, neg, net, ln(greatest(n_words, 1)) AS log_len, log_tradeval FROM tone JOIN docs USING (doc_id) JOIN cr USING (doc_id) LEFT JOIN ctl USING (doc_id)),
-panel AS (SELECT *, (neg - avg(neg) OVER ()) / stddev_samp(neg) OVER () AS neg_z FROM j)"""
+TONES = ("neg", "net", "unc")
+CARS = {"car": (0, 3), "car_m1_1": (-1, 1), "car_0_5": (0, 5), "carma": (0, 3)}
 
 
-def _panel(spark, sf_dir):
-    _, ok, rets, m = _events(spark, sf_dir)
-    t = _tone(spark, sf_dir).select("doc_id", "neg", "net", F.log(F.greatest("n_words", F.lit(1))).alias("log_len"))
-    d = src.disclosures(spark, sf_dir).select("doc_id", "ticker", "year")
-    x = t.join(d, "doc_id").join(_car(spark, sf_dir, 0, 3).select("doc_id", "car"), "doc_id")
-    x = x.join(mk.controls(ok, rets, m).select("doc_id", "log_tradeval"), "doc_id", "left")
-    return stats.zscore(x, "neg", "neg_z").select("doc_id", "ticker", "year", "car", "neg", "net", "log_len", "log_tradeval", "neg_z")
+def _clip(c: str, t: str) -> str:
+    return f"CASE WHEN {t}.{c} IS NOT NULL THEN least(greatest({t}.{c}, q.{c}[1]), q.{c}[2]) END"
+
+
+_whole = {n: f"CASE WHEN count(ar) FILTER (k BETWEEN {a} AND {b}) = {b - a + 1} THEN sum({'ret - mret' if n == 'carma' else 'ar'}) FILTER (k BETWEEN {a} AND {b}) END AS {n}" for n, (a, b) in CARS.items()}
+WINDOWS = f"cr AS (SELECT doc_id, {', '.join(_whole.values())} FROM win GROUP BY doc_id)"
+CLIPPED = (*CARS, "pre_ret")
+T, J = "tone", "j0"
+#: All documents of the tone table with clipped tones; events with clipped returns; then the joined panel.
+PANEL_OF = f"""{CONTROLS}, {WINDOWS}, tw AS (SELECT doc_id, n_words, {', '.join(f'{_clip(c, T)} AS {c}' for c in TONES)} FROM tone, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in TONES)} FROM tone) q),
+j0 AS (SELECT doc_id, ticker, year, event_date, {', '.join(CARS)}, pre_ret, neg, net, unc, n_words, log_tradeval, beta FROM tw JOIN docs USING (doc_id) JOIN cr USING (doc_id) LEFT JOIN ctl USING (doc_id) LEFT JOIN fit USING (doc_id)),
+j AS (SELECT j0.* REPLACE ({', '.join(f'{_clip(c, J)} AS {c}' for c in CLIPPED)}) FROM j0, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in CLIPPED)} FROM j0) q),
+panel AS (SELECT doc_id, ticker, year, {', '.join(CLIPPED)}, neg, net, beta, ln(greatest(n_words, 1)) AS log_len, log_tradeval, (ticker % 2 = 0)::INT AS vn30, year(event_date) || 'Q' || quarter(event_date) AS period,
+{', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}_z' for c in TONES)} FROM j)"""
+PANEL = f"{EVENTS}, {TONE.replace(DOCS + ', ', '')}, {PANEL_OF}"
+
+
+def _returns_panel(ok, rets, m):
+    """doc_id, the windows of CARS, beta and the controls of every event with an estimated model."""
+    fit = mk.market_model(ok, rets, m, 80)
+    long = mk.car_family(ok, fit, rets, m, sorted(set(CARS.values())))
+    wide = [F.max(F.when((F.col("lo") == a) & (F.col("hi") == b), F.col("carma" if n == "carma" else "car"))).alias(n) for n, (a, b) in CARS.items()]
+    x = fit.select("doc_id", "beta").join(long.groupBy("doc_id").agg(*wide), "doc_id", "left")
+    return x.join(mk.controls(ok, rets, m).select("doc_id", "log_tradeval", "pre_ret"), "doc_id", "left")
+
+
+def _panel(spark, sf_dir, returns=None):
+    """Tone and returns by document, clipped and standardised; written once, as regressions pass over it often."""
+    if returns is None:
+        _, ok, rets, m = _events(spark, sf_dir)
+        returns = _returns_panel(ok, rets, m)
+    t = stats.winsorize(stored(_tone(spark, sf_dir).select("doc_id", "n_words", *TONES), "panel-tones"), *TONES)
+    d = src.disclosures(spark, sf_dir).select("doc_id", "ticker", "year", "event_date")
+    x = stats.winsorize(stored(t.join(d, "doc_id").join(returns, "doc_id"), "panel-rows"), *CLIPPED)
+    for c in TONES:
+        x = stats.zscore(x, c, f"{c}_z")
+    period = F.concat(F.year("event_date"), F.lit("Q"), F.quarter("event_date"))
+    return stored(x.withColumns({"log_len": F.log(F.greatest("n_words", F.lit(1))), "vn30": (F.col("ticker") % 2 == 0).cast("int"), "period": period}).drop("event_date"), "panel")
 
 
-@query(f"WITH {PANEL} SELECT doc_id, ticker, year, round(car, 8) AS car, round(net, 8) AS net, round(log_len, 8) AS log_len, round(log_tradeval, 8) AS log_tradeval, round(neg_z, 6) AS neg_z FROM panel")
+@query(f"WITH {PANEL} SELECT doc_id, ticker, year, period, vn30, round(car, 8) AS car, round(net, 8) AS net, round(log_len, 8) AS log_len, round(log_tradeval, 8) AS log_tradeval, round(pre_ret, 8) AS pre_ret, round(neg_z, 6) AS neg_z, round(unc_z, 6) AS unc_z FROM panel")
 def regression_panel(spark, sf_dir):
     x = _panel(spark, sf_dir)
-    return x.select("doc_id", "ticker", "year", *[r(F.col(c)).alias(c) for c in ("car", "net", "log_len", "log_tradeval")], r(F.col("neg_z"), 6).alias("neg_z"))
+    rounded = [r(F.col(c)).alias(c) for c in ("car", "net", "log_len", "log_tradeval", "pre_ret")]
+    return x.select("doc_id", "ticker", "year", "period", "vn30", *rounded, *[r(F.col(c), 6).alias(c) for c in ("neg_z", "unc_z")])
 
 
 @query(f"""WITH {PANEL}, k AS (SELECT car, row_number() OVER (ORDER BY net, doc_id) AS rk, count(*) OVER () AS n FROM panel),
@@ -122,21 +153,6 @@ def ols_tone_clustered(spark, sf_dir):
     return f.where("term = 'neg_z'").select("term", r(F.col("coef"), 7).alias("coef"), r(F.col("se"), 7).alias("se"), "n_obs", "n_clusters")
 
 
-def _specs():
-    return {"base": ["log_len", "log_tradeval"], "neg": ["neg_z", "log_len", "log_tradeval"], "net": ["net", "log_len", "log_tradeval"]}
-
-
-@query()
-def ols_specifications(spark, sf_dir):
-    """All model specifications side by side: a row per model and term."""
-    panel, out = _panel(spark, sf_dir).persist(), None
-    for name, xs in _specs().items():
-        f = regression.clustered(panel, "car", xs, "ticker", ["year"]).withColumn("model", F.lit(name))
-        out = f if out is None else out.unionByName(f)
-    panel.unpersist()
-    return out
-
-
 @query()
 def ols_diagnostics(spark, sf_dir):
     return regression.diagnostics(_panel(spark, sf_dir), "car", ["neg_z", "log_len", "log_tradeval"], ["year"])
@@ -164,18 +180,77 @@ def news_window_join(spark, sf_dir):
     return mk.news_windows(_events(spark, sf_dir)[0], _news(spark, sf_dir), -3, 3)
 
 
+SPREADS = {"pre_m10_m1": (-10, -1), "w0_3": (0, 3), "w0_5": (0, 5), "w0_10": (0, 10)}
+_span = lambda a, b, more="": f"count(n.idx) FILTER (n.idx - i0 BETWEEN {a} AND {b}{more})"
+_counted = ", ".join(f"{_span(a, b)} AS n_{w}, {_span(a, b, chr(32) + 'AND kind = ' + repr('1-URGENT'))} AS urgent_{w}" for w, (a, b) in SPREADS.items())
+
+
+@query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, {_counted} FROM ev LEFT JOIN news n ON n.ticker = ev.ticker AND n.idx BETWEEN i0 - 10 AND i0 + 10 GROUP BY doc_id")
+def news_window_counts(spark, sf_dir):
+    """Items around each event by window and kind; an event without items, or after the last session, has zeros."""
+    news = _news(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "1-URGENT", "urgent").otherwise("other"))
+    return mk.news_counts(_events(spark, sf_dir)[0], news, SPREADS, ["urgent"])
+
+
 @query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, ticker, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.idx BETWEEN i0 AND i0 + 3) AS contaminated FROM ev WHERE i0 IS NOT NULL")
 def contaminated_events(spark, sf_dir):
-    ev = _events(spark, sf_dir)[0]
+    ev = _events(spark, sf_dir)[0].where("i0 IS NOT NULL")
     met = mk.news_windows(ev, _news(spark, sf_dir).where("kind = '1-URGENT'"), 0, 3).select("doc_id").distinct()
     return ev.join(met.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", "ticker", F.coalesce("hit", F.lit(False)).alias("contaminated"))
 
 
-@query(f"WITH {TONE}, q AS (SELECT quantile_cont(neg, 0.01) a, quantile_cont(neg, 0.99) b, quantile_cont(net, 0.01) c, quantile_cont(net, 0.99) d FROM tone) SELECT doc_id, ticker, year, lang, n_words, round(least(greatest(neg, a), b), 8) AS fin_neg, round(least(greatest(net, c), d), 8) AS fin_net FROM tone JOIN docs USING (doc_id), q")
+def _tones_sql(name: str, docs: str, lexicon: str) -> str:
+    """CTEs {name}_len and {name}: counts, shares and net tone of the texts of `docs` by one lexicon."""
+    n = {c: f"coalesce(sum(tf) FILTER (category = '{c}'), 0)" for c in phrases.CATEGORIES}
+    return (
+        f"{name}_tok AS (SELECT doc_id, {TOKENS} AS t FROM {docs}), {name}_len AS (SELECT doc_id, len(t)::BIGINT AS n_words FROM {name}_tok), "
+        f"{name}_hits AS (SELECT doc_id, category, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM {name}_tok) JOIN lex USING (term) WHERE lexicon = '{lexicon}' GROUP BY ALL), "
+        f"{name} AS (SELECT doc_id, n_words, {', '.join(f'{x} AS {c}' for c, x in n.items())} FROM {name}_len LEFT JOIN {name}_hits USING (doc_id) GROUP BY doc_id, n_words), "
+        f"{name}_w AS (SELECT doc_id, sum((1 + ln(tf)) / (1 + ln(n_words)) * ln((SELECT count(*) FROM {name}_len) / df)) AS w FROM {name}_hits JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM {name}_hits WHERE category = 'negative' GROUP BY term) USING (term) "
+        f"JOIN {name}_len USING (doc_id) WHERE category = 'negative' GROUP BY doc_id)"
+    )
+
+
+_MEASURES = ("neg", "pos", "unc", "lit", "net", "neg_tfidf")
+
+
+def _wide_sql(name: str, prefix: str) -> str:
+    share = {m: f"{name}.{c} / greatest({name}.n_words, 1)" for m, c in zip(("neg", "pos", "unc", "lit"), phrases.CATEGORIES, strict=True) for c in ({"neg": "negative", "pos": "positive", "unc": "uncertainty", "lit": "litigious"}[m],)}
+    share["net"] = f"CASE WHEN {name}.positive + {name}.negative > 0 THEN ({name}.positive - {name}.negative) / ({name}.positive + {name}.negative) ELSE 0.0 END::DOUBLE"
+    share["neg_tfidf"] = f"CASE WHEN {name}.n_words > 0 THEN coalesce({name}_w.w, 0.0) END"
+    return ", ".join(f"{x} AS {prefix}_{m}" for m, x in share.items())
+
+
+_COLUMNS = [f"{p}_{m}" for p in ("fin", "gen", "finA") for m in _MEASURES]
+TONE_PANEL = f"""WITH {LEX}, {DOCS}, main AS (SELECT doc_id, text FROM docs WHERE lang = 'en'), alt AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM main),
+{_tones_sql('f', 'main', 'fin')}, {_tones_sql('g', 'main', 'gen')}, {_tones_sql('a', 'alt', 'fin')},
+x AS (SELECT f.doc_id, f.n_words, f.negative AS n_fin_neg, f.positive AS n_fin_pos, a.n_words AS n_words_alt, {_wide_sql('f', 'fin')}, {_wide_sql('g', 'gen')}, {_wide_sql('a', 'finA')}
+FROM f JOIN g USING (doc_id) JOIN a USING (doc_id) LEFT JOIN f_w USING (doc_id) LEFT JOIN g_w USING (doc_id) LEFT JOIN a_w USING (doc_id)),
+q AS (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in _COLUMNS)} FROM x)
+SELECT doc_id, ticker, year, lang, n_words, n_fin_neg::BIGINT AS n_fin_neg, n_fin_pos::BIGINT AS n_fin_pos, n_words_alt, {', '.join(f'round(least(greatest(x.{c}, q.{c}[1]), q.{c}[2]), 8) AS {c}' for c in _COLUMNS)} FROM x JOIN docs USING (doc_id), q"""
+
+
+def _tone_columns(docs, lexicon, prefix):
+    """doc_id, n_words, n_neg, n_pos and the measures of one lexicon, named by the prefix."""
+    negative = tone.hits(docs, lexicon).where("category = 'negative'")
+    x = tone.indices(docs, lexicon).join(tone.tf_idf(docs, negative).withColumnRenamed("tfidf", "neg_tfidf"), "doc_id")
+    return x.withColumnsRenamed({m: f"{prefix}_{m}" for m in _MEASURES})
+
+
+@query(TONE_PANEL)
 def tone_panel(spark, sf_dir):
-    d = src.disclosures(spark, sf_dir).select("doc_id", "ticker", "year", "lang")
-    x = stats.winsorize(stats.winsorize(_tone(spark, sf_dir).select("doc_id", "n_words", "neg", "net"), "neg"), "net").join(d, "doc_id")
-    return x.select("doc_id", "ticker", "year", "lang", "n_words", r(F.col("neg")).alias("fin_neg"), r(F.col("net")).alias("fin_net"))
+    """Both lexicons on the text and the financial one on its first line (the alternative text); every
+    column that starts fin or gen is clipped, counts are not."""
+    d = src.english(spark, sf_dir)
+    main = d.select("doc_id", "text")
+    alt = d.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("text"))
+    fin, gen = src.lexicon(spark, "fin"), src.lexicon(spark, "gen")
+    x = _tone_columns(main, fin, "fin").withColumnsRenamed({"n_neg": "n_fin_neg", "n_pos": "n_fin_pos"})
+    x = x.join(_tone_columns(main, gen, "gen").drop("n_words", "n_neg", "n_pos"), "doc_id")
+    x = x.join(_tone_columns(alt, fin, "finA").withColumnRenamed("n_words", "n_words_alt").drop("n_neg", "n_pos"), "doc_id")
+    named = [c for c in x.columns if c.startswith(("fin", "gen"))]
+    x = stats.winsorize(stored(x, "tones"), *named).join(d.select("doc_id", "ticker", "year", "lang"), "doc_id")
+    return x.select("doc_id", "ticker", "year", "lang", "n_words", "n_fin_neg", "n_fin_pos", "n_words_alt", *[r(F.col(c)).alias(c) for c in named])
 
 
 _net = "CASE WHEN {p} + ng > 0 THEN ({p} - ng) / ({p} + ng) ELSE 0.0 END::DOUBLE"
@@ -210,9 +285,10 @@ def micro_avg_complete_groups(spark, sf_dir):
 def validate_relative_dev(spark, sf_dir):
     d = src.english(spark, sf_dir)
     c = tone.lengths(d).join(d.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("b")), "doc_id").where("b > 0")
-    dev = (F.col("n_words") - F.col("b")) / F.col("b")
+    c = stored(c.withColumn("dev", (F.col("n_words") - F.col("b")) / F.col("b")), "deviations")
+    dev, middle = F.col("dev"), stats.quantiles(c, "dev", [0.5])[0]
     within = [r(F.avg((F.abs(dev) <= x / 100).cast("int")), 6).alias(f"within_{x}") for x in (2, 5)]
-    return c.agg(F.count(F.lit(1)).alias("n"), r(100 * F.percentile(dev, 0.5), 6).alias("median_pct"), *within, r(F.corr("n_words", "b")).alias("r"))
+    return c.agg(F.count(F.lit(1)).alias("n"), r(F.lit(100 * middle), 6).alias("median_pct"), *within, r(F.corr("n_words", "b")).alias("r"))
 
 
 @query("SELECT p_partkey, round(levenshtein(p_name, p_type) / greatest(length(p_type), 1), 8) AS cer FROM part")
@@ -235,7 +311,7 @@ def sentence_filter(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
-@query("WITH l AS (SELECT doc_id, lower(text) AS t, length(regexp_replace(lower(text), '[^\\p{L}]', '', 'g')) AS n FROM documents) SELECT doc_id, CASE WHEN n < 80 THEN 'empty' WHEN length(regexp_replace(t, '[^\\x{A0}-\\x{BF}\\x{E000}-\\x{F8FF}]', '', 'g')) + 5 * len(regexp_extract_all(t, '\\(cid:')) > 0.02 * length(t) THEN 'garbled' ELSE 'ok' END AS state, CASE WHEN n < 80 THEN 0.0 ELSE round(length(regexp_replace(t, '[^à-ỹđ]', '', 'g')) / n, 8) END::DOUBLE AS accented FROM l")
+@query(f"WITH l AS (SELECT doc_id, text AS t, lower(text) AS low, length(regexp_replace(lower(text), '[^\\p{{L}}]', '', 'g')) AS n FROM documents) SELECT doc_id, CASE WHEN n < 80 THEN 'empty' WHEN length(regexp_replace(t, '[^\\x{{A0}}-\\x{{BF}}\\x{{E000}}-\\x{{F8FF}}]', '', 'g')) + 5 * len(regexp_extract_all(t, '\\(cid:')) > 0.02 * length(t) THEN 'garbled' ELSE 'ok' END AS state, CASE WHEN n < 80 THEN 0.0 ELSE round(length(regexp_replace(low, '[^{VIETNAMESE}]', '', 'g')) / n, 8) END::DOUBLE AS accented FROM l")
 def page_quality_gate(spark, sf_dir):
     state, share = page_gate(F.col("text"))
     return src.disclosures(spark, sf_dir).select("doc_id", state.alias("state"), r(share).alias("accented"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_html, tokens_en, tokens_vi
+from ..functions import html, parse
+from ..functions.text import tokens_en, tokens_vi
 from ..operators import market as mk
 from ..operators import stats, tone
 from ..sources import tables as src
+from ..sources.files import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -204,15 +206,16 @@ def tone_tertiles(spark, sf_dir):
 
 @query(f"WITH {TONE}, k AS (SELECT doc_id, net, rank() OVER (ORDER BY net) AS r, count(*) OVER (PARTITION BY net) AS same, count(*) OVER () AS n FROM tone) SELECT doc_id, round((r + (same - 1) / 2) / n, 10) AS net_pct FROM k")
 def net_pct_rank(spark, sf_dir):
-    x = stats.ranked(_tone(spark, sf_dir).select("doc_id", "net"), ["net", "doc_id"], "net")
-    same = x.groupBy("net").agg(F.avg("rank").alias("mean"))
-    return x.join(same, "net").select("doc_id", r(F.col("mean") / F.col("n"), 10).alias("net_pct"))
+    t = stored(_tone(spark, sf_dir).select("doc_id", "net"), "net")
+    n = F.lit(t.count())
+    return stats.average_ranks(t, "net").select("doc_id", r(F.col("rank") / n, 10).alias("net_pct"))
 
 
 @query(f"WITH {TONE} SELECT count(*) AS n, round(avg(neg), 8) AS mean, round(stddev_samp(neg), 8) AS std, round(min(neg), 8) AS min, round(quantile_cont(neg, 0.25), 8) AS q25, round(quantile_cont(neg, 0.5), 8) AS q50, round(quantile_cont(neg, 0.75), 8) AS q75, round(max(neg), 8) AS max FROM tone")
 def tone_descriptive(spark, sf_dir):
-    q = [r(F.percentile("neg", p)).alias(a) for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return _tone(spark, sf_dir).agg(F.count("neg").alias("n"), r(F.avg("neg")).alias("mean"), r(F.stddev_samp("neg")).alias("std"), r(F.min("neg")).alias("min"), *q, r(F.max("neg")).alias("max"))
+    t = _tone(spark, sf_dir)
+    q = [r(F.lit(v)).alias(a) for v, a in zip(stats.quantiles(t, "neg", [0.25, 0.5, 0.75]), ("q25", "q50", "q75"), strict=True)]
+    return t.agg(F.count("neg").alias("n"), r(F.avg("neg")).alias("mean"), r(F.stddev_samp("neg")).alias("std"), r(F.min("neg")).alias("min"), *q, r(F.max("neg")).alias("max"))
 
 
 @query(f"WITH {TONE} SELECT round(corr(neg, pos), 8) AS r_neg_pos, round(corr(neg, net), 8) AS r_neg_net FROM tone")
@@ -238,12 +241,17 @@ def delta_tone_yoy(spark, sf_dir):
     return x.join(prev, ["ticker", "year"], "left").select("ticker", "year", "doc_id", r(F.col("neg") - F.col("before")).alias("delta"))
 
 
-def _events(spark, sf_dir):
-    px = src.prices(spark, sf_dir)
+def _grid(spark, sf_dir):
+    """Sessions, returns and market: a row per session and ticker, written once for the plans that use them often."""
+    px = stored(src.prices(spark, sf_dir), "prices")
     cal = mk.calendar(px)
-    rets = mk.returns(px)
     m = src.market(spark, sf_dir).join(cal, "date")
     m = m.select("idx", (F.col("close") / F.lag("close").over(Window.orderBy("idx")) - 1).alias("ret"))
+    return cal, stored(mk.returns(px), "returns"), stored(m, "market")
+
+
+def _events(spark, sf_dir):
+    cal, rets, m = _grid(spark, sf_dir)
     ev = mk.event_sessions(src.disclosures(spark, sf_dir).drop("text"), cal)
     n = cal.agg(F.count(F.lit(1)).alias("sessions"))
     ok = ev.crossJoin(F.broadcast(n)).where("i0 >= 150 AND i0 + 10 < sessions").drop("sessions")
@@ -260,7 +268,7 @@ def daily_returns(spark, sf_dir):
     return mk.returns(src.prices(spark, sf_dir)).where("ret IS NOT NULL").select("ticker", "idx", r(F.col("ret")).alias("ret"))
 
 
-@query(f"WITH {EVENTS} SELECT doc_id, ticker, i0 FROM ev WHERE i0 IS NOT NULL")
+@query(f"WITH {EVENTS} SELECT doc_id, ticker, i0 FROM ev")
 def event_session_asof(spark, sf_dir):
     return _events(spark, sf_dir)[0].select("doc_id", "ticker", "i0")
 
@@ -313,8 +321,9 @@ def ar_path(spark, sf_dir):
 @query(f"WITH {EVENTS}, c AS ({_car_sql(0, 3).replace('round(sum(ar), 8)', 'sum(ar)')}) SELECT count(car) AS n, round(avg(car) * 100, 6) AS mean_pct, round(avg(car) / (stddev_samp(car) / sqrt(count(car))), 5) AS t, round(avg((car > 0)::INT), 8) AS positive, round(quantile_cont(car, 0.5), 8) AS median FROM c")
 def car_tests_stats(spark, sf_dir):
     c = _car(spark, sf_dir, 0, 3)
+    middle = F.lit(stats.quantiles(c, "car", [0.5])[0])
     t = F.avg("car") / (F.stddev_samp("car") / F.sqrt(F.count("car")))
-    return c.agg(F.count("car").alias("n"), r(F.avg("car") * 100, 6).alias("mean_pct"), r(t, 5).alias("t"), r(F.avg((F.col("car") > 0).cast("int"))).alias("positive"), r(F.percentile("car", 0.5)).alias("median"))
+    return c.agg(F.count("car").alias("n"), r(F.avg("car") * 100, 6).alias("mean_pct"), r(t, 5).alias("t"), r(F.avg((F.col("car") > 0).cast("int"))).alias("positive"), r(middle).alias("median"))
 
 
 @query(f"""WITH {EVENTS}, {TONE.replace(DOCS + ', ', '')}, q AS (SELECT doc_id, row_number() OVER (ORDER BY neg, doc_id) AS rk, count(*) OVER () AS n FROM tone),
@@ -342,11 +351,11 @@ def asof_latest_fact(spark, sf_dir):
     return mk.latest_fact(asked, facts)
 
 
-@query("WITH s AS (SELECT o_custkey AS id, o_orderdate::DATE AS date, 1 + o_orderkey % 3 AS split FROM orders), c AS (SELECT c_custkey AS id, (DATE '1997-01-01' + (c_custkey % 500)::INT)::DATE AS day FROM customer) SELECT c.id, round(coalesce(product(split), 1.0), 6) AS factor FROM c LEFT JOIN s ON s.id = c.id AND s.date > c.day AND s.date <= c.day + 200 GROUP BY c.id")
+@query("WITH s AS (SELECT o_custkey AS id, o_orderdate::DATE AS date, 1 + o_orderkey % 3 AS split FROM orders), c AS (SELECT c_custkey AS id, (DATE '1997-01-01' + (c_custkey % 500)::INT)::DATE AS day FROM customer) SELECT c.id, round(coalesce(product(split), 1.0), 6) AS factor FROM c LEFT JOIN s ON s.id = c.id AND s.date > c.day GROUP BY c.id")
 def split_factor_product(spark, sf_dir):
     s = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("date"), (1 + F.col("o_orderkey") % 3).alias("split"))
     c = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.date_add(F.lit("1997-01-01").cast("date"), (F.col("c_custkey") % 500).cast("int")).alias("day"))
-    hit = (F.col("date") > F.col("day")) & (F.col("date") <= F.date_add("day", 200))
+    hit = F.col("date") > F.col("day")
     return c.join(s, "id", "left").groupBy("id").agg(r(F.coalesce(F.product(F.when(hit, F.col("split"))), F.lit(1.0)), 6).alias("factor"))
 
 
@@ -380,31 +389,51 @@ def event_dates_full_outer(spark, sf_dir):
     return labels.join(c, labels["doc_id"] == c["conv_id"], "full").select(F.coalesce("doc_id", "conv_id").alias("id"), "toxic", "turns")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'exact' WHEN doc_id % 4 = 1 THEN 'meta' ELSE 'default' END AS src, coalesce(CASE WHEN doc_id % 4 = 0 THEN DATE '2020-01-01' END, CASE WHEN doc_id % 4 = 1 THEN DATE '2020-02-01' END, DATE '2020-03-31') AS event_date FROM documents")
-def event_date_priority(spark, sf_dir):
-    d = F.col("doc_id") % 4
-    one, two = F.when(d == 0, F.lit("2020-01-01").cast("date")), F.when(d == 1, F.lit("2020-02-01").cast("date"))
-    label = F.when(one.isNotNull(), "exact").when(two.isNotNull(), "meta").otherwise("default")
-    return src.table(spark, sf_dir, "documents").select("doc_id", label.alias("src"), F.coalesce(one, two, F.lit("2020-03-31").cast("date")).alias("event_date"))
+PRIORITY = """WITH d AS (SELECT o_orderkey, any_value(o_orderdate)::DATE AS ordered, min(l_shipdate) FILTER (l_returnflag = 'R')::DATE AS first, min(l_shipdate) FILTER (l_returnflag = 'A')::DATE AS second,
+min(l_shipdate) FILTER (l_returnflag = 'N')::DATE AS third FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+v AS (SELECT o_orderkey, CASE WHEN month(first) <= 4 THEN first END AS a, CASE WHEN month(second) <= 7 AND year(second) = year(ordered) THEN second END AS b, third AS c FROM d)
+SELECT o_orderkey, coalesce(a, b, c) AS event_date, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' WHEN c IS NOT NULL THEN 'third' ELSE 'missing' END AS src FROM v"""
 
 
-@query("SELECT user_id, date_trunc('day', ts)::DATE AS day, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY ALL")
-def news_window_counts(spark, sf_dir):
-    n = [F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in ("view", "purchase", "error")]
-    return src.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(*n)
+@query(PRIORITY)
+def event_date_priority(spark, sf_dir):
+    """The first of three dates that is there and plausible, with its source."""
+    o, li = src.table(spark, sf_dir, "orders"), src.table(spark, sf_dir, "lineitem")
+    first = [F.min(F.when(F.col("l_returnflag") == k, F.to_date("l_shipdate"))).alias(n) for k, n in (("R", "first"), ("A", "second"), ("N", "third"))]
+    d = o.select("o_orderkey", F.to_date("o_orderdate").alias("ordered")).join(li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*first), "o_orderkey", "left")
+    sources = {
+        "first": F.when(F.month("first") <= 4, F.col("first")),
+        "second": F.when((F.month("second") <= 7) & (F.year("second") == F.year("ordered")), F.col("second")),
+        "third": F.col("third"),
+    }
+    label = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in sources.items()], F.lit("missing"))
+    return d.select("o_orderkey", F.coalesce(*sources.values()).alias("event_date"), label.alias("src"))
+
+
+GAPS = """WITH n AS (SELECT user_id AS ticker, ts FROM events WHERE event_type = 'error' AND hour(ts) % 6 <> 0), c AS (SELECT date_trunc('hour', ts) AS period, count(*) AS n FROM n GROUP BY 1),
+s AS (SELECT unnest(generate_series((SELECT min(period) FROM c), (SELECT max(period) FROM c), INTERVAL 1 HOUR)) AS period), f AS (SELECT ticker, min(ts) AS first FROM n GROUP BY ticker),
+p AS (SELECT period, coalesce(c.n, 0)::BIGINT AS n, (SELECT count(*) FROM f WHERE first <= period)::BIGINT AS n_tickers FROM s LEFT JOIN c USING (period)),
+q AS (SELECT *, CASE WHEN n_tickers > 0 THEN round(n / n_tickers, 2) END AS per_ticker, n_tickers >= 10 AND period < date_trunc('hour', TIMESTAMP '2024-01-29 12:30:00') AS judged FROM p)
+SELECT period, n, n_tickers, per_ticker, coalesce(judged AND per_ticker < 0.25 * (SELECT quantile_cont(per_ticker, 0.5) FROM q WHERE judged), false) AS gap FROM q"""
+
+
+@query(GAPS)
+def monthly_coverage_gap(spark, sf_dir):
+    """Items per covered ticker over the whole spine of periods; the events span a month, so by the hour."""
+    news = src.table(spark, sf_dir, "events").where("event_type = 'error' AND hour(ts) % 6 <> 0").select(F.col("user_id").alias("ticker"), "ts")
+    return mk.coverage(news, "hour", F.lit("2024-01-29 12:30:00").cast("timestamp_ntz"))
 
 
-@query("WITH m AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL), q AS (SELECT event_type, quantile_cont(n, 0.5) AS med FROM m GROUP BY event_type) SELECT m.event_type, h, n, users, n < 0.25 * med AS gap FROM m JOIN q USING (event_type)")
-def monthly_coverage_gap(spark, sf_dir):
-    m = src.table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-    q = m.groupBy("event_type").agg(F.percentile("n", 0.5).alias("med"))
-    return m.join(q, "event_type").select("event_type", "h", "n", "users", (F.col("n") < 0.25 * F.col("med")).alias("gap"))
+SESSIONS = "cal AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS idx FROM (SELECT DISTINCT ts::DATE AS date FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5 AND day(ts) BETWEEN 3 AND 26))"
 
 
-@query("SELECT event_id, (date_diff('day', DATE '1970-01-01', ts::DATE) + CASE WHEN hour(ts) >= 15 THEN 1 ELSE 0 END)::INT AS session FROM events")
+@query(f"""WITH {SESSIONS}, n AS (SELECT event_id, ts, coalesce((SELECT min(idx) FROM cal WHERE date >= ts::DATE), (SELECT count(*) FROM cal)) AS idx FROM events)
+SELECT event_id, least(idx + CASE WHEN hour(ts) >= 15 AND ts::DATE IN (SELECT date FROM cal) THEN 1 ELSE 0 END, (SELECT count(*) FROM cal) - 1)::INT AS session FROM n""")
 def news_session_index(spark, sf_dir):
-    late = F.when(F.hour("ts") >= 15, 1).otherwise(0)
-    return src.table(spark, sf_dir, "events").select("event_id", (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) + late).alias("session"))
+    """Weekdays from the 3rd to the 26th are the sessions; items before and after them exist."""
+    news = src.table(spark, sf_dir, "events").select("event_id", "ts")
+    open_days = news.where("dayofweek(ts) BETWEEN 2 AND 6 AND day(ts) BETWEEN 3 AND 26").select(F.to_date("ts").alias("date"))
+    return mk.news_sessions(news, mk.calendar(open_days)).select("event_id", F.col("session").cast("int").alias("session"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)licensed?') AS license, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS phone FROM documents")
@@ -413,14 +442,29 @@ def news_topic_flags(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").select("doc_id", t.rlike("(?i)licensed?").alias("license"), t.rlike("[0-9]{3}-[0-9]{4}").alias("phone"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[?&]utm_[^&]*', '', 'g') AS clean, starts_with(url, 'https') AS secure FROM pages")
+RAW_URL = "CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '[?#].*$', '') || '?utm_source=feed' WHEN 1 THEN regexp_replace(url, '^https?://[^/]+', '') ELSE url END"
+
+
+@query(f"WITH u AS (SELECT page_id, regexp_replace({RAW_URL}, '\\?utm_[^#]*$', '') AS u FROM pages) SELECT page_id, CASE WHEN starts_with(u, '/') THEN 'https://cafef.vn' || u ELSE u END AS clean, CASE WHEN starts_with(u, '/en/') THEN 'cbtt' ELSE 'bai_bao' END AS kind FROM u")
 def url_clean_kind(spark, sf_dir):
-    return src.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?&]utm_[^&]*", "").alias("clean"), F.startswith(F.col("url"), F.lit("https")).alias("secure"))
+    u = src.table(spark, sf_dir, "pages").select("page_id", F.expr(RAW_URL).alias("u"))
+    return u.select("page_id", parse.clean_url(F.col("u")).alias("clean"), parse.url_kind(F.col("u"), "/en/").alias("kind"))
+
+
+def _cleaned_sql(column: str) -> str:
+    """The cleaning of pages whose entities are the five below and which hold no table of numbers."""
+    x = f"regexp_replace({column}, '<style\\b.*?</style>|<script\\b.*?</script>|<head\\b.*?</head>', ' ', 'gis')"
+    for entity, plain in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&nbsp;", chr(160)), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{plain}')"
+    x = f"regexp_replace({x}, '</?(?:{html.INLINE})\\b[^>]*>', '', 'gi')"
+    x = f"regexp_replace(regexp_replace({x}, '</?(?:{html.BLOCK})\\b[^>]*>', chr(10), 'gi'), '-\\s*\\n\\s*', '-', 'g')"
+    x = f"upper(regexp_replace({x}, '<[^>]+>', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({x}, '[ \\t\\f\\x0B]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
 
 
-@query()
+@query(f"SELECT page_id, replace({_cleaned_sql('html')}, 'ẞ', 'SS') AS text FROM pages")
 def clean_html_pages(spark, sf_dir):
-    return src.table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
+    return src.table(spark, sf_dir, "pages").select("page_id", html.clean_filing(F.col("html")).alias("text"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (lang = 'en' AND n_chars >= 500) AS long_enough FROM documents")

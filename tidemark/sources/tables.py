@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 LEXICON = (
     ("fin", "OF", "negative"), ("fin", "AND", "negative"), ("fin", "THE", "positive"), ("fin", "TO", "positive"), ("fin", "WAS", "positive"),
     ("fin", "THAT", "uncertainty"), ("fin", "IN", "litigious"), ("gen", "OF", "negative"), ("gen", "ON", "negative"), ("gen", "AT", "negative"), ("gen", "THE", "positive"),
+    ("gen", "WAS", "negative"),
 )
 NEGATORS = ("IS", "BE")
 
