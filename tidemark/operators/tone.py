@@ -18,9 +18,9 @@ def hits(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ()) -> D
     t = docs.select("doc_id", tokens_en(F.col("text")).alias("tokens"))
     t = t.select("doc_id", "tokens", F.posexplode("tokens").alias("i", "term"))
     off = negated(F.col("tokens"), F.col("i"), negators) if negators else F.lit(False)
-    t = t.select("doc_id", "term", off.alias("off")).groupBy("doc_id", "term", "off").agg(F.count(F.lit(1)).alias("n"))
-    met = t.join(lexicon, "term").where((F.col("category") != "positive") | ~F.col("off"))
-    return met.groupBy("doc_id", "lexicon", "category", "term").agg(F.sum("n").alias("tf"))
+    # Dictionary words first: a small lexicon is broadcast, and only hits are grouped and shuffled.
+    met = t.select("doc_id", "term", off.alias("off")).join(lexicon, "term").where((F.col("category") != "positive") | ~F.col("off"))
+    return met.groupBy("doc_id", "lexicon", "category", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame, master: DataFrame | None = None) -> DataFrame:

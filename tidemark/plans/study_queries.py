@@ -120,9 +120,9 @@ def car_sign_tests(spark, sf_dir):
     return t.select("label", "n", *[r(F.col(c), 6).alias(c) for c in ("mean_pct", "median_pct", "pct_positive", "p_sign")], r(F.col("t"), 5).alias("t"), r(F.col("t_bmp"), 5).alias("t_bmp"))
 
 
-def fit_sql(model: str, y: str, x: str, panel: str = "panel", where: str = "true") -> str:
+def fit_sql(model: str, y: str, x: str, panel: str = "panel", where: str = "true", digits: int = 6) -> str:
     """One term with year effects, clustered by ticker, in the within form, as a row of a table of models."""
-    return f"""SELECT '{model}' AS model, '{y}' AS y, '{x}' AS term, round(b, 6) AS coef, round(sqrt(m / sxx ^ 2 * g / (g - 1) * (n - 1) / (n - k)), 6) AS se, n AS n_obs FROM (
+    return f"""SELECT '{model}' AS model, '{y}' AS y, '{x}' AS term, round(b, {digits}) AS coef, round(sqrt(m / sxx ^ 2 * g / (g - 1) * (n - 1) / (n - k)), {digits}) AS se, n AS n_obs FROM (
 WITH u AS (SELECT * FROM {panel} WHERE {y} IS NOT NULL AND {x} IS NOT NULL AND ({where})), d AS (SELECT ticker, {x} - avg({x}) OVER (PARTITION BY year) AS x, {y} - avg({y}) OVER (PARTITION BY year) AS y FROM u),
 b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, (SELECT count(DISTINCT year) FROM u) + 1 AS k FROM d), s AS (SELECT ticker, sum(x * (y - b * x)) AS s FROM d, b GROUP BY ticker)
 SELECT b, sxx, n, k, sum(s * s) AS m, count(*) AS g FROM s, b GROUP BY ALL)"""
@@ -143,7 +143,7 @@ def robustness_fits(spark, sf_dir):
     return _rows(inference.models(_panel(spark, sf_dir), specs, "ticker", ["year"], 30))
 
 
-@query(f"WITH {PANEL}, f AS ({' UNION ALL '.join(fit_sql(n, y, 'neg_z') for n, y in ROBUST.items())}) SELECT model, term, round(coef, 5) AS coef, round(100 * coef, 3) AS effect_pct FROM f")
+@query(f"WITH {PANEL}, f AS ({' UNION ALL '.join(fit_sql(n, y, 'neg_z', digits=15) for n, y in ROBUST.items())}) SELECT model, term, round(coef, 5) AS coef, round(100 * coef, 3) AS effect_pct FROM f")
 def economic_magnitude(spark, sf_dir):
     """Points of return, in percent, for one standard deviation of tone."""
     f = inference.models(_panel(spark, sf_dir), {n: (y, ["neg_z"]) for n, y in ROBUST.items()}, "ticker", ["year"], 30)
