@@ -309,3 +309,37 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(path + "/labels.parquet")
     for name, query in llm.QUERIES.items():
         assert query(spark, path).count() == 0, name
+
+
+def plain_spans(text):
+    """The base kinds by the contract's own patterns, leftmost and not overlapping per kind."""
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    )
+    found = [(m.start(), k, m.end(), name) for k, (name, p, good) in enumerate(kinds) for m in re.finditer(p, text) if good(m[0])]
+    return [(name, s, e) for s, k, e, name in sorted(found)]
+
+
+def test_op5(spark, tmp_path):
+    g = np.random.default_rng(4)
+    parts = ["a.b@c.de", "x@y", "1.2.3.4", "300.1.1.1", "4041894974608795", "4041 8949 7460 8796", "+1 (988) 555-2485", "+12", "é 漢", "jane [at] example.com", "12-", ".", "\n", " "]
+    texts = ["".join(g.choice(parts, 25)) for _ in range(120)] + [None, "", "\x00 a@b.c"] + [" ".join(g.choice(parts, 4000))]
+    rows5 = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 2)]
+    spark.createDataFrame(rows5, "doc_id long, text string, spans int").write.parquet(str(tmp_path) + "/documents.parquet")
+    out = got(spark, "op5_private_spans", str(tmp_path))
+    assert len(out) == len(rows5)
+    for r in out:
+        want = plain_spans(texts[r["doc_id"]] or "")
+        counts = collections.Counter(k for k, *_ in want)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(counts[k] for k in ("email", "ip", "card", "phone"))
+        spelt = [f"{k}:{s}:{e}" for k, s, e in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spelt).encode()).hexdigest()
+        assert set(spelt) <= set(r["spans"].split(",")) if spelt else True
