@@ -11,6 +11,7 @@ from .piece_coding import op2_sentencepiece_chunks
 from .quality import op1_compression_bands
 from .seating import op6_pitman_yor
 from .token_files import op7_token_planes
+from .token_links import op12_token_links
 from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_line_runs,
         op9_jaccard_forest,
         op10_toxicity_ftrl,
+        op12_token_links,
     )
 }
 
