@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .fingerprints import op4_closed_syncmers
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .line_runs import OP8_SQL, op8_line_runs
+from .metric_tree import OP11_SQL, op11_metric_tree
 from .near_copies import op9_jaccard_forest
 from .packing import op3_pack_best_fit
 from .private_data import op5_private_spans
@@ -27,8 +29,10 @@ QUERIES = {
         op8_line_runs,
         op9_jaccard_forest,
         op10_toxicity_ftrl,
+        op11_metric_tree,
         op12_token_links,
+        op13_hard_negatives,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_line_runs": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_line_runs": OP8_SQL, "op11_metric_tree": OP11_SQL, "op13_hard_negatives": OP13_SQL}
