@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import negated, tokens_vi
 
@@ -30,7 +33,8 @@ def longest_matches(docs: DataFrame, lexicon: DataFrame, longest: int, negators:
     runs = places.select("doc_id", "i", off.alias("off"), F.explode(F.array(*runs)).alias("r"))
     runs = runs.select("doc_id", "i", "off", "r.n", "r.term").where("term IS NOT NULL")
     flags = [F.max(F.when(F.col("category") == c, 1).otherwise(0)).alias(c) for c in CATEGORIES]
-    met = runs.join(F.broadcast(lexicon.groupBy("term").agg(*flags)) if _bounded(lexicon) else lexicon.groupBy("term").agg(*flags), "term")
+    entries = lexicon.groupBy("term").agg(*flags)
+    met = runs.join(entries if _entries(lexicon) is None else F.broadcast(entries), "term")
     met = met.withColumn("positive", F.when(F.col("off"), 0).otherwise(F.col("positive")))
     hit = F.struct("i", (-F.col("n")).alias("shorter"), "n", *CATEGORIES)
     found = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("found"))
@@ -45,76 +49,141 @@ def longest_matches(docs: DataFrame, lexicon: DataFrame, longest: int, negators:
     return sizes.join(counts, "doc_id", "left").na.fill(0, list(CATEGORIES))
 
 
-def _bounded(lexicon: DataFrame, most: int = 100_000) -> bool:
-    """Whether the dictionary is small enough to broadcast; a larger one joins by shuffle."""
-    return lexicon.limit(most + 1).count() <= most
+def _entries(lexicon: DataFrame, most: int = 100_000) -> list[tuple[str, list[str]]] | None:
+    """(term, categories) of a dictionary of at most `most` rows; None for a larger one, which is to be
+    joined by a shuffle. A dictionary made on the driver costs no job."""
+    rows = lexicon.select("term", "category").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    found: dict[str, set[str]] = {}
+    for r in rows:
+        if r["term"] is not None and r["category"] is not None:
+            found.setdefault(r["term"], set()).add(r["category"])
+    return [(term, sorted(categories)) for term, categories in sorted(found.items())]
+
+
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("categories", T.ArrayType(T.StringType()))])
+
+
+class Trie:
+    """The phrases of a dictionary as a trie over words."""
+
+    def __init__(self, entries: Sequence[tuple[str, list[str]]], longest: int) -> None:
+        self.root: dict = {}
+        for term, categories in entries:
+            words = term.split(" ")
+            if len(words) <= longest:
+                node = self.root
+                for word in words:
+                    node = node.setdefault(word, {})
+                node[None] = (term, categories)  # no word is None
+
+    def matches(self, words: Sequence[str]) -> Iterator[tuple[int, int, tuple[str, list[str]]]]:
+        """(first word, end, entry) of the longest phrase at each place, from the left; its words are used up."""
+        i, n = 0, len(words)
+        while i < n:
+            node, j, best = self.root.get(words[i]), i + 1, None
+            while node is not None:
+                if None in node:
+                    best = (i, j, node[None])
+                node = node.get(words[j]) if j < n else None
+                j += 1
+            if best:
+                yield best
+            i = best[1] if best else i + 1
+
+
+def _worded(docs: DataFrame, cased: Column, word: str) -> DataFrame:
+    """doc_id, words, gaps: the words of the cased text and the lengths of what stands before each; null
+    where the case changes the text's length, and for a null text."""
+    t = docs.select("doc_id", F.when(F.length(cased) == F.length("text"), cased).alias("u"))
+    return t.select("doc_id", F.regexp_extract_all("u", F.lit(word), F.lit(0)).alias("words"), F.transform(F.split("u", word), lambda g: F.length(g)).alias("gaps"))
+
+
+def _spans(docs: DataFrame, cased: Column, word: str, lexicon: DataFrame, longest: int, negators: Sequence[str], most: int, reach: int = 3) -> DataFrame:
+    """doc_id, spans of the greedy longest phrases. A dictionary of at most `most` rows is a trie that goes
+    to the tasks: each text is walked once, in place, without a shuffle. Candidates for a larger one are
+    joined with it by a shuffle, as numbers and one phrase each; there doc_id must tell texts apart."""
+    entries = _entries(lexicon, most)
+    t = _worded(docs, cased, word)
+    off = frozenset(negators)
+    if entries is None:
+        return _joined_spans(t, lexicon, longest, negators)
+    trie = Trie(entries, longest)
+
+    def walk(words: list[str], gaps: list[int]) -> Iterator[tuple[int, int, str, list[str]]]:
+        ends = list(accumulate(g + len(w) for g, w in zip(gaps, words, strict=False)))  # the last gap has no word after it
+        for i, j, (term, categories) in trie.matches(words):
+            if "positive" in categories and not off.isdisjoint(words[max(0, i - reach) : i]):
+                categories = [c for c in categories if c != "positive"]
+            if categories:
+                yield ends[i] - len(words[i]), ends[j - 1], term, categories
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if w is None else [dict(zip(SPAN.names, s, strict=True)) for s in walk(w, g)] for w, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("categories", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+
+    return t.mapInArrow(run, T.StructType([t.schema["doc_id"], T.StructField("spans", T.ArrayType(SPAN))]))
+
+
+def _joined_spans(t: DataFrame, lexicon: DataFrame, longest: int, negators: Sequence[str]) -> DataFrame:
+    """`_spans` by a shuffle join: a row per word and length meets the dictionary, matches meet by text."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [None if w is None else list(accumulate(g + len(x) for g, x in zip(gaps, w, strict=False))) for w, gaps in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "words", "ends"])
+
+    placed = t.mapInArrow(ends, T.StructType([t.schema["doc_id"], t.schema["words"], T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+    words = placed.select("doc_id", "words", "ends", F.posexplode("words").alias("i", "word"))
+    off = negated(F.col("words"), F.col("i"), negators) if negators else F.lit(False)
+    runs = []
+    for n in range(1, longest + 1):
+        spaced = [x for j in range(n) for x in (F.lit(" "), F.get("words", F.col("i") + j))][1:]
+        runs.append(F.struct(F.lit(n).alias("n"), F.concat(*spaced).alias("term"), F.get("ends", F.col("i") + n - 1).alias("end")))
+    start = F.get("ends", F.col("i")) - F.length("word")
+    x = words.select("doc_id", "i", start.alias("start"), F.coalesce(off, F.lit(False)).alias("off"), F.inline(F.array(*runs))).where("term IS NOT NULL")
+    entries = lexicon.groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    kept = F.filter("categories", lambda c: (c != "positive") | ~F.col("off"))
+    hit = F.struct("i", (-F.col("n")).alias("shorter"), "n", "start", "end", "term", kept.alias("categories"))
+    found = t.select("doc_id", F.col("words").isNotNull().alias("there")).join(x.join(entries, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("found")), "doc_id", "left")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for there, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                free, kept = 0, []
+                for h in hits or []:
+                    if h["i"] >= free:
+                        free = h["i"] + h["n"]
+                        if h["categories"]:
+                            kept.append({k: h[k] for k in SPAN.names})
+                out.append(kept if there else None)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("categories", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
+
+    return found.mapInArrow(take, T.StructType([t.schema["doc_id"], T.StructField("spans", T.ArrayType(SPAN))]))
 
 
 TOKEN = r"(?U)\b[A-Z][A-Z\-]+\b"
 
 
-def term_spans(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = ()) -> DataFrame:
+def term_spans(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = (), most: int = 100_000) -> DataFrame:
     """doc_id, spans: array of (start, end, term, categories) of a text's single-word terms, by start.
 
     lexicon: term, category. Offsets count code points of the text; spans are null where upper-casing
-    changes the length, and for a null text. A positive term after a negator is left out. Places are
-    running sums of the lengths of words and of what stands between them, a window per text.
-    """
-    upper = F.upper("text")
-    whole = F.length(upper) == F.length("text")
-    t = docs.select("doc_id", F.when(whole, upper).alias("u"))
-    parts = t.select("doc_id", F.split("u", TOKEN).alias("gaps"), F.regexp_extract_all("u", F.lit(TOKEN), F.lit(0)).alias("terms"))
-    rows = parts.select("doc_id", "terms", F.posexplode("gaps").alias("i", "gap")).withColumn("term", F.get("terms", F.col("i")))
-    off = negated(F.col("terms"), F.col("i"), negators) if negators else F.lit(False)
-    rows = rows.select("doc_id", "i", "term", F.length("gap").alias("before"), F.coalesce(F.length("term"), F.lit(0)).alias("long"), F.coalesce(off, F.lit(False)).alias("off"))
-    end = F.sum(F.col("before") + F.col("long")).over(Window.partitionBy("doc_id").orderBy("i"))
-    placed = rows.select("doc_id", "term", "long", "off", end.cast("int").alias("end"))
-    entries = lexicon.groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories"))
-    met = placed.join(F.broadcast(entries) if _bounded(lexicon) else entries, "term")
-    kept = F.filter("categories", lambda c: (c != "positive") | ~F.col("off"))
-    span = F.struct((F.col("end") - F.col("long")).alias("start"), "end", "term", kept.alias("categories"))
-    spans = met.where(F.size(kept) > 0).groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    none = F.array().cast("array<struct<start: int, end: int, term: string, categories: array<string>>>")
-    return t.join(spans, "doc_id", "left").select("doc_id", F.when(F.col("u").isNotNull(), F.coalesce("spans", none)).alias("spans"))
+    changes the length, and for a null text. A positive term after a negator is left out."""
+    return _spans(docs, F.upper("text"), TOKEN, lexicon, 1, negators, most)
 
 
-def phrase_spans(docs: DataFrame, lexicon: DataFrame, longest: int, negators: Sequence[str] = ()) -> DataFrame:
+def phrase_spans(docs: DataFrame, lexicon: DataFrame, longest: int, negators: Sequence[str] = (), most: int = 100_000) -> DataFrame:
     """doc_id, spans: array of (start, end, term, categories) of greedy longest phrases in lower-case text.
 
     The rule is that of `longest_matches`; offsets count code points of the text, null where
     lower-casing changes the length."""
-    low = F.lower("text")
-    t = docs.select("doc_id", F.when(F.length(low) == F.length("text"), low).alias("u"))
-    word = "[a-zà-ỹđ]+"
-    parts = t.select("doc_id", F.split("u", word).alias("gaps"), F.regexp_extract_all("u", F.lit(word), F.lit(0)).alias("terms"))
-    rows = parts.select("doc_id", "terms", F.posexplode("gaps").alias("i", "gap"))
-    size = F.length("gap") + F.coalesce(F.length(F.get("terms", F.col("i"))), F.lit(0))
-    rows = rows.select("doc_id", "terms", "i", F.sum(size).over(Window.partitionBy("doc_id").orderBy("i")).cast("int").alias("end"))
-    off = negated(F.col("terms"), F.col("i"), negators) if negators else F.lit(False)
-    held = rows.select("doc_id", "i", "end", F.length(F.get("terms", F.col("i"))).alias("long"), F.coalesce(off, F.lit(False)).alias("off"), *[F.get("terms", F.col("i") + j).alias(f"w{j}") for j in range(longest)])
-    spread = Window.partitionBy("doc_id").orderBy("i")
-    runs = [F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{j}" for j in range(n)]).alias("term"), F.lead("end", n - 1).over(spread).alias("last")) for n in range(1, longest + 1)]
-    runs = [F.when(F.col(f"w{n - 1}").isNotNull(), r) for n, r in enumerate(runs, start=1)]
-    x = held.select("doc_id", "i", (F.col("end") - F.col("long")).alias("start"), "off", F.array(*runs).alias("runs"))
-    x = x.select("doc_id", "i", "start", "off", F.inline("runs"))
-    entries = lexicon.groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories"))
-    met = x.join(F.broadcast(entries) if _bounded(lexicon) else entries, "term")
-    kept = F.filter("categories", lambda c: (c != "positive") | ~F.col("off"))
-    hit = F.struct("i", (-F.col("n")).alias("shorter"), "n", "start", "last", "term", kept.alias("categories"))
-    found = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("found"))
-    # Which hits are taken is a fold over one text's matches; it keeps their numbers only.
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("taken"))
-    places = F.sequence(F.lit(0), F.size("found") - 1)
-
-    def take(a: Column, k: Column) -> Column:
-        h = F.get("found", k)
-        return F.when(h["i"] >= a["free"], F.struct((h["i"] + h["n"]).alias("free"), F.concat(a["taken"], F.array(k)).alias("taken"))).otherwise(a)
-
-    taken = found.select("doc_id", "found", F.aggregate(places, start, take, lambda a: a["taken"]).alias("taken"))
-    spans = F.filter(F.transform("taken", lambda k: F.get("found", k)), lambda h: F.size(h["categories"]) > 0)
-    spans = F.transform(spans, lambda h: F.struct(h["start"].alias("start"), h["last"].alias("end"), h["term"].alias("term"), h["categories"].alias("categories")))
-    none = F.array().cast("array<struct<start: int, end: int, term: string, categories: array<string>>>")
-    return t.join(taken.select("doc_id", spans.alias("spans")), "doc_id", "left").select("doc_id", F.when(F.col("u").isNotNull(), F.coalesce("spans", none)).alias("spans"))
+    return _spans(docs, F.lower("text"), "[a-zà-ỹđ]+", lexicon, longest, negators, most)
 
 
 def top_words(spans: DataFrame, most: int = 12) -> DataFrame:
