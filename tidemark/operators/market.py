@@ -58,53 +58,171 @@ def news_sessions(news: DataFrame, sessions: DataFrame, close_hour: int = 15, cl
     return x.withColumn("session", F.least(at, F.col("__n") - 1) if clamp else at).drop("idx", "__day", "__open", "__n")
 
 
-def windows(events: DataFrame, rets: DataFrame, market: DataFrame, lo: int, hi: int) -> DataFrame:
-    """A row per event and session offset in [lo, hi]: own and market return, by an equi-join."""
-    spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
-    spread = spread.withColumn("idx", F.col("i0") + F.col("k"))
-    own = rets.select("ticker", "idx", "ret")
-    return spread.join(own, ["ticker", "idx"]).join(market.select("idx", F.col("ret").alias("mret")), "idx")
+#: Running sums that windows are differences of. Traded days have both returns and an own one that is
+#: not 0; whole days have both. x and y are the market's and own return less the ticker's mean, for digits.
+def _sums() -> dict[str, tuple[Column, Column]]:
+    ret, mret = F.col("ret"), F.col("mret")
+    both = ret.isNotNull() & mret.isNotNull()
+    traded = both & (ret != 0)
+    x, y, own, mkt, worth = mret - F.col("cx"), ret - F.col("cy"), 1 + ret, 1 + mret, F.col("close") * F.col("volume")
+    one = F.lit(1.0)
+    return {
+        "n": (traded, one), "x": (traded, x), "y": (traded, y), "xx": (traded, x * x), "yy": (traded, y * y), "xy": (traded, x * y),
+        "days": (F.lit(True), one), "whole": (both, one), "own": (both, ret), "mkt": (both, mret), "zero": (ret == 0, one),
+        "own_log": (own != 0, F.log(F.abs(own))), "own_none": (own == 0, one), "own_minus": (own < 0, one),
+        "mkt_log": (mkt != 0, F.log(F.abs(mkt))), "mkt_none": (mkt == 0, one), "mkt_minus": (mkt < 0, one),
+        "worth": (worth.isNotNull(), worth), "worths": (worth.isNotNull(), one), "volume": (F.col("volume").isNotNull(), F.col("volume")), "volumes": (F.col("volume").isNotNull(), one),
+    }
+
+
+def over_sessions(rets: DataFrame, market: DataFrame, spans: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """rets with mret, cx, cy, `last` (the ticker's last idx) and, for each span (lo, hi), a struct of sums
+    over the sessions idx + lo to idx + hi; sessions outside the calendar add nothing.
+
+    rets: the full grid of `returns`. A window is the difference of two running sums, which stand some
+    sessions before and after its own: one shuffle and one sort by (ticker, idx) serve all spans, and a
+    session costs the same however long the spans are. A ticker has a row per session, no more.
+    """
+    by = Window.partitionBy("ticker")
+    order = by.orderBy("idx")
+    x = rets.join(F.broadcast(market.select("idx", F.col("ret").alias("mret"))), "idx", "left")  # a row per session
+    x = x.withColumns({"cx": F.coalesce(F.avg("mret").over(by), F.lit(0.0)), "cy": F.coalesce(F.avg("ret").over(by), F.lit(0.0)), "last": F.max("idx").over(by)})
+    sums = _sums()
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("run", F.struct(*[F.sum(F.when(cond, value).otherwise(0.0)).over(upto).alias(k) for k, (cond, value) in sums.items()]))
+    whole = F.last("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    none = F.struct(*[F.lit(0.0).alias(k) for k in sums])
+    edges = sorted({k for lo, hi in spans.values() for k in (lo - 1, hi)})
+    at = {k: F.coalesce(F.lag("run", -k).over(order), none) if k < 0 else F.coalesce(F.lead("run", k).over(order), whole) for k in edges}
+    x = x.withColumns({f"at_{i}": at[k] for i, k in enumerate(edges)})
+
+    def between(lo: int, hi: int) -> Column:
+        a, b = f"at_{edges.index(lo - 1)}", f"at_{edges.index(hi)}"
+        return F.struct(*[(F.col(b)[k] - F.col(a)[k]).alias(k) for k in sums])
+
+    return x.select(*rets.columns, "mret", "cx", "cy", "last", *[between(lo, hi).alias(name) for name, (lo, hi) in spans.items()])
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a / b)
+
+
+def _fitted(span: str, least: int) -> dict[str, Column]:
+    """n_obs, alpha, beta, sigma of a span's traded days; nulls under `least` of them or without spread."""
+    s = F.col(span)
+    n, enough = F.round(s["n"]), F.round(s["n"]) >= max(least, 1)
+    sxx, sxy, syy = (s[ab] - s[a] * s[b] / F.greatest(n, F.lit(1.0)) for ab, a, b in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
+    beta = F.when(enough & (sxx > 1e-13 * s["xx"]), sxy / F.when(sxx != 0, sxx))
+    alpha = F.col("cy") + s["y"] / F.greatest(n, F.lit(1.0)) - beta * (F.col("cx") + s["x"] / F.greatest(n, F.lit(1.0)))
+    sigma = F.when(n > 2, F.sqrt(F.greatest(syy - beta * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1.0))))
+    return {"n_obs": n.cast("long"), "alpha": alpha, "beta": beta, "sigma": sigma}
+
+
+def _summed(span: str, size: int) -> tuple[Column, Column, Column]:
+    """car, scar and carma of a span of `size` sessions; nulls unless every abnormal return is there."""
+    s, n = F.col(span), F.lit(float(size))
+    there = F.round(s["whole"]) == size
+    car = F.when(there, s["own"] - F.col("alpha") * n - F.col("beta") * s["mkt"])
+    return car, _ratio(car, F.col("sigma") * F.sqrt(n)), F.when(there & F.col("alpha").isNotNull(), s["own"] - s["mkt"])
+
+
+def _product(span: str, side: str) -> Column:
+    """The product of 1 + return over a span; missing returns are left out."""
+    s = F.col(span)
+    sign = 1 - 2 * F.pmod(F.round(s[f"{side}_minus"]), F.lit(2.0))
+    return F.when(F.round(s[f"{side}_none"]) > 0, 0.0).otherwise(sign * F.exp(s[f"{side}_log"]))
+
+
+def span_name(prefix: str, lo: int, hi: int) -> str:
+    """car, -1, 1: car_m1_1."""
+    return "_".join([prefix, *[f"m{-k}" if k < 0 else str(k) for k in (lo, hi)]])
+
+
+WINDOWS = ((0, 3), (0, 1), (-1, 1), (0, 5), (0, 10))
+
+
+def session_study(
+    rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]] = WINDOWS, main: tuple[int, int] = (0, 3), estimation: tuple[int, int] = (-150, -11), least: int = 80, shift: int = -60
+) -> DataFrame:
+    """What an event on each session of each ticker would show, a row per (ticker, i0) that has a model.
+
+    day0; n_obs, alpha, beta, sigma of the market model; zero_ret_share of the estimation window; car_,
+    scar_ and carma_ of each span; bhar_ of the main span; placebo_car_, the main span's car at i0 + shift
+    where that session has a model too; pre_ret over sessions -30 to -2; pre_alpha, the intercept over -252
+    to -6; log_tradeval over -60 to -1; volume_year over -252 to -6; close_before. A session has a model if the
+    estimation window and the longest span lie in the calendar and `least` days were traded.
+    """
+    named = {span_name("w", lo, hi): (lo, hi) for lo, hi in spans}
+    own = {"est": estimation, "year": (-252, -6), "month": (-30, -2), "quarter": (-60, -1)}
+    x = over_sessions(rets, market, {**own, **named})
+    lo, hi = estimation
+    inside = (F.round(F.col("est")["days"]) == hi - lo + 1) & (F.col("idx") + max(b for _, b in spans) <= F.col("last"))
+    x = x.withColumns({k: F.when(inside, c) for k, c in _fitted("est", least).items()})
+    pre = _fitted("year", least)["alpha"]
+    value = _ratio(F.col("quarter")["worth"], F.round(F.col("quarter")["worths"]))
+    columns = {"zero_ret_share": F.col("est")["zero"] / (hi - lo + 1)}
+    for name, (a, b) in named.items():
+        for prefix, c in zip(("car", "scar", "carma"), _summed(name, b - a + 1), strict=True):
+            columns[span_name(prefix, a, b)] = c
+    a, b = main
+    columns[span_name("bhar", a, b)] = _product(span_name("w", a, b), "own") - _product(span_name("w", a, b), "mkt")
+    columns |= {
+        "pre_ret": F.col("month")["own"] - F.col("month")["mkt"], "pre_alpha": pre, "log_tradeval": F.when(value > 0, F.log(value)),
+        "volume_year": F.when(F.round(F.col("year")["volumes"]) > 0, F.col("year")["volume"]),
+    }
+    x = x.withColumns(columns)
+    order = Window.partitionBy("ticker").orderBy("idx")
+    x = x.withColumns({span_name("placebo_car", a, b): F.lag(span_name("car", a, b), -shift).over(order), "close_before": F.lag("close").over(order)})
+    kept = [*columns, span_name("placebo_car", a, b), "close_before"]
+    return x.where("beta IS NOT NULL").select("ticker", F.col("idx").alias("i0"), F.col("date").alias("day0"), "n_obs", "alpha", "beta", "sigma", *kept)
+
+
+def event_study(events: DataFrame, study: DataFrame) -> DataFrame:
+    """events (with ticker, i0) that have a model, with their session's columns: one equi-join."""
+    return events.join(study, ["ticker", "i0"])
 
 
 def market_model(events: DataFrame, rets: DataFrame, market: DataFrame, least: int, lo: int = -150, hi: int = -11) -> DataFrame:
     """doc_id, n_obs, alpha, beta, sigma by least squares on the days with returns that are not 0.
 
     With lo = -252 and hi = -6 alpha is the abnormal return before the event (`pre_alpha`)."""
-    x = windows(events, rets, market, lo, hi).where("ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0")
-    fit = x.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_obs"), F.regr_intercept("ret", "mret").alias("alpha"), F.regr_slope("ret", "mret").alias("beta"),
-        (F.regr_syy("ret", "mret") - F.regr_sxy("ret", "mret") ** 2 / F.regr_sxx("ret", "mret")).alias("sse"),
-    )
-    return fit.where(F.col("n_obs") >= least).select("doc_id", "n_obs", "alpha", "beta", F.sqrt(F.col("sse") / (F.col("n_obs") - 2)).alias("sigma"))
+    x = over_sessions(rets, market, {"est": (lo, hi)}).select("ticker", F.col("idx").alias("i0"), *[c.alias(k) for k, c in _fitted("est", least).items()])
+    return events.select("doc_id", "ticker", "i0").join(x.where("beta IS NOT NULL"), ["ticker", "i0"]).drop("ticker", "i0")
 
 
 def abnormal(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, lo: int, hi: int) -> DataFrame:
-    x = windows(events, rets, market, lo, hi).join(fit, "doc_id")
-    return x.withColumn("ar", F.col("ret") - F.col("alpha") - F.col("beta") * F.col("mret"))
+    """doc_id, k, ret, mret, ar, sigma: a row per event and session from lo to hi of its own session i0.
+
+    Every session gets the array of its neighbours' returns in one pass, so that events meet one row each."""
+    order = Window.partitionBy("ticker").orderBy("idx")
+    x = rets.select("ticker", "idx", "ret").join(F.broadcast(market.select("idx", F.col("ret").alias("mret"))), "idx")  # a row per session
+    steps = range(lo, hi + 1)
+    near = [F.lag(F.struct("ret", "mret"), -k).over(order) if k < 0 else F.lead(F.struct("ret", "mret"), k).over(order) for k in steps]
+    near = [F.struct(F.lit(k).alias("k"), c["ret"].alias("ret"), c["mret"].alias("mret"), c.isNotNull().alias("there")) for k, c in zip(steps, near, strict=True)]
+    x = x.select("ticker", F.col("idx").alias("i0"), F.array(*near).alias("near"))
+    met = events.select("doc_id", "ticker", "i0").join(fit, "doc_id").join(x, ["ticker", "i0"]).select("doc_id", "alpha", "beta", "sigma", F.inline("near")).where("there")
+    return met.select("doc_id", "k", "ret", "mret", (F.col("ret") - F.col("alpha") - F.col("beta") * F.col("mret")).alias("ar"), "sigma")
+
+
+def _spanned(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
+    named = {span_name("w", lo, hi): (lo, hi) for lo, hi in spans}
+    x = over_sessions(rets, market, named).select("ticker", F.col("idx").alias("i0"), *named)
+    return events.select("doc_id", "ticker", "i0").join(fit, "doc_id").join(x, ["ticker", "i0"])
 
 
 def car(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, lo: int, hi: int) -> DataFrame:
     """doc_id, car, scar, bhar. CAR needs every abnormal return; BHAR skips missing ones."""
-    n = hi - lo + 1
-    x = abnormal(events, fit, rets, market, lo, hi).groupBy("doc_id").agg(
-        F.count("ar").alias("n"), F.sum("ar").alias("s"), F.first("sigma").alias("sigma"),
-        F.product(1 + F.col("ret")).alias("own"), F.product(1 + F.col("mret")).alias("mkt"),
-    )
-    whole = F.col("n") == n
-    return x.select("doc_id", F.when(whole, F.col("s")).alias("car"), F.when(whole, F.col("s") / (F.col("sigma") * n**0.5)).alias("scar"), (F.col("own") - F.col("mkt")).alias("bhar"))
+    name = span_name("w", lo, hi)
+    own, scaled, _ = _summed(name, hi - lo + 1)
+    x = _spanned(events, fit, rets, market, [(lo, hi)])
+    return x.select("doc_id", own.alias("car"), scaled.alias("scar"), (_product(name, "own") - _product(name, "mkt")).alias("bhar"))
 
 
 def car_family(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
-    """doc_id, lo, hi, car, scar, carma (market-adjusted) of every window with all its abnormal returns.
-
-    One spread over the widest window serves all: a session counts for every window it lies in."""
-    lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
-    x = abnormal(events, fit, rets, market, lo, hi)
-    inside = F.array_compact(F.array(*[F.when(F.col("k").between(a, b), F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"))) for a, b in spans]))
-    x = x.select("doc_id", "ar", (F.col("ret") - F.col("mret")).alias("over"), "sigma", F.inline(inside))
-    g = x.groupBy("doc_id", "lo", "hi").agg(F.count("ar").alias("n"), F.sum("ar").alias("car"), F.sum("over").alias("carma"), F.first("sigma").alias("sigma"))
-    size = F.col("hi") - F.col("lo") + 1
-    return g.where(F.col("n") == size).select("doc_id", "lo", "hi", "car", (F.col("car") / (F.col("sigma") * F.sqrt(size))).alias("scar"), "carma")
+    """doc_id, lo, hi, car, scar, carma (market-adjusted) of every window with all its abnormal returns."""
+    x = _spanned(events, fit, rets, market, spans)
+    rows = [F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), *[c.alias(k) for k, c in zip(("car", "scar", "carma"), _summed(span_name("w", lo, hi), hi - lo + 1), strict=True)]) for lo, hi in spans]
+    return x.select("doc_id", F.inline(F.array(*rows))).where("car IS NOT NULL")
 
 
 def latest_fact(asked: DataFrame, facts: DataFrame, fresh_days: int = 400, annual: bool = False) -> DataFrame:
@@ -132,35 +250,34 @@ def fact_by_priority(asked: DataFrame, sources: Sequence[tuple[str, DataFrame]])
 def fundamentals(events: DataFrame, rets: DataFrame, facts: DataFrame) -> DataFrame:
     """doc_id, log_mcap, bm, turnover: facts has doc_id, shares, equity. Nulls where a part is missing
     or not positive; volume is that of sessions -252 to -6."""
-    x = events.select("doc_id", "ticker", "i0").join(facts, "doc_id", "left")
-    before = rets.select("ticker", (F.col("idx") + 1).alias("i0"), "close")
-    spread = events.select("doc_id", "ticker", F.col("i0"), F.explode(F.sequence(F.lit(-252), F.lit(-6))).alias("k"))
-    spread = spread.select("doc_id", "ticker", (F.col("i0") + F.col("k")).alias("idx"))
-    volume = spread.join(rets.select("ticker", "idx", "volume"), ["ticker", "idx"]).groupBy("doc_id").agg(F.sum("volume").alias("v"))
-    x = x.join(before, ["ticker", "i0"], "left").join(volume, "doc_id", "left").withColumn("mcap", F.col("close") * F.col("shares"))
-    sized = F.col("mcap") > 0
+    none = rets.select("idx").distinct().withColumn("ret", F.lit(None).cast("double"))
+    x = over_sessions(rets, none, {"year": (-252, -6)})
+    x = x.select("ticker", F.col("idx").alias("i0"), F.lag("close").over(Window.partitionBy("ticker").orderBy("idx")).alias("close_before"), F.col("year")["volume"].alias("volume_year"))
+    return sized(events.select("doc_id", "ticker", "i0").join(x, ["ticker", "i0"], "left"), facts)
+
+
+def sized(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """doc_id, log_mcap, bm, turnover of events with close_before and volume_year (see `fundamentals`)."""
+    x = events.select("doc_id", "close_before", "volume_year").join(facts, "doc_id", "left").withColumn("mcap", F.col("close_before") * F.col("shares"))
+    known = F.col("mcap") > 0
     return x.select(
-        "doc_id", F.when(sized, F.log("mcap")).alias("log_mcap"), F.when(sized & (F.col("equity") > 0), F.col("equity") / F.col("mcap")).alias("bm"),
-        F.when(F.col("shares") > 0, F.coalesce("v", F.lit(0.0)) / F.col("shares")).alias("turnover"),
+        "doc_id", F.when(known, F.log("mcap")).alias("log_mcap"), F.when(known & (F.col("equity") > 0), F.col("equity") / F.col("mcap")).alias("bm"),
+        F.when(F.col("shares") > 0, F.coalesce("volume_year", F.lit(0.0)) / F.col("shares")).alias("turnover"),
     )
 
 
 def controls(events: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame:
     """doc_id, log_tradeval, pre_ret, zero_share, volume_year: what the sessions before an event show.
 
-    One spread of the offsets serves all four; offsets outside the calendar have no rows.
-    """
-    spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(-252), F.lit(-1))).alias("k"))
-    x = spread.withColumn("idx", F.col("i0") + F.col("k")).join(rets.select("ticker", "idx", "ret", "close", "volume"), ["ticker", "idx"])
-    x = x.join(market.select("idx", F.col("ret").alias("mret")), "idx")
-    k = F.col("k")
-    value = F.avg(F.when(k >= -60, F.col("close") * F.col("volume")))
-    gap = F.sum(F.when(k.between(-30, -2), F.col("ret") - F.col("mret")))
-    zero = F.count_if(k.between(-150, -11) & (F.col("ret") == 0)) / F.count_if(k.between(-150, -11))
-    return x.groupBy("doc_id").agg(
-        F.when(value > 0, F.log(value)).alias("log_tradeval"), gap.alias("pre_ret"), zero.alias("zero_share"),
-        F.sum(F.when(k <= -6, F.col("volume"))).alias("volume_year"),
+    Sessions outside the calendar do not count; pre_ret is 0 without a day that has both returns."""
+    spans = {"est": (-150, -11), "year": (-252, -6), "month": (-30, -2), "quarter": (-60, -1)}
+    x = over_sessions(rets, market, spans)
+    value = _ratio(F.col("quarter")["worth"], F.round(F.col("quarter")["worths"]))
+    x = x.select(
+        "ticker", F.col("idx").alias("i0"), F.when(value > 0, F.log(value)).alias("log_tradeval"), (F.col("month")["own"] - F.col("month")["mkt"]).alias("pre_ret"),
+        _ratio(F.col("est")["zero"], F.round(F.col("est")["days"])).alias("zero_share"), F.when(F.round(F.col("year")["volumes"]) > 0, F.col("year")["volume"]).alias("volume_year"),
     )
+    return events.select("doc_id", "ticker", "i0").join(x, ["ticker", "i0"]).drop("ticker", "i0")
 
 
 def news_windows(events: DataFrame, news: DataFrame, lo: int, hi: int) -> DataFrame:

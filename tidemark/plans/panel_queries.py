@@ -136,6 +136,21 @@ def car_by_tone(spark, sf_dir):
     return rows.select("tertile", "n", r(100 * F.col("m"), 6).alias("mean_pct"), r(F.col("m") / F.sqrt("e"), 5).alias("t"))
 
 
+@query(f"""WITH {PANEL}, q AS (SELECT doc_id, row_number() OVER (ORDER BY net, doc_id) AS rk, count(*) OVER () AS n FROM panel),
+t AS (SELECT doc_id, CASE WHEN rk <= 1 + (n - 1) / 3 THEN 1 WHEN rk <= 1 + 2 * (n - 1) / 3 THEN 2 ELSE 3 END::INT AS tertile FROM q),
+p AS (SELECT doc_id, k, CASE WHEN ar IS NOT NULL THEN sum(ar) OVER (PARTITION BY doc_id ORDER BY k) END AS c FROM win)
+SELECT tertile, k::INT AS k, count(c) AS n, round(avg(c) * 100, 6) AS caar_pct FROM p JOIN t USING (doc_id) GROUP BY ALL""")
+def caar_by_tone(spark, sf_dir):
+    """Mean cumulative abnormal return by session, for thirds of the events by net tone."""
+    _, ok, rets, m = _events(spark, sf_dir)
+    t = stats.ranked(_panel(spark, sf_dir).select("doc_id", "net"), ["net", "doc_id"], "net")
+    t = t.select("doc_id", stats.tertile(F.col("rank"), F.col("n")).alias("tertile"))
+    path = mk.abnormal(ok, mk.market_model(ok, rets, m, 80), rets, m, -10, 10)
+    run = F.sum("ar").over(Window.partitionBy("doc_id").orderBy("k"))
+    path = path.select("doc_id", "k", F.when(F.col("ar").isNotNull(), run).alias("c"))
+    return path.join(t, "doc_id").groupBy("tertile", "k").agg(F.count("c").alias("n"), r(F.avg("c") * 100, 6).alias("caar_pct"))
+
+
 @query(f"WITH {PANEL} SELECT count(*) AS n, round(count(log_len) / count(*), 8) AS log_len, round(count(log_tradeval) / count(*), 8) AS log_tradeval, round(count(car) / count(*), 8) AS car FROM panel")
 def control_coverage(spark, sf_dir):
     return _panel(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[r(F.count(c) / F.count(F.lit(1))).alias(c) for c in ("log_len", "log_tradeval", "car")])

@@ -43,13 +43,21 @@ PRICES = (
     "mpx AS (SELECT l_shipdate::DATE AS date, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE AS close FROM lineitem GROUP BY ALL), "
     "mkt AS (SELECT idx, close / lag(close) OVER (ORDER BY idx) - 1 AS mret FROM cal LEFT JOIN mpx USING (date)), "
     "ev AS (SELECT d.doc_id, ticker, (SELECT min(idx) FROM cal WHERE date >= event_date) + after_close::INT AS i0 FROM docs d), "
-    "ok AS (SELECT * FROM ev WHERE i0 >= 150 AND i0 + 10 < (SELECT count(*) FROM cal)), "
-    "est AS (SELECT doc_id, ret, mret FROM ok JOIN rets USING (ticker) JOIN mkt USING (idx) WHERE idx BETWEEN i0 - 150 AND i0 - 11 AND ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0), "
-    "fit AS (SELECT doc_id, count(*) AS n_obs, regr_intercept(ret, mret) AS alpha, regr_slope(ret, mret) AS beta, "
-    "sqrt((regr_syy(ret, mret) - regr_sxy(ret, mret) ^ 2 / regr_sxx(ret, mret)) / (count(*) - 2)) AS sigma FROM est GROUP BY doc_id HAVING count(*) >= 80), "
-    "win AS (SELECT doc_id, idx - i0 AS k, ret, mret, ret - alpha - beta * mret AS ar, sigma FROM ok JOIN fit USING (doc_id) JOIN rets USING (ticker) JOIN mkt USING (idx) WHERE idx BETWEEN i0 - 10 AND i0 + 10)"
+    "ok AS (SELECT * FROM ev WHERE i0 >= 150 AND i0 + 10 < (SELECT count(*) FROM cal))"
 )
-EVENTS = f"{DOCS}, {PRICES}"
+
+
+def _model_sql(events: str, mark: str = "") -> str:
+    """CTEs est, fit and win (with `mark` before their names) of the market model and the returns around `events`."""
+    return (
+        f"{mark}est AS (SELECT doc_id, ret, mret FROM {events} JOIN rets USING (ticker) JOIN mkt USING (idx) WHERE idx BETWEEN i0 - 150 AND i0 - 11 AND ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0), "
+        f"{mark}fit AS (SELECT doc_id, count(*) AS n_obs, regr_intercept(ret, mret) AS alpha, regr_slope(ret, mret) AS beta, "
+        f"sqrt((regr_syy(ret, mret) - regr_sxy(ret, mret) ^ 2 / regr_sxx(ret, mret)) / (count(*) - 2)) AS sigma FROM {mark}est GROUP BY doc_id HAVING count(*) >= 80), "
+        f"{mark}win AS (SELECT doc_id, idx - i0 AS k, ret, mret, ret - alpha - beta * mret AS ar, sigma FROM {events} JOIN {mark}fit USING (doc_id) JOIN rets USING (ticker) JOIN mkt USING (idx) WHERE idx BETWEEN i0 - 10 AND i0 + 10)"
+    )
+
+
+EVENTS = f"{DOCS}, {PRICES}, {_model_sql('ok')}"
 
 
 def query(sql: str | None = None):
@@ -242,12 +250,12 @@ def delta_tone_yoy(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    """Sessions, returns and market: a row per session and ticker, written once for the plans that use them often."""
+    """Sessions, returns and market. Prices are summed up once; the market is a row per session."""
     px = stored(src.prices(spark, sf_dir), "prices")
     cal = mk.calendar(px)
     m = src.market(spark, sf_dir).join(cal, "date")
     m = m.select("idx", (F.col("close") / F.lag("close").over(Window.orderBy("idx")) - 1).alias("ret"))
-    return cal, stored(mk.returns(px), "returns"), stored(m, "market")
+    return cal, mk.returns(px), stored(m, "market")
 
 
 def _events(spark, sf_dir):
@@ -258,6 +266,12 @@ def _events(spark, sf_dir):
     return ev, ok, rets, m
 
 
+def _study(spark, sf_dir, events=None):
+    """Every event that has a market model with all that its prices say, by one join."""
+    ev, _, rets, m = _events(spark, sf_dir)
+    return mk.event_study(ev if events is None else events, mk.session_study(rets, m))
+
+
 @query(f"WITH {EVENTS} SELECT ticker, idx, date, volume FROM grid")
 def price_grid_densify(spark, sf_dir):
     return mk.returns(src.prices(spark, sf_dir)).select("ticker", "idx", "date", "volume")
@@ -283,13 +297,12 @@ def _car_sql(lo: int, hi: int) -> str:
     n = hi - lo + 1
     return (
         f"SELECT doc_id, CASE WHEN count(ar) = {n} THEN round(sum(ar), 8) END AS car, CASE WHEN count(ar) = {n} THEN round(sum(ar) / (any_value(sigma) * sqrt({n})), 6) END AS scar, "
-        f"round(product(1 + ret) - product(1 + mret), 8) AS bhar FROM win WHERE k BETWEEN {lo} AND {hi} GROUP BY doc_id"
+        f"round(coalesce(product(1 + ret), 1) - coalesce(product(1 + mret), 1), 8) AS bhar FROM win WHERE k BETWEEN {lo} AND {hi} GROUP BY doc_id"
     )
 
 
-def _car(spark, sf_dir, lo, hi, shift=0):
+def _car(spark, sf_dir, lo, hi):
     _, ok, rets, m = _events(spark, sf_dir)
-    ok = ok.withColumn("i0", F.col("i0") + shift)
     return mk.car(ok, mk.market_model(ok, rets, m, 80), rets, m, lo, hi)
 
 
@@ -307,9 +320,14 @@ def car_around(spark, sf_dir):
     return _rounded(_car(spark, sf_dir, -1, 1))
 
 
-@query(f"WITH {EVENTS.replace('SELECT * FROM ev WHERE i0 >= 150 AND i0 + 10 <', 'SELECT doc_id, ticker, i0 - 60 AS i0 FROM ev WHERE i0 >= 150 AND i0 + 10 <')} {_car_sql(0, 3)}")
+#: The event rule holds again at the shifted session, 60 before the event's own.
+PLACEBO = f"pl AS (SELECT doc_id, ticker, i0 - 60 AS i0 FROM ok WHERE i0 - 60 >= 150), {_model_sql('pl', 'p')}, pc AS (SELECT doc_id, sum(ar) AS placebo FROM pwin WHERE k BETWEEN 0 AND 3 GROUP BY doc_id HAVING count(ar) = 4)"
+
+
+@query(f"WITH {EVENTS}, {PLACEBO} SELECT doc_id, round(placebo, 8) AS car FROM fit LEFT JOIN pc USING (doc_id)")
 def placebo_car(spark, sf_dir):
-    return _rounded(_car(spark, sf_dir, 0, 3, -60))
+    """The main window's return 60 sessions before each event; null where that session is no event's."""
+    return _study(spark, sf_dir).select("doc_id", r(F.col("placebo_car_0_3")).alias("car"))
 
 
 @query(f"WITH {EVENTS} SELECT doc_id, k::INT AS k, round(ar, 8) AS ar FROM win")
@@ -326,18 +344,6 @@ def car_tests_stats(spark, sf_dir):
     return c.agg(F.count("car").alias("n"), r(F.avg("car") * 100, 6).alias("mean_pct"), r(t, 5).alias("t"), r(F.avg((F.col("car") > 0).cast("int"))).alias("positive"), r(middle).alias("median"))
 
 
-@query(f"""WITH {EVENTS}, {TONE.replace(DOCS + ', ', '')}, q AS (SELECT doc_id, row_number() OVER (ORDER BY neg, doc_id) AS rk, count(*) OVER () AS n FROM tone),
-t AS (SELECT doc_id, CASE WHEN rk <= 1 + (n - 1) / 3 THEN 1 WHEN rk <= 1 + 2 * (n - 1) / 3 THEN 2 ELSE 3 END::INT AS tertile FROM q),
-p AS (SELECT doc_id, k, CASE WHEN ar IS NOT NULL THEN sum(ar) OVER (PARTITION BY doc_id ORDER BY k) END AS c FROM win)
-SELECT tertile, k::INT AS k, count(c) AS n, round(avg(c) * 100, 6) AS caar_pct FROM p JOIN t USING (doc_id) GROUP BY ALL""")
-def caar_by_tone(spark, sf_dir):
-    _, ok, rets, m = _events(spark, sf_dir)
-    path = mk.abnormal(ok, mk.market_model(ok, rets, m, 80), rets, m, -10, 10)
-    run = F.sum("ar").over(Window.partitionBy("doc_id").orderBy("k"))
-    path = path.select("doc_id", "k", F.when(F.col("ar").isNotNull(), run).alias("c"))
-    return path.join(tone_tertiles(spark, sf_dir), "doc_id").groupBy("tertile", "k").agg(F.count("c").alias("n"), r(F.avg("c") * 100, 6).alias("caar_pct"))
-
-
 FACTS = "SELECT o_custkey AS id, o_orderdate::DATE AS filed, (o_orderdate::DATE - 30)::DATE AS \"end\", o_totalprice AS val FROM orders"
 
 
