@@ -58,79 +58,92 @@ def news_sessions(news: DataFrame, sessions: DataFrame, close_hour: int = 15, cl
     return x.withColumn("session", F.least(at, F.col("__n") - 1) if clamp else at).drop("idx", "__day", "__open", "__n")
 
 
-#: Running sums that windows are differences of. Traded days have both returns and an own one that is
-#: not 0; whole days have both. x and y are the market's and own return less the ticker's mean, for digits.
-def _sums() -> dict[str, tuple[Column, Column]]:
-    ret, mret = F.col("ret"), F.col("mret")
-    both = ret.isNotNull() & mret.isNotNull()
-    traded = both & (ret != 0)
-    x, y, own, mkt, worth = mret - F.col("cx"), ret - F.col("cy"), 1 + ret, 1 + mret, F.col("close") * F.col("volume")
-    one = F.lit(1.0)
-    return {
-        "n": (traded, one), "x": (traded, x), "y": (traded, y), "xx": (traded, x * x), "yy": (traded, y * y), "xy": (traded, x * y),
-        "days": (F.lit(True), one), "whole": (both, one), "own": (both, ret), "mkt": (both, mret), "zero": (ret == 0, one),
-        "own_log": (own != 0, F.log(F.abs(own))), "own_none": (own == 0, one), "own_minus": (own < 0, one),
-        "mkt_log": (mkt != 0, F.log(F.abs(mkt))), "mkt_none": (mkt == 0, one), "mkt_minus": (mkt < 0, one),
-        "worth": (worth.isNotNull(), worth), "worths": (worth.isNotNull(), one), "volume": (F.col("volume").isNotNull(), F.col("volume")), "volumes": (F.col("volume").isNotNull(), one),
-    }
-
-
-def over_sessions(rets: DataFrame, market: DataFrame, spans: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """rets with mret, cx, cy, `last` (the ticker's last idx) and, for each span (lo, hi), a struct of sums
-    over the sessions idx + lo to idx + hi; sessions outside the calendar add nothing.
+#: Running sums that windows are differences of: what is summed and where, as SQL. Traded days have both
+#: returns and an own one that is not 0; whole days have both. cx and cy are the means of the market's and
+#: the own return, taken off for the digits of sums of squares.
+_BOTH = "ret IS NOT NULL AND mret IS NOT NULL"
+_TRADED = f"{_BOTH} AND ret <> 0"
+_SUMS = {
+    "n": ("1D", _TRADED), "x": ("mret - cx", _TRADED), "y": ("ret - cy", _TRADED), "xx": ("(mret - cx) * (mret - cx)", _TRADED),
+    "yy": ("(ret - cy) * (ret - cy)", _TRADED), "xy": ("(mret - cx) * (ret - cy)", _TRADED),
+    "days": ("1D", "true"), "whole": ("1D", _BOTH), "own": ("ret", _BOTH), "mkt": ("mret", _BOTH), "zero": ("1D", "ret = 0"),
+    "own_log": ("ln(abs(1 + ret))", "ret <> -1"), "own_none": ("1D", "ret = -1"), "own_minus": ("1D", "ret < -1"),
+    "mkt_log": ("ln(abs(1 + mret))", "mret <> -1"), "mkt_none": ("1D", "mret = -1"), "mkt_minus": ("1D", "mret < -1"),
+    "worth": ("close * volume", "close * volume IS NOT NULL"), "worths": ("1D", "close * volume IS NOT NULL"), "volume": ("volume", "volume IS NOT NULL"), "volumes": ("1D", "volume IS NOT NULL"),
+}
+FIT = ("n", "x", "y", "xx", "yy", "xy")
+SUMS = ("whole", "own", "mkt")
+PRODUCTS = ("own_log", "own_none", "own_minus", "mkt_log", "mkt_none", "mkt_minus")
+
+
+def over_sessions(rets: DataFrame, market: DataFrame, spans: Mapping[str, tuple[int, int, Sequence[str]]]) -> DataFrame:
+    """rets with mret, cx, cy, `last` (the ticker's last idx) and, for each span (lo, hi, sums), the columns
+    <span>__<sum> over the sessions idx + lo to idx + hi; sessions outside the calendar add nothing.
 
     rets: the full grid of `returns`. A window is the difference of two running sums, which stand some
     sessions before and after its own: one shuffle and one sort by (ticker, idx) serve all spans, and a
     session costs the same however long the spans are. A ticker has a row per session, no more.
     """
-    by = Window.partitionBy("ticker")
-    order = by.orderBy("idx")
+    by, order = "OVER (PARTITION BY ticker)", "OVER (PARTITION BY ticker ORDER BY idx)"
+    upto = order.replace(")", " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     x = rets.join(F.broadcast(market.select("idx", F.col("ret").alias("mret"))), "idx", "left")  # a row per session
-    x = x.withColumns({"cx": F.coalesce(F.avg("mret").over(by), F.lit(0.0)), "cy": F.coalesce(F.avg("ret").over(by), F.lit(0.0)), "last": F.max("idx").over(by)})
-    sums = _sums()
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("run", F.struct(*[F.sum(F.when(cond, value).otherwise(0.0)).over(upto).alias(k) for k, (cond, value) in sums.items()]))
-    whole = F.last("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    none = F.struct(*[F.lit(0.0).alias(k) for k in sums])
-    edges = sorted({k for lo, hi in spans.values() for k in (lo - 1, hi)})
-    at = {k: F.coalesce(F.lag("run", -k).over(order), none) if k < 0 else F.coalesce(F.lead("run", k).over(order), whole) for k in edges}
-    x = x.withColumns({f"at_{i}": at[k] for i, k in enumerate(edges)})
+    x = x.selectExpr(*rets.columns, "mret", f"coalesce(avg(mret) {by}, 0D) AS cx", f"coalesce(avg(ret) {by}, 0D) AS cy", f"max(idx) {by} AS last")
+    used = {k: f"CASE WHEN {where} THEN {what} ELSE 0D END" for k, (what, where) in _SUMS.items() if any(k in f for _, _, f in spans.values())}
+    ahead = {k for _, hi, f in spans.values() if hi > 0 for k in f}
+    kept = [*rets.columns, "mret", "cx", "cy", "last"]
+    x = x.selectExpr(*kept, *[f"sum({c}) {upto} AS run_{k}" for k, c in used.items()], *[f"sum({used[k]}) {by} AS all_{k}" for k in sorted(ahead)])
+    edges = sorted({(e, k) for lo, hi, f in spans.values() for e in (lo - 1, hi) for k in f})
+
+    def at(e: int, k: str) -> str:
+        if e > 0:
+            return f"coalesce(lead(run_{k}, {e}) {order}, all_{k})"
+        return f"lag(run_{k}, {-e}, 0D) {order}" if e else f"run_{k}"
+
+    place = {edge: f"at_{i}" for i, edge in enumerate(edges)}
+    x = x.selectExpr(*kept, *[f"{at(*edge)} AS {name}" for edge, name in place.items()])
+    return x.selectExpr(*kept, *[f"{place[hi, k]} - {place[lo - 1, k]} AS {name}__{k}" for name, (lo, hi, f) in spans.items() for k in f])
 
-    def between(lo: int, hi: int) -> Column:
-        a, b = f"at_{edges.index(lo - 1)}", f"at_{edges.index(hi)}"
-        return F.struct(*[(F.col(b)[k] - F.col(a)[k]).alias(k) for k in sums])
 
-    return x.select(*rets.columns, "mret", "cx", "cy", "last", *[between(lo, hi).alias(name) for name, (lo, hi) in spans.items()])
+def _of(span: str, k: str, whole: bool = False) -> Column:
+    """A sum of a span; `whole`: one that counts, without what rounding leaves."""
+    c = F.col(f"{span}__{k}")
+    return F.round(c) if whole else c
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def _fitted(span: str, least: int) -> dict[str, Column]:
-    """n_obs, alpha, beta, sigma of a span's traded days; nulls under `least` of them or without spread."""
-    s = F.col(span)
-    n, enough = F.round(s["n"]), F.round(s["n"]) >= max(least, 1)
-    sxx, sxy, syy = (s[ab] - s[a] * s[b] / F.greatest(n, F.lit(1.0)) for ab, a, b in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
-    beta = F.when(enough & (sxx > 1e-13 * s["xx"]), sxy / F.when(sxx != 0, sxx))
-    alpha = F.col("cy") + s["y"] / F.greatest(n, F.lit(1.0)) - beta * (F.col("cx") + s["x"] / F.greatest(n, F.lit(1.0)))
-    sigma = F.when(n > 2, F.sqrt(F.greatest(syy - beta * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1.0))))
-    return {"n_obs": n.cast("long"), "alpha": alpha, "beta": beta, "sigma": sigma}
+def _fitted(x: DataFrame, span: str, least: int, only: Sequence[str] = ("n_obs", "alpha", "beta", "sigma"), prefix: str = "") -> DataFrame:
+    """x with n_obs, alpha, beta, sigma of a span's traded days; nulls under `least` of them or without spread."""
+    n = F.greatest(_of(span, "n", True), F.lit(1.0))
+    x = x.withColumns({f"{prefix}s_{ab}": _of(span, ab) - _of(span, a) * _of(span, b) / n for ab, a, b in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y"))})
+    sxx, sxy, syy = (F.col(f"{prefix}s_{ab}") for ab in ("xx", "xy", "yy"))
+    x = x.withColumn(f"{prefix}b", F.when((_of(span, "n", True) >= max(least, 1)) & (sxx > 1e-13 * _of(span, "xx")), _ratio(sxy, sxx)))
+    beta = F.col(f"{prefix}b")
+    made = {
+        "n_obs": _of(span, "n", True).cast("long"), "alpha": F.col("cy") + _of(span, "y") / n - beta * (F.col("cx") + _of(span, "x") / n), "beta": beta,
+        "sigma": F.when(n > 2, F.sqrt(F.greatest(syy - beta * sxy, F.lit(0.0)) / F.greatest(n - 2, F.lit(1.0)))),
+    }
+    return x.withColumns({prefix + k: made[k] for k in only}).drop(*[f"{prefix}s_{ab}" for ab in ("xx", "xy", "yy")], f"{prefix}b")
 
 
 def _summed(span: str, size: int) -> tuple[Column, Column, Column]:
     """car, scar and carma of a span of `size` sessions; nulls unless every abnormal return is there."""
-    s, n = F.col(span), F.lit(float(size))
-    there = F.round(s["whole"]) == size
-    car = F.when(there, s["own"] - F.col("alpha") * n - F.col("beta") * s["mkt"])
-    return car, _ratio(car, F.col("sigma") * F.sqrt(n)), F.when(there & F.col("alpha").isNotNull(), s["own"] - s["mkt"])
+    n = F.lit(float(size))
+    there = _of(span, "whole", True) == size
+    car = F.when(there, _of(span, "own") - F.col("alpha") * n - F.col("beta") * _of(span, "mkt"))
+    return car, _ratio(car, F.col("sigma") * F.sqrt(n)), F.when(there & F.col("alpha").isNotNull(), _of(span, "own") - _of(span, "mkt"))
+
 
+def _bhar(span: str) -> Column:
+    """The product of 1 + return over a span less the market's; missing returns are left out."""
 
-def _product(span: str, side: str) -> Column:
-    """The product of 1 + return over a span; missing returns are left out."""
-    s = F.col(span)
-    sign = 1 - 2 * F.pmod(F.round(s[f"{side}_minus"]), F.lit(2.0))
-    return F.when(F.round(s[f"{side}_none"]) > 0, 0.0).otherwise(sign * F.exp(s[f"{side}_log"]))
+    def product(side: str) -> Column:
+        sign = 1 - 2 * F.pmod(_of(span, f"{side}_minus", True), F.lit(2.0))
+        return F.when(_of(span, f"{side}_none", True) > 0, 0.0).otherwise(sign * F.exp(_of(span, f"{side}_log")))
+
+    return product("own") - product("mkt")
 
 
 def span_name(prefix: str, lo: int, hi: int) -> str:
@@ -152,28 +165,25 @@ def session_study(
     to -6; log_tradeval over -60 to -1; volume_year over -252 to -6; close_before. A session has a model if the
     estimation window and the longest span lie in the calendar and `least` days were traded.
     """
-    named = {span_name("w", lo, hi): (lo, hi) for lo, hi in spans}
-    own = {"est": estimation, "year": (-252, -6), "month": (-30, -2), "quarter": (-60, -1)}
+    named = {span_name("w", lo, hi): (lo, hi, (*SUMS, *PRODUCTS) if (lo, hi) == main else SUMS) for lo, hi in spans}
+    own = {"est": (*estimation, (*FIT, "days", "zero")), "year": (-252, -6, (*FIT, "volume", "volumes")), "month": (-30, -2, ("own", "mkt")), "quarter": (-60, -1, ("worth", "worths"))}
     x = over_sessions(rets, market, {**own, **named})
     lo, hi = estimation
-    inside = (F.round(F.col("est")["days"]) == hi - lo + 1) & (F.col("idx") + max(b for _, b in spans) <= F.col("last"))
-    x = x.withColumns({k: F.when(inside, c) for k, c in _fitted("est", least).items()})
-    pre = _fitted("year", least)["alpha"]
-    value = _ratio(F.col("quarter")["worth"], F.round(F.col("quarter")["worths"]))
-    columns = {"zero_ret_share": F.col("est")["zero"] / (hi - lo + 1)}
-    for name, (a, b) in named.items():
+    inside = (_of("est", "days", True) == hi - lo + 1) & (F.col("idx") + max(b for _, b in spans) <= F.col("last"))
+    x = _fitted(_fitted(x, "est", least), "year", least, ["alpha"], "pre_")
+    x = x.withColumns({k: F.when(inside, F.col(k)) for k in ("n_obs", "alpha", "beta", "sigma")})
+    value = _ratio(_of("quarter", "worth"), _of("quarter", "worths", True))
+    columns = {"zero_ret_share": _of("est", "zero", True) / (hi - lo + 1)}
+    for name, (a, b, _) in named.items():
         for prefix, c in zip(("car", "scar", "carma"), _summed(name, b - a + 1), strict=True):
             columns[span_name(prefix, a, b)] = c
     a, b = main
-    columns[span_name("bhar", a, b)] = _product(span_name("w", a, b), "own") - _product(span_name("w", a, b), "mkt")
-    columns |= {
-        "pre_ret": F.col("month")["own"] - F.col("month")["mkt"], "pre_alpha": pre, "log_tradeval": F.when(value > 0, F.log(value)),
-        "volume_year": F.when(F.round(F.col("year")["volumes"]) > 0, F.col("year")["volume"]),
-    }
+    columns[span_name("bhar", a, b)] = _bhar(span_name("w", a, b))
+    columns |= {"pre_ret": _of("month", "own") - _of("month", "mkt"), "log_tradeval": F.when(value > 0, F.log(value)), "volume_year": F.when(_of("year", "volumes", True) > 0, _of("year", "volume"))}
     x = x.withColumns(columns)
     order = Window.partitionBy("ticker").orderBy("idx")
     x = x.withColumns({span_name("placebo_car", a, b): F.lag(span_name("car", a, b), -shift).over(order), "close_before": F.lag("close").over(order)})
-    kept = [*columns, span_name("placebo_car", a, b), "close_before"]
+    kept = [*columns, "pre_alpha", span_name("placebo_car", a, b), "close_before"]
     return x.where("beta IS NOT NULL").select("ticker", F.col("idx").alias("i0"), F.col("date").alias("day0"), "n_obs", "alpha", "beta", "sigma", *kept)
 
 
@@ -186,7 +196,7 @@ def market_model(events: DataFrame, rets: DataFrame, market: DataFrame, least: i
     """doc_id, n_obs, alpha, beta, sigma by least squares on the days with returns that are not 0.
 
     With lo = -252 and hi = -6 alpha is the abnormal return before the event (`pre_alpha`)."""
-    x = over_sessions(rets, market, {"est": (lo, hi)}).select("ticker", F.col("idx").alias("i0"), *[c.alias(k) for k, c in _fitted("est", least).items()])
+    x = _fitted(over_sessions(rets, market, {"est": (lo, hi, FIT)}), "est", least).select("ticker", F.col("idx").alias("i0"), "n_obs", "alpha", "beta", "sigma")
     return events.select("doc_id", "ticker", "i0").join(x.where("beta IS NOT NULL"), ["ticker", "i0"]).drop("ticker", "i0")
 
 
@@ -204,9 +214,9 @@ def abnormal(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFra
     return met.select("doc_id", "k", "ret", "mret", (F.col("ret") - F.col("alpha") - F.col("beta") * F.col("mret")).alias("ar"), "sigma")
 
 
-def _spanned(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
-    named = {span_name("w", lo, hi): (lo, hi) for lo, hi in spans}
-    x = over_sessions(rets, market, named).select("ticker", F.col("idx").alias("i0"), *named)
+def _spanned(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]], sums: Sequence[str] = SUMS) -> DataFrame:
+    named = {span_name("w", lo, hi): (lo, hi, sums) for lo, hi in spans}
+    x = over_sessions(rets, market, named).select("ticker", F.col("idx").alias("i0"), *[f"{name}__{k}" for name in named for k in sums])
     return events.select("doc_id", "ticker", "i0").join(fit, "doc_id").join(x, ["ticker", "i0"])
 
 
@@ -214,8 +224,8 @@ def car(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, l
     """doc_id, car, scar, bhar. CAR needs every abnormal return; BHAR skips missing ones."""
     name = span_name("w", lo, hi)
     own, scaled, _ = _summed(name, hi - lo + 1)
-    x = _spanned(events, fit, rets, market, [(lo, hi)])
-    return x.select("doc_id", own.alias("car"), scaled.alias("scar"), (_product(name, "own") - _product(name, "mkt")).alias("bhar"))
+    x = _spanned(events, fit, rets, market, [(lo, hi)], (*SUMS, *PRODUCTS))
+    return x.select("doc_id", own.alias("car"), scaled.alias("scar"), _bhar(name).alias("bhar"))
 
 
 def car_family(events: DataFrame, fit: DataFrame, rets: DataFrame, market: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
@@ -251,8 +261,8 @@ def fundamentals(events: DataFrame, rets: DataFrame, facts: DataFrame) -> DataFr
     """doc_id, log_mcap, bm, turnover: facts has doc_id, shares, equity. Nulls where a part is missing
     or not positive; volume is that of sessions -252 to -6."""
     none = rets.select("idx").distinct().withColumn("ret", F.lit(None).cast("double"))
-    x = over_sessions(rets, none, {"year": (-252, -6)})
-    x = x.select("ticker", F.col("idx").alias("i0"), F.lag("close").over(Window.partitionBy("ticker").orderBy("idx")).alias("close_before"), F.col("year")["volume"].alias("volume_year"))
+    x = over_sessions(rets, none, {"year": (-252, -6, ("volume",))})
+    x = x.select("ticker", F.col("idx").alias("i0"), F.lag("close").over(Window.partitionBy("ticker").orderBy("idx")).alias("close_before"), _of("year", "volume").alias("volume_year"))
     return sized(events.select("doc_id", "ticker", "i0").join(x, ["ticker", "i0"], "left"), facts)
 
 
@@ -270,12 +280,12 @@ def controls(events: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame
     """doc_id, log_tradeval, pre_ret, zero_share, volume_year: what the sessions before an event show.
 
     Sessions outside the calendar do not count; pre_ret is 0 without a day that has both returns."""
-    spans = {"est": (-150, -11), "year": (-252, -6), "month": (-30, -2), "quarter": (-60, -1)}
+    spans = {"est": (-150, -11, ("zero", "days")), "year": (-252, -6, ("volume", "volumes")), "month": (-30, -2, ("own", "mkt")), "quarter": (-60, -1, ("worth", "worths"))}
     x = over_sessions(rets, market, spans)
-    value = _ratio(F.col("quarter")["worth"], F.round(F.col("quarter")["worths"]))
+    value = _ratio(_of("quarter", "worth"), _of("quarter", "worths", True))
     x = x.select(
-        "ticker", F.col("idx").alias("i0"), F.when(value > 0, F.log(value)).alias("log_tradeval"), (F.col("month")["own"] - F.col("month")["mkt"]).alias("pre_ret"),
-        _ratio(F.col("est")["zero"], F.round(F.col("est")["days"])).alias("zero_share"), F.when(F.round(F.col("year")["volumes"]) > 0, F.col("year")["volume"]).alias("volume_year"),
+        "ticker", F.col("idx").alias("i0"), F.when(value > 0, F.log(value)).alias("log_tradeval"), (_of("month", "own") - _of("month", "mkt")).alias("pre_ret"),
+        _ratio(_of("est", "zero", True), _of("est", "days", True)).alias("zero_share"), F.when(_of("year", "volumes", True) > 0, _of("year", "volume")).alias("volume_year"),
     )
     return events.select("doc_id", "ticker", "i0").join(x, ["ticker", "i0"]).drop("ticker", "i0")
 
