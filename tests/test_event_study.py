@@ -110,3 +110,15 @@ def test_no_row_per_session_and_event(spark, world):
     events = spark.createDataFrame([(1, 0, 200)], "doc_id int, ticker int, i0 int")
     plan = mk.event_study(events, mk.session_study(rets, m))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join") == 2
+
+
+def test_events_touch_flagged_periods_within_their_sessions(spark):
+    days = [datetime.date(2020, 1, 27) + datetime.timedelta(i) for i in range(0, 60, 2)]
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, idx int")
+    events = spark.createDataFrame([(i, i) for i in range(-1, len(days) + 1)] + [(99, None)], "doc_id int, i0 int")
+    flagged = spark.createDataFrame([(datetime.datetime(2020, 2, 1),)] * 2, "period timestamp")
+    got = {r["doc_id"]: r["touches"] for r in mk.touching(events, cal, flagged, "month", 3).collect()}
+    for i in range(len(days)):
+        assert got[i] == any(d.month == 2 for d in days[max(0, i - 3) : i + 4]), i
+    assert got[99] is False and got[-1] is False and len(got) == len(days) + 3
+    assert not any(r["touches"] for r in mk.touching(events, cal, flagged.where("false"), "month").collect())

@@ -3,6 +3,8 @@
 import gzip
 import json
 
+import pytest
+
 from tidemark.sources import files
 
 
@@ -21,6 +23,31 @@ def test_price_files_below_a_folder(spark, tmp_path):
     assert got == [("AAA", "2020-01-31", 2.5, 10.0), ("BBB", "2020-01-31", 2.5, 10.0)]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    for name, text in {
+        "a": "<Ticker>,<DTYYYYMMDD>,<Close>,<Volume>\nAAA,20200131,2.5,10\n",
+        "b": "\n<DTYYYYMMDD>,<Volume>,<Open>,<Close>,<Ticker>\n20200131,20,1,3.5,BBB\n20200201,,1,x,BBB\n",
+        "c": '<Ticker>,"<Close>",<DTYYYYMMDD>\nCCC,4.5,20200131\n',
+        "d": "<Ticker>,<DTYYYYMMDD>,<Close>,<Volume>\n",
+    }.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8-sig" if name == "a" else "utf-8")
+    want = [("AAA", "2020-01-31", 2.5, 10.0), ("BBB", "2020-01-31", 3.5, 20.0), ("BBB", "2020-02-01", None, None), ("CCC", "2020-01-31", 4.5, None)]
+    got = lambda x: sorted((r["ticker"], str(r["date"]), r["close"], r["volume"]) for r in x.collect())
+    assert got(files.read_tree(spark, str(tmp_path))) == want
+    clean = lambda c: {"dtyyyymmdd": "date"}.get(c.strip("<>").lower(), c.strip("<>").lower())
+    assert files.read_named(spark, str(tmp_path), "close double, ticker string", clean, most_files=1).count() == 4
+    with pytest.raises(ValueError, match="absent"):
+        files.read_named(spark, str(tmp_path), "absent string", clean)
+    (tmp_path / "e.csv").write_text("<Ticker>,<ticker>\n1,2\n")
+    with pytest.raises(ValueError, match="once"):
+        files.read_tree(spark, str(tmp_path))
+
+
+def test_an_empty_folder_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path), "a string, b int").count() == 0
+
+
 def test_whole_texts_by_name(spark, tmp_path):
     (tmp_path / "one.txt").write_text("a\nb\n")
     with gzip.open(tmp_path / "two.txt.gz", "wt") as f:

@@ -335,6 +335,19 @@ def coverage(news: DataFrame, unit: str, crawled: Column, least_tickers: int = 1
     return x.crossJoin(F.broadcast(middle)).select("period", "n", "n_tickers", "per_ticker", F.coalesce(gap, F.lit(False)).alias("gap"))
 
 
+def touching(events: DataFrame, sessions: DataFrame, periods: DataFrame, unit: str, reach: int = 10) -> DataFrame:
+    """doc_id, touches of events (doc_id, i0): whether a session up to `reach` before or after i0 lies in one of
+    the `periods` (column period, the start of a unit). False for an event without a session.
+
+    Sessions outside the calendar do not count. Marks are made on the calendar, a row per session; events
+    meet it by one equi-join."""
+    flagged = periods.select(F.col("period").cast("timestamp_ntz").alias("period")).distinct().withColumn("hit", F.lit(1))
+    marked = sessions.withColumn("period", F.date_trunc(unit, F.col("date").cast("timestamp_ntz")).cast("timestamp_ntz")).join(F.broadcast(flagged), "period", "left")  # a row per period
+    near = F.max("hit").over(Window.orderBy("idx").rowsBetween(-reach, reach))
+    met = marked.select(F.col("idx").alias("i0"), near.isNotNull().alias("touches"))
+    return events.select("doc_id", "i0").join(met, "i0", "left").select("doc_id", F.coalesce("touches", F.lit(False)).alias("touches"))
+
+
 def earliest(disclosures: DataFrame, wanted: str, excluded: str) -> DataFrame:
     """ticker, fy, ts, title of the first disclosure (ticker, ts, title) of each ticker and fiscal year
     whose title matches `wanted` and not `excluded`; fy is the last year 20xx it names. Ties by title."""

@@ -416,11 +416,16 @@ def event_date_priority(spark, sf_dir):
     return d.select("o_orderkey", F.coalesce(*sources.values()).alias("event_date"), label.alias("src"))
 
 
-GAPS = """WITH n AS (SELECT user_id AS ticker, ts FROM events WHERE event_type = 'error' AND hour(ts) % 6 <> 0), c AS (SELECT date_trunc('hour', ts) AS period, count(*) AS n FROM n GROUP BY 1),
-s AS (SELECT unnest(generate_series((SELECT min(period) FROM c), (SELECT max(period) FROM c), INTERVAL 1 HOUR)) AS period), f AS (SELECT ticker, min(ts) AS first FROM n GROUP BY ticker),
+def _gaps_sql(unit: str, until: str) -> str:
+    """CTEs after n (ticker, ts): q, and `flagged`, a row per period of the spine."""
+    return f"""c AS (SELECT date_trunc('{unit}', ts) AS period, count(*) AS n FROM n GROUP BY 1),
+s AS (SELECT unnest(generate_series((SELECT min(period) FROM c)::TIMESTAMP, (SELECT max(period) FROM c)::TIMESTAMP, INTERVAL 1 {unit})) AS period), f AS (SELECT ticker, min(ts) AS first FROM n GROUP BY ticker),
 p AS (SELECT period, coalesce(c.n, 0)::BIGINT AS n, (SELECT count(*) FROM f WHERE first <= period)::BIGINT AS n_tickers FROM s LEFT JOIN c USING (period)),
-q AS (SELECT *, CASE WHEN n_tickers > 0 THEN round(n / n_tickers, 2) END AS per_ticker, n_tickers >= 10 AND period < date_trunc('hour', TIMESTAMP '2024-01-29 12:30:00') AS judged FROM p)
-SELECT period, n, n_tickers, per_ticker, coalesce(judged AND per_ticker < 0.25 * (SELECT quantile_cont(per_ticker, 0.5) FROM q WHERE judged), false) AS gap FROM q"""
+q AS (SELECT *, CASE WHEN n_tickers > 0 THEN round(n / n_tickers, 2) END AS per_ticker, n_tickers >= 10 AND period < date_trunc('{unit}', TIMESTAMP '{until}') AS judged FROM p),
+flagged AS (SELECT period, n, n_tickers, per_ticker, coalesce(judged AND per_ticker < 0.25 * (SELECT quantile_cont(per_ticker, 0.5) FROM q WHERE judged), false) AS gap FROM q)"""
+
+
+GAPS = f"WITH n AS (SELECT user_id AS ticker, ts FROM events WHERE event_type = 'error' AND hour(ts) % 6 <> 0), {_gaps_sql('hour', '2024-01-29 12:30:00')} SELECT * FROM flagged"
 
 
 @query(GAPS)
@@ -430,6 +435,27 @@ def monthly_coverage_gap(spark, sf_dir):
     return mk.coverage(news, "hour", F.lit("2024-01-29 12:30:00").cast("timestamp_ntz"))
 
 
+#: Items of which most are missing in May and in two other months.
+THIN = "month(o_orderdate) <> 5 AND NOT (year(o_orderdate) = 1996 AND month(o_orderdate) IN (10, 11)) OR o_orderkey % 9 = 0"
+ITEMS = f"n AS (SELECT o_custkey AS ticker, o_orderdate AS ts FROM orders WHERE {THIN}), {_gaps_sql('month', '1998-07-15')}"
+TOUCHED = "SELECT doc_id, EXISTS (SELECT 1 FROM cal JOIN flagged g ON g.gap AND date_trunc('month', cal.date) = g.period WHERE cal.idx BETWEEN i0 - 10 AND i0 + 10) AS touches FROM ev WHERE i0 IS NOT NULL"
+
+
+def _gap_months(spark, sf_dir):
+    """Months whose items per ticker fall far under the median."""
+    news = src.table(spark, sf_dir, "orders").where(THIN).select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").alias("ts"))
+    return mk.coverage(news, "month", F.lit("1998-07-15").cast("timestamp_ntz")).where("gap")
+
+
+@query(f"WITH {EVENTS}, {ITEMS} {TOUCHED}")
+def gap_touching_events(spark, sf_dir):
+    """Events of whose sessions from -10 to 10 one lies in a month with a gap in the items."""
+    px = stored(src.prices(spark, sf_dir), "prices")
+    cal = mk.calendar(px)
+    ev = mk.event_sessions(src.disclosures(spark, sf_dir).drop("text"), cal).where("i0 IS NOT NULL")
+    return mk.touching(ev, cal, _gap_months(spark, sf_dir), "month")
+
+
 SESSIONS = "cal AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS idx FROM (SELECT DISTINCT ts::DATE AS date FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5 AND day(ts) BETWEEN 3 AND 26))"
 
 

@@ -38,10 +38,13 @@ def json_scan(spark, sf_dir):
 
 @query("SELECT n_regionkey::VARCHAR AS ticker, l_shipdate::DATE AS date, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE AS close, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def price_tree_scan(spark, sf_dir):
-    """Price files in folders of folders, with headers in angle brackets and dates as digits."""
+    """Price files in folders of folders, with headers in angle brackets and dates as digits; some have
+    their columns in another order and one more."""
     path = files.work_dir(spark, "tree")
-    px = src.prices(spark, sf_dir).select(F.col("ticker").cast("string").alias("<Ticker>"), F.date_format("date", "yyyyMMdd").alias("<DTYYYYMMDD>"), F.col("close").alias("<Close>"), F.col("volume").alias("<Volume>"), (F.col("ticker") % 2).alias("half"), F.col("ticker").alias("part"))
-    px.write.partitionBy("half", "part").option("header", True).csv(path)
+    px = src.prices(spark, sf_dir).select(F.col("ticker").cast("string").alias("<Ticker>"), F.date_format("date", "yyyyMMdd").alias("<DTYYYYMMDD>"), F.col("close").alias("<Close>"), F.col("volume").alias("<Volume>"), F.col("ticker").alias("part"))
+    named = ["<Ticker>", "<DTYYYYMMDD>", "<Close>", "<Volume>"]
+    px.where("part % 2 = 0").select(*named, "part").write.partitionBy("part").option("header", True).csv(f"{path}/even")
+    px.where("part % 2 = 1").select("<Volume>", F.lit("x").alias("<Open>"), *named[:3], "part").write.partitionBy("part").option("header", True).csv(f"{path}/odd")
     return files.read_tree(spark, path)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.unicode import normal
 
@@ -29,18 +31,66 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
-    """CSV with a header, plain or gzip. The schema is given, so that no pass infers it, a byte order
-    mark before the first name does not matter, and a word such as NULL stays a word."""
-    return spark.read.options(header=True, nullValue="", emptyValue="", enforceSchema=True, **options).schema(schema).csv(path)
+#: More different headers than this below one path are taken for a mistake.
+MOST_HEADERS = 1000
+
+
+def headers(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """file, header: the first line that is not blank of every file below `path`.
+
+    The lines of files' first blocks are scanned as plain text; a line per file and task is shuffled."""
+    lines = spark.read.options(**options).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    lines = lines.where("file_block_start = 0 AND trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    return lines.groupBy(F.col("file_path").alias("file")).agg(F.min_by("value", "at").alias("header"))
+
+
+def read_named(spark: SparkSession, path: str, schema: str, clean: Callable[[str], str] = str.strip, most_files: int = 100_000, **options: object) -> DataFrame:
+    """The columns of `schema` of all CSV files below `path`, each file's by the names in its own header.
+
+    clean: from a header's cell, without a byte order mark, to the name it is asked for by. A file
+    without a column has nulls there; a column that no file has is an error, as is a name twice in one
+    header. Empty cells are nulls, a word such as NULL stays a word, what is not of the column's
+    type is null. Files with one header are read by its order; with several, rows find their file's
+    order by a join with a row per file, broadcast up to `most_files`.
+    """
+    wanted = [(f.name, f.dataType) for f in T.StructType.fromDDL(schema).fields]
+    found = headers(spark, path, **{k: v for k, v in options.items() if k == "recursiveFileLookup"})
+    kinds = [r["header"] for r in found.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"over {MOST_HEADERS} different headers below {path}")
+    cells = {h: [clean(c) for c in next(csv.reader([h.removeprefix("\ufeff")]))] for h in kinds}
+    for name, _ in wanted:
+        if kinds and not any(name in c for c in cells.values()) or any(c.count(name) > 1 for c in cells.values()):
+            raise ValueError(f"{name} must stand once in a header, and in some file")
+    places = {h: [c.index(name) if name in c else -1 for name, _ in wanted] for h, c in cells.items()}
+    width = max((len(c) for c in cells.values()), default=len(wanted))
+    columns = [f"_c{i}" for i in range(width)]
+    raw = spark.read.options(header=True, nullValue="", emptyValue="", enforceSchema=True, **options).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    if len({tuple(p) for p in places.values()}) <= 1:
+        place = next(iter(places.values()), list(range(len(wanted))))
+        return raw.select(*[(F.col(columns[i]) if i >= 0 else F.lit(None)).try_cast(t).alias(n) for i, (n, t) in zip(place, wanted, strict=True)])
+    orders = F.broadcast(spark.createDataFrame(list(places.items()), "header string, place array<int>"))  # at most MOST_HEADERS rows
+    of_file = found.join(orders, "header").select("file", "place")
+    of_file = F.broadcast(of_file) if found.count() <= most_files else of_file
+    cell = F.array(*columns)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), cell.alias("cell")).join(of_file, "file")
+    return rows.select(*[F.when(F.col("place")[k] >= 0, F.get("cell", F.col("place")[k])).try_cast(t).alias(n) for k, (n, t) in enumerate(wanted)])
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
+    """CSV with a header, plain or gzip, by the header's names. The schema is given, so that no pass infers it."""
+    return read_named(spark, path, schema, **options)
 
 
 def read_tree(spark: SparkSession, path: str, date_format: str = "yyyyMMdd", rename: Mapping[str, str] = {"dtyyyymmdd": "date"}) -> DataFrame:  # noqa: B006
-    """ticker, date, close, volume of all CSV files below a folder, whose headers read <Name>."""
-    raw = spark.read.options(header=True, recursiveFileLookup=True).csv(path)
-    names = [c.replace("\ufeff", "").strip("<>").lower() for c in raw.columns]
-    x = raw.toDF(*[rename.get(c, c) for c in names])
-    return x.select("ticker", F.to_date("date", date_format).alias("date"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
+    """ticker, date, close, volume of all CSV files below a folder, whose headers read <Name>, in any order."""
+
+    def clean(cell: str) -> str:
+        name = cell.strip().strip("<>").lower()
+        return rename.get(name, name)
+
+    x = read_named(spark, path, "ticker string, date string, close double, volume double", clean, recursiveFileLookup=True)
+    return x.withColumn("date", F.to_date("date", date_format))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
