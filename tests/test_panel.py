@@ -34,6 +34,29 @@ def test_clustered_errors_equal_the_sandwich(spark):
     assert got["x1"]["r2_adj"] == pytest.approx(1 - (1 - r2) * (n - 1) / (n - p)) and got["x1"]["n_obs"] == n
 
 
+def test_two_absorbed_effects_equal_dummies(spark):
+    g = np.random.default_rng(5)
+    n = 900
+    a, b, k = g.integers(0, 40, n), g.integers(0, 25, n), g.integers(0, 15, n)
+    b = np.where(a < 30, b % 15, 15 + b % 10)  # two parts that no pair of levels links
+    x1, x2 = g.normal(size=n) + 0.05 * a, g.normal(size=n) * (1 + b % 3)
+    y = 100 + 0.3 * x1 - 0.2 * x2 + 0.1 * a + np.sin(b) + g.normal(size=n)
+    rows = [(float(p), float(q), float(r), int(c), f"l{d}", int(e)) for p, q, r, c, d, e in zip(y, x1, x2, a, b, k)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 0, "l0", 1), (1.0, 1.0, 1.0, None, "l0", 1)], "y double, x1 double, x2 double, a int, b string, k int")
+    got = {r["term"]: r for r in regression.clustered(df, "y", ["x1", "x2"], "k", absorbed=("a", "b")).collect()}
+    x = np.column_stack([x1, x2, *[(a == v).astype(float) for v in np.unique(a)], *[(b == v).astype(float) for v in np.unique(b)]])
+    inv = np.linalg.pinv(x.T @ x)
+    coef = inv @ x.T @ y
+    e = y - x @ coef
+    meat = sum(np.outer(s, s) for s in (x[k == c].T @ e[k == c] for c in np.unique(k)))
+    p = np.linalg.matrix_rank(x)
+    assert p == 2 + 40 + 25 - 2
+    se = np.sqrt(np.diag(inv @ meat @ inv) * 15 / 14 * (n - 1) / (n - p))
+    for i, term in enumerate(["x1", "x2"]):
+        assert got[term]["coef"] == pytest.approx(coef[i], rel=1e-7) and got[term]["se"] == pytest.approx(se[i], rel=1e-7)
+    assert got["x1"]["n_obs"] == n and regression.clustered(df.where("false"), "y", ["x1"], "k", absorbed=("a", "b")).count() == 0
+
+
 def test_no_rows_give_no_terms(spark):
     df, *_ = _panel(spark)
     assert regression.clustered(df.where("false"), "y", ["x1"], "k").count() == 0

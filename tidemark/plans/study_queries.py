@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inference, stats
+from ..operators import inference, regression, stats
 from ..operators import market as mk
 from ..sources import tables as src
 from ..sources.files import stored
@@ -209,6 +209,29 @@ def preregistered_tests(spark, sf_dir):
     return _rows(inference.corrected(f, 4), "alpha")
 
 
+def _partial_sql(rounds: int = 14) -> str:
+    """CTEs: lines, then alternately less the means of part and customer, and y and x less what z explains."""
+    columns = ("y", "x", "z")
+    out = "u AS (SELECT l_suppkey AS g, l_partkey AS a, o_custkey AS b, l_extendedprice / 1000 AS y, l_quantity AS x, l_discount AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+    last = "u"
+    for i in range(rounds):
+        for by in "ab":
+            out += f", {by}{i} AS (SELECT g, a, b, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}' for c in columns)} FROM {last})"
+            last = f"{by}{i}"
+    return out + f", w AS (SELECT g, y - z * (sum(y * z) OVER ()) / (sum(z * z) OVER ()) AS y, x - z * (sum(x * z) OVER ()) / (sum(z * z) OVER ()) AS x FROM {last})"
+
+
+@query(f"""WITH {_partial_sql()}, f AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, 2 + (SELECT count(DISTINCT a) + count(DISTINCT b) - 1 FROM u) AS k FROM w),
+s AS (SELECT g, sum(x * (y - f.b * x)) AS s FROM w, f GROUP BY g), v AS (SELECT sum(s * s) AS m, count(*) AS c FROM s)
+SELECT 'quantity' AS term, round(b, 7) AS coef, round(sqrt(m / sxx ^ 2 * c / (c - 1) * (n - 1) / (n - k)), 7) AS se, n AS n_obs, c AS n_clusters FROM f, v""")
+def two_way_effects(spark, sf_dir):
+    """Price on quantity and discount with effects of parts and customers, clustered by supplier."""
+    x = src.table(spark, sf_dir, "lineitem").join(src.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = stored(x.select("l_suppkey", "l_partkey", "o_custkey", (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount")), "lines")
+    f = regression.clustered(x, "price", ["quantity", "discount"], "l_suppkey", absorbed=("l_partkey", "o_custkey"))
+    return f.where("term = 'quantity'").select("term", r(F.col("coef"), 7).alias("coef"), r(F.col("se"), 7).alias("se"), "n_obs", "n_clusters")
+
+
 CANDIDATES = ("log_tradeval", "pre_ret", "log_len", "vn30", "beta", "log_mcap")
 
 
