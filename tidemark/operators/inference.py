@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from . import regression, stats
 
 
@@ -165,9 +166,9 @@ def cells(fitted: DataFrame, digits: int = 4) -> DataFrame:
     return rows.unionByName(sizes).unionByName(one.select("model", F.lit("Adj. R2").alias("term"), F.format_string(form, "r2").alias("cell")))
 
 
-def magnitudes(fitted: DataFrame) -> DataFrame:
+def magnitudes(fitted: DataFrame, *more: str) -> DataFrame:
     """model, term, coef, se, effect_pct of standardised terms: points of y, in percent, per deviation."""
-    return fitted.where(F.col("term").endswith("_z")).select("model", "term", "coef", "se", (100 * F.col("coef")).alias("effect_pct"))
+    return fitted.where(F.col("term").endswith("_z")).select(*more, "model", "term", "coef", "se", (100 * F.col("coef")).alias("effect_pct"))
 
 
 def corrected(fitted: DataFrame, tests: int, level: float = 0.05) -> DataFrame:
@@ -183,3 +184,34 @@ def by_sample(df: DataFrame, samples: Mapping[str, Column], specs: Mapping[str,
         part = models(df.where(F.coalesce(condition, F.lit(False))), specs, cluster, effects).withColumn("sample", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def sample_models(df: DataFrame, asked: Sequence[tuple[str, Column, str, str]], controls: Sequence[str], cluster: str, effects: Sequence[str] = (), clipped: Sequence[str] = ()) -> DataFrame:
+    """Models each on a sample of its own: the rows of `regression.clustered` with `model` and `y`.
+
+    asked: (label, sample, x, y). Within the sample y and the `clipped` controls are clipped to their .01 and
+    .99 quantiles, and x is standardised over its rows with both. Every sample's columns stand side by side
+    in one table, null outside, so that all quantiles take one pass and all means another. The term is x_z.
+    """
+    wide, place = {}, {}
+    for _, sample, x, y in asked:
+        for c in (y, *clipped):
+            key = (str(sample), c)
+            if key not in place:
+                place[key] = f"__c{len(place)}"
+                wide[place[key]] = F.when(F.coalesce(sample, F.lit(False)), F.col(c))
+    t = stored(df.withColumns(wide), "samples")
+    t = stats.winsorize(t, *wide)
+    own = {i: F.when(F.coalesce(sample, F.lit(False)) & F.col(place[str(sample), y]).isNotNull(), F.col(x)) for i, (_, sample, x, y) in enumerate(asked)}
+    m = t.agg(*[f(c).alias(f"{k}{i}") for i, c in own.items() for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    t = stored(t.withColumns({f"__x{i}": (c - m[f"m{i}"]) / m[f"s{i}"] for i, c in own.items() if m[f"s{i}"]}), "samples-scaled")
+    chosen = chosen_controls(df, controls)
+    specs = {f"{i}": (place[str(sample), y], [f"__x{i}", *[place.get((str(sample), c), c) for c in chosen]]) for i, (_, sample, _, y) in enumerate(asked)}
+    fitted = models(t, specs, cluster, effects)
+    names = df.sparkSession.createDataFrame([(str(i), label, y, f"__x{i}", f"{x}_z") for i, (label, _, x, y) in enumerate(asked)], "model string, label string, own string, variable string, shown string")
+    back = {v: c for (_, c), v in place.items()}
+    fitted = fitted.drop("y").join(F.broadcast(names), "model")  # a row per model
+    term = F.when(F.col("term") == F.col("variable"), F.col("shown"))
+    for v, c in back.items():
+        term = term.when(F.col("term") == v, c)
+    return fitted.withColumns({"term": term.otherwise(F.col("term")), "model": F.col("label"), "y": F.col("own")}).drop("label", "own", "variable", "shown")

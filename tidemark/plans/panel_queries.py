@@ -10,7 +10,7 @@ from ..operators import market as mk
 from ..operators import phrases, regression, stats, tone
 from ..sources import tables as src
 from ..sources.files import stored
-from .queries import DOCS, EVENTS, LEX, TOKENS, TONE, VI, _events, _tone, query, r
+from .queries import DOCS, EVENTS, LEX, PLACEBO, TOKENS, TONE, VI, _events, _study, _tone, query, r
 
 PHRASES = (
     ("la", "negative"), ("de la", "negative"), ("que de la", "uncertainty"), ("de", "positive"), ("et", "positive"), ("que el", "litigious"), ("en", "positive"),
@@ -57,7 +57,7 @@ def mislabeled_spans(spark, sf_dir):
 
 
 CONTROLS = """ctl AS (SELECT doc_id, CASE WHEN avg(CASE WHEN k >= -60 THEN close * volume END) > 0 THEN ln(avg(CASE WHEN k >= -60 THEN close * volume END)) END AS log_tradeval,
-sum(CASE WHEN k BETWEEN -30 AND -2 THEN ret - mret END) AS pre_ret, count(*) FILTER (k BETWEEN -150 AND -11 AND ret = 0) / count(*) FILTER (k BETWEEN -150 AND -11) AS zero_share, sum(CASE WHEN k <= -6 THEN volume END) AS volume_year
+coalesce(sum(CASE WHEN k BETWEEN -30 AND -2 THEN ret - mret END), 0) AS pre_ret, count(*) FILTER (k BETWEEN -150 AND -11 AND ret = 0) / count(*) FILTER (k BETWEEN -150 AND -11) AS zero_share, sum(CASE WHEN k <= -6 THEN volume END) AS volume_year
 FROM (SELECT doc_id, idx - i0 AS k, ret, mret, close, volume FROM ok JOIN rets USING (ticker) JOIN mkt USING (idx) WHERE idx BETWEEN i0 - 252 AND i0 - 1) GROUP BY doc_id)"""
 
 
@@ -69,54 +69,91 @@ def event_controls(spark, sf_dir):
 
 
 TONES = ("neg", "net", "unc")
-CARS = {"car": (0, 3), "car_m1_1": (-1, 1), "car_0_5": (0, 5), "carma": (0, 3)}
+#: The panel's names of the main window's measures; other windows keep theirs.
+MAIN = {"car_0_3": "car", "carma_0_3": "carma", "bhar_0_3": "bhar", "placebo_car_0_3": "placebo"}
+_named = [(p, a, b, MAIN.get(n := mk.span_name(p, a, b), n)) for p in ("car", "carma") for a, b in mk.WINDOWS]
+CARS = tuple(n for *_, n in _named)
+CLIPPED = (*CARS, "bhar", "placebo", "pre_ret", "pre_alpha")
+#: Controls of the one and of the other market's models.
+CONTROLS_A = ("log_tradeval", "pre_ret", "log_len", "vn30", "beta")
+CONTROLS_B = ("log_mcap", "log_bm", "log_turn", "pre_alpha", "log_len")
+
+#: The facts at hand by event: the last order of a customer as shares, half of it less a constant as equity.
+FUND = """fund AS (SELECT doc_id, max_by(o_totalprice, (o_orderdate, o_totalprice)) AS shares, max_by(o_totalprice, (o_orderdate, o_totalprice)) / 2 - 50000 AS equity FROM docs JOIN orders ON o_custkey = 1 + doc_id % 90
+WHERE (o_orderdate::DATE) <= event_date + 3 AND o_orderdate::DATE - 30 > event_date - 400 AND o_orderdate::DATE - 30 <= event_date GROUP BY doc_id),
+vy AS (SELECT doc_id, sum(volume) AS v FROM ok JOIN grid USING (ticker) WHERE idx BETWEEN i0 - 252 AND i0 - 6 GROUP BY doc_id),
+mc AS (SELECT ok.doc_id, close * shares AS mcap, shares, equity, coalesce(v, 0) AS v FROM ok LEFT JOIN fund USING (doc_id) LEFT JOIN vy USING (doc_id) LEFT JOIN grid ON grid.ticker = ok.ticker AND idx = i0 - 1),
+funda AS (SELECT doc_id, CASE WHEN mcap > 0 THEN ln(mcap) END AS log_mcap, CASE WHEN mcap > 0 AND equity > 0 THEN equity / mcap END AS bm, CASE WHEN shares > 0 THEN v / shares END AS turnover FROM mc)"""
+
+
+def _facts(spark, sf_dir):
+    o, filed = src.table(spark, sf_dir, "orders"), F.to_date("o_orderdate")
+    facts = o.select(F.col("o_custkey").alias("id"), filed.alias("filed"), F.date_sub(filed, 30).alias("end"), F.col("o_totalprice").alias("val"))
+    d = src.disclosures(spark, sf_dir).select("doc_id", (1 + F.col("doc_id") % 90).alias("id"), F.col("event_date").alias("day"))
+    met = mk.latest_fact(d.select("id", "day").distinct(), facts)
+    return d.join(met, ["id", "day"]).select("doc_id", F.col("val").alias("shares"), (F.col("val") / 2 - 50000).alias("equity"))
 
 
 def _clip(c: str, t: str) -> str:
     return f"CASE WHEN {t}.{c} IS NOT NULL THEN least(greatest({t}.{c}, q.{c}[1]), q.{c}[2]) END"
 
 
-_whole = {n: f"CASE WHEN count(ar) FILTER (k BETWEEN {a} AND {b}) = {b - a + 1} THEN sum({'ret - mret' if n == 'carma' else 'ar'}) FILTER (k BETWEEN {a} AND {b}) END AS {n}" for n, (a, b) in CARS.items()}
-WINDOWS = f"cr AS (SELECT doc_id, {', '.join(_whole.values())} FROM win GROUP BY doc_id)"
-CLIPPED = (*CARS, "pre_ret")
+_whole = [f"CASE WHEN count(ar) FILTER (k BETWEEN {a} AND {b}) = {b - a + 1} THEN sum({'ret - mret' if p == 'carma' else 'ar'}) FILTER (k BETWEEN {a} AND {b}) END AS {n}" for p, a, b, n in _named]
+_bhar = "coalesce(product(1 + ret) FILTER (k BETWEEN 0 AND 3), 1) - coalesce(product(1 + mret) FILTER (k BETWEEN 0 AND 3), 1) AS bhar"
+WINDOWS = f"cr AS (SELECT doc_id, {', '.join(_whole)}, {_bhar} FROM win GROUP BY doc_id)"
+PRE = (
+    "pa AS (SELECT doc_id, count(*) AS n_obs, regr_intercept(ret, mret) AS pre_alpha FROM ok JOIN rets USING (ticker) JOIN mkt USING (idx) "
+    "WHERE idx BETWEEN i0 - 252 AND i0 - 6 AND ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0 GROUP BY doc_id HAVING count(*) >= 80)"
+)
 T, J = "tone", "j0"
-#: All documents of the tone table with clipped tones; events with clipped returns; then the joined panel.
-PANEL_OF = f"""{CONTROLS}, {WINDOWS}, tw AS (SELECT doc_id, n_words, {', '.join(f'{_clip(c, T)} AS {c}' for c in TONES)} FROM tone, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in TONES)} FROM tone) q),
-j0 AS (SELECT doc_id, ticker, year, event_date, {', '.join(CARS)}, pre_ret, neg, net, unc, n_words, log_tradeval, beta FROM tw JOIN docs USING (doc_id) JOIN cr USING (doc_id) LEFT JOIN ctl USING (doc_id) LEFT JOIN fit USING (doc_id)),
+#: The clipped tones of all documents; what prices and facts say of the events that have a model.
+TONES_OF = f"tw AS (SELECT doc_id, n_words, {', '.join(f'{_clip(c, T)} AS {c}' for c in TONES)} FROM tone, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in TONES)} FROM tone) q)"
+EVENTS_OF = f"""{CONTROLS}, {WINDOWS}, {PLACEBO}, {PRE}, {FUND}, {TONES_OF},
+j0 AS (SELECT tw.doc_id, docs.ticker, year, cal.date AS day0, {', '.join(CARS)}, bhar, placebo, pre_ret, pre_alpha, neg, net, unc, n_words, log_tradeval, beta, log_mcap, bm, turnover, ok.i0
+FROM tw JOIN docs USING (doc_id) JOIN ok USING (doc_id) JOIN cal ON cal.idx = ok.i0 JOIN fit USING (doc_id) JOIN cr USING (doc_id) LEFT JOIN pc USING (doc_id) LEFT JOIN pa USING (doc_id) LEFT JOIN ctl USING (doc_id) LEFT JOIN funda USING (doc_id))"""
+PANEL_OF = f"""{EVENTS_OF},
 j AS (SELECT j0.* REPLACE ({', '.join(f'{_clip(c, J)} AS {c}' for c in CLIPPED)}) FROM j0, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in CLIPPED)} FROM j0) q),
-panel AS (SELECT doc_id, ticker, year, {', '.join(CLIPPED)}, neg, net, beta, ln(greatest(n_words, 1)) AS log_len, log_tradeval, (ticker % 2 = 0)::INT AS vn30, year(event_date) || 'Q' || quarter(event_date) AS period,
+panel AS (SELECT j.*, ln(greatest(n_words, 1)) AS log_len, (ticker % 2 = 0)::INT AS vn30, ln(bm) AS log_bm, CASE WHEN turnover > 0 THEN ln(turnover) END AS log_turn, year(day0) || 'Q' || quarter(day0) AS period,
 {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}_z' for c in TONES)} FROM j)"""
 PANEL = f"{EVENTS}, {TONE.replace(DOCS + ', ', '')}, {PANEL_OF}"
 
 
-def _returns_panel(ok, rets, m):
-    """doc_id, the windows of CARS, beta and the controls of every event with an estimated model."""
-    fit = mk.market_model(ok, rets, m, 80)
-    long = mk.car_family(ok, fit, rets, m, sorted(set(CARS.values())))
-    wide = [F.max(F.when((F.col("lo") == a) & (F.col("hi") == b), F.col("carma" if n == "carma" else "car"))).alias(n) for n, (a, b) in CARS.items()]
-    x = fit.select("doc_id", "beta").join(long.groupBy("doc_id").agg(*wide), "doc_id", "left")
-    return x.join(mk.controls(ok, rets, m).select("doc_id", "log_tradeval", "pre_ret"), "doc_id", "left")
+def _clipped_tones(spark, sf_dir):
+    return stats.winsorize(stored(_tone(spark, sf_dir).select("doc_id", "n_words", *TONES), "panel-tones"), *TONES)
 
 
-def _panel(spark, sf_dir, returns=None):
-    """Tone and returns by document, clipped and standardised; written once, as regressions pass over it often."""
-    if returns is None:
-        _, ok, rets, m = _events(spark, sf_dir)
-        returns = _returns_panel(ok, rets, m)
-    t = stats.winsorize(stored(_tone(spark, sf_dir).select("doc_id", "n_words", *TONES), "panel-tones"), *TONES)
-    d = src.disclosures(spark, sf_dir).select("doc_id", "ticker", "year", "event_date")
-    x = stats.winsorize(stored(t.join(d, "doc_id").join(returns, "doc_id"), "panel-rows"), *CLIPPED)
+def _rows_of(spark, sf_dir, study=None):
+    """Tone, prices and facts of every event that has both a tone and a model, before returns are clipped."""
+    study = _study(spark, sf_dir) if study is None else study
+    study = study.withColumnsRenamed(MAIN).drop("lang", "event_date", "after_close", "n_obs", "sigma")
+    x = stored(_clipped_tones(spark, sf_dir).join(study, "doc_id"), "panel-events")
+    return x.join(mk.sized(x, _facts(spark, sf_dir)), "doc_id").drop("close_before", "volume_year")
+
+
+def _scaled(x):
+    """x with the measures that models take besides its own: logarithms, the quarter of the event, a flag."""
+    period = F.concat(F.year("day0"), F.lit("Q"), F.quarter("day0"))
+    return x.withColumns({
+        "log_len": F.log(F.greatest("n_words", F.lit(1))), "vn30": (F.col("ticker") % 2 == 0).cast("int"), "period": period,
+        "log_bm": F.log("bm"), "log_turn": F.log(F.when(F.col("turnover") > 0, F.col("turnover"))),
+    })
+
+
+def _panel(spark, sf_dir, study=None):
+    """Events with returns clipped and tones standardised; written once, as regressions pass over it often."""
+    x = stats.winsorize(stored(_rows_of(spark, sf_dir, study), "panel-rows"), *CLIPPED)
     for c in TONES:
         x = stats.zscore(x, c, f"{c}_z")
-    period = F.concat(F.year("event_date"), F.lit("Q"), F.quarter("event_date"))
-    return stored(x.withColumns({"log_len": F.log(F.greatest("n_words", F.lit(1))), "vn30": (F.col("ticker") % 2 == 0).cast("int"), "period": period}).drop("event_date"), "panel")
+    return stored(_scaled(x), "panel")
 
 
-@query(f"WITH {PANEL} SELECT doc_id, ticker, year, period, vn30, round(car, 8) AS car, round(net, 8) AS net, round(log_len, 8) AS log_len, round(log_tradeval, 8) AS log_tradeval, round(pre_ret, 8) AS pre_ret, round(neg_z, 6) AS neg_z, round(unc_z, 6) AS unc_z FROM panel")
+_SHOWN = (*CLIPPED, "neg", "net", "log_len", "log_tradeval", "beta", "log_mcap", "log_bm", "log_turn")
+
+
+@query(f"WITH {PANEL} SELECT doc_id, ticker, year, period, vn30, {', '.join(f'round({c}, 8) AS {c}' for c in _SHOWN)}, {', '.join(f'round({c}_z, 6) AS {c}_z' for c in TONES)} FROM panel")
 def regression_panel(spark, sf_dir):
     x = _panel(spark, sf_dir)
-    rounded = [r(F.col(c)).alias(c) for c in ("car", "net", "log_len", "log_tradeval", "pre_ret")]
-    return x.select("doc_id", "ticker", "year", "period", "vn30", *rounded, *[r(F.col(c), 6).alias(c) for c in ("neg_z", "unc_z")])
+    return x.select("doc_id", "ticker", "year", "period", "vn30", *[r(F.col(c)).alias(c) for c in _SHOWN], *[r(F.col(f"{c}_z"), 6).alias(f"{c}_z") for c in TONES])
 
 
 @query(f"""WITH {PANEL}, k AS (SELECT car, row_number() OVER (ORDER BY net, doc_id) AS rk, count(*) OVER () AS n FROM panel),
@@ -142,10 +179,10 @@ p AS (SELECT doc_id, k, CASE WHEN ar IS NOT NULL THEN sum(ar) OVER (PARTITION BY
 SELECT tertile, k::INT AS k, count(c) AS n, round(avg(c) * 100, 6) AS caar_pct FROM p JOIN t USING (doc_id) GROUP BY ALL""")
 def caar_by_tone(spark, sf_dir):
     """Mean cumulative abnormal return by session, for thirds of the events by net tone."""
-    _, ok, rets, m = _events(spark, sf_dir)
-    t = stats.ranked(_panel(spark, sf_dir).select("doc_id", "net"), ["net", "doc_id"], "net")
-    t = t.select("doc_id", stats.tertile(F.col("rank"), F.col("n")).alias("tertile"))
-    path = mk.abnormal(ok, mk.market_model(ok, rets, m, 80), rets, m, -10, 10)
+    ev, _, rets, m = _events(spark, sf_dir)
+    p = _panel(spark, sf_dir, mk.event_study(ev, mk.session_study(rets, m)))
+    t = stats.ranked(p.select("doc_id", "net"), ["net", "doc_id"], "net").select("doc_id", stats.tertile(F.col("rank"), F.col("n")).alias("tertile"))
+    path = mk.abnormal(p.select("doc_id", "ticker", "i0"), p.select("doc_id", "alpha", "beta", F.lit(None).cast("double").alias("sigma")), rets, m, -10, 10)
     run = F.sum("ar").over(Window.partitionBy("doc_id").orderBy("k"))
     path = path.select("doc_id", "k", F.when(F.col("ar").isNotNull(), run).alias("c"))
     return path.join(t, "doc_id").groupBy("tertile", "k").agg(F.count("c").alias("n"), r(F.avg("c") * 100, 6).alias("caar_pct"))
@@ -237,12 +274,13 @@ def _wide_sql(name: str, prefix: str) -> str:
 
 
 _COLUMNS = [f"{p}_{m}" for p in ("fin", "gen", "finA") for m in _MEASURES]
-TONE_PANEL = f"""WITH {LEX}, {DOCS}, main AS (SELECT doc_id, text FROM docs WHERE lang = 'en'), alt AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM main),
+TONE_CTES = f"""main AS (SELECT doc_id, text FROM docs WHERE lang = 'en'), alt AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM main),
 {_tones_sql('f', 'main', 'fin')}, {_tones_sql('g', 'main', 'gen')}, {_tones_sql('a', 'alt', 'fin')},
-x AS (SELECT f.doc_id, f.n_words, f.negative AS n_fin_neg, f.positive AS n_fin_pos, a.n_words AS n_words_alt, {_wide_sql('f', 'fin')}, {_wide_sql('g', 'gen')}, {_wide_sql('a', 'finA')}
+tx AS (SELECT f.doc_id, f.n_words, f.negative AS n_fin_neg, f.positive AS n_fin_pos, a.n_words AS n_words_alt, {_wide_sql('f', 'fin')}, {_wide_sql('g', 'gen')}, {_wide_sql('a', 'finA')}
 FROM f JOIN g USING (doc_id) JOIN a USING (doc_id) LEFT JOIN f_w USING (doc_id) LEFT JOIN g_w USING (doc_id) LEFT JOIN a_w USING (doc_id)),
-q AS (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in _COLUMNS)} FROM x)
-SELECT doc_id, ticker, year, lang, n_words, n_fin_neg::BIGINT AS n_fin_neg, n_fin_pos::BIGINT AS n_fin_pos, n_words_alt, {', '.join(f'round(least(greatest(x.{c}, q.{c}[1]), q.{c}[2]), 8) AS {c}' for c in _COLUMNS)} FROM x JOIN docs USING (doc_id), q"""
+tp AS (SELECT tx.* REPLACE ({', '.join(f'least(greatest(tx.{c}, tq.{c}[1]), tq.{c}[2]) AS {c}' for c in _COLUMNS)}) FROM tx, (SELECT {', '.join(f'quantile_cont({c}, [0.01, 0.99]) AS {c}' for c in _COLUMNS)} FROM tx) tq)"""
+TONE_PANEL = f"""WITH {LEX}, {DOCS}, {TONE_CTES}
+SELECT doc_id, ticker, year, lang, n_words, n_fin_neg::BIGINT AS n_fin_neg, n_fin_pos::BIGINT AS n_fin_pos, n_words_alt, {', '.join(f'round({c}, 8) AS {c}' for c in _COLUMNS)} FROM tp JOIN docs USING (doc_id)"""
 
 
 def _tone_columns(docs, lexicon, prefix):
@@ -252,8 +290,7 @@ def _tone_columns(docs, lexicon, prefix):
     return x.withColumnsRenamed({m: f"{prefix}_{m}" for m in _MEASURES})
 
 
-@query(TONE_PANEL)
-def tone_panel(spark, sf_dir):
+def _tone_panel(spark, sf_dir):
     """Both lexicons on the text and the financial one on its first line (the alternative text); every
     column that starts fin or gen is clipped, counts are not."""
     d = src.english(spark, sf_dir)
@@ -263,9 +300,13 @@ def tone_panel(spark, sf_dir):
     x = _tone_columns(main, fin, "fin").withColumnsRenamed({"n_neg": "n_fin_neg", "n_pos": "n_fin_pos"})
     x = x.join(_tone_columns(main, gen, "gen").drop("n_words", "n_neg", "n_pos"), "doc_id")
     x = x.join(_tone_columns(alt, fin, "finA").withColumnRenamed("n_words", "n_words_alt").drop("n_neg", "n_pos"), "doc_id")
-    named = [c for c in x.columns if c.startswith(("fin", "gen"))]
-    x = stats.winsorize(stored(x, "tones"), *named).join(d.select("doc_id", "ticker", "year", "lang"), "doc_id")
-    return x.select("doc_id", "ticker", "year", "lang", "n_words", "n_fin_neg", "n_fin_pos", "n_words_alt", *[r(F.col(c)).alias(c) for c in named])
+    return stats.winsorize(stored(x, "tones"), *_COLUMNS)
+
+
+@query(TONE_PANEL)
+def tone_panel(spark, sf_dir):
+    x = _tone_panel(spark, sf_dir).join(src.english(spark, sf_dir).select("doc_id", "ticker", "year", "lang"), "doc_id")
+    return x.select("doc_id", "ticker", "year", "lang", "n_words", "n_fin_neg", "n_fin_pos", "n_words_alt", *[r(F.col(c)).alias(c) for c in _COLUMNS])
 
 
 _net = "CASE WHEN {p} + ng > 0 THEN ({p} - ng) / ({p} + ng) ELSE 0.0 END::DOUBLE"

@@ -417,15 +417,15 @@ def event_date_priority(spark, sf_dir):
 
 
 def _gaps_sql(unit: str, until: str) -> str:
-    """CTEs after n (ticker, ts): q, and `flagged`, a row per period of the spine."""
-    return f"""c AS (SELECT date_trunc('{unit}', ts) AS period, count(*) AS n FROM n GROUP BY 1),
-s AS (SELECT unnest(generate_series((SELECT min(period) FROM c)::TIMESTAMP, (SELECT max(period) FROM c)::TIMESTAMP, INTERVAL 1 {unit})) AS period), f AS (SELECT ticker, min(ts) AS first FROM n GROUP BY ticker),
-p AS (SELECT period, coalesce(c.n, 0)::BIGINT AS n, (SELECT count(*) FROM f WHERE first <= period)::BIGINT AS n_tickers FROM s LEFT JOIN c USING (period)),
-q AS (SELECT *, CASE WHEN n_tickers > 0 THEN round(n / n_tickers, 2) END AS per_ticker, n_tickers >= 10 AND period < date_trunc('{unit}', TIMESTAMP '{until}') AS judged FROM p),
-flagged AS (SELECT period, n, n_tickers, per_ticker, coalesce(judged AND per_ticker < 0.25 * (SELECT quantile_cont(per_ticker, 0.5) FROM q WHERE judged), false) AS gap FROM q)"""
+    """CTEs after items (ticker, ts): `flagged`, a row per period of the spine."""
+    return f"""gc AS (SELECT date_trunc('{unit}', ts) AS period, count(*) AS n FROM items GROUP BY 1),
+gs AS (SELECT unnest(generate_series((SELECT min(period) FROM gc)::TIMESTAMP, (SELECT max(period) FROM gc)::TIMESTAMP, INTERVAL 1 {unit})) AS period), gf AS (SELECT ticker, min(ts) AS first FROM items GROUP BY ticker),
+gp AS (SELECT period, coalesce(gc.n, 0)::BIGINT AS n, (SELECT count(*) FROM gf WHERE first <= period)::BIGINT AS n_tickers FROM gs LEFT JOIN gc USING (period)),
+gq AS (SELECT *, CASE WHEN n_tickers > 0 THEN round(n / n_tickers, 2) END AS per_ticker, n_tickers >= 10 AND period < date_trunc('{unit}', TIMESTAMP '{until}') AS judged FROM gp),
+flagged AS (SELECT period, n, n_tickers, per_ticker, coalesce(judged AND per_ticker < 0.25 * (SELECT quantile_cont(per_ticker, 0.5) FROM gq WHERE judged), false) AS gap FROM gq)"""
 
 
-GAPS = f"WITH n AS (SELECT user_id AS ticker, ts FROM events WHERE event_type = 'error' AND hour(ts) % 6 <> 0), {_gaps_sql('hour', '2024-01-29 12:30:00')} SELECT * FROM flagged"
+GAPS = f"WITH items AS (SELECT user_id AS ticker, ts FROM events WHERE event_type = 'error' AND hour(ts) % 6 <> 0), {_gaps_sql('hour', '2024-01-29 12:30:00')} SELECT * FROM flagged"
 
 
 @query(GAPS)
@@ -437,7 +437,7 @@ def monthly_coverage_gap(spark, sf_dir):
 
 #: Items of which most are missing in May and in two other months.
 THIN = "month(o_orderdate) <> 5 AND NOT (year(o_orderdate) = 1996 AND month(o_orderdate) IN (10, 11)) OR o_orderkey % 9 = 0"
-ITEMS = f"n AS (SELECT o_custkey AS ticker, o_orderdate AS ts FROM orders WHERE {THIN}), {_gaps_sql('month', '1998-07-15')}"
+ITEMS = f"items AS (SELECT o_custkey AS ticker, o_orderdate AS ts FROM orders WHERE {THIN}), {_gaps_sql('month', '1998-07-15')}"
 TOUCHED = "SELECT doc_id, EXISTS (SELECT 1 FROM cal JOIN flagged g ON g.gap AND date_trunc('month', cal.date) = g.period WHERE cal.idx BETWEEN i0 - 10 AND i0 + 10) AS touches FROM ev WHERE i0 IS NOT NULL"
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from ..operators import inference, regression, stats
 from ..operators import market as mk
 from ..sources import tables as src
 from ..sources.files import stored
-from .panel_queries import NEWS, PANEL, PANEL_OF, _news, _panel, _returns_panel
-from .queries import DOCS, EVENTS, TONE, _events, _grid, _tone, query, r
+from .panel_queries import CONTROLS_A, CONTROLS_B, EVENTS_OF, FUND, MAIN, NEWS, PANEL, PRE, TONE_CTES, TONES, _clip, _clipped_tones, _facts, _news, _panel, _tone_panel
+from .queries import DOCS, EVENTS, ITEMS, TONE, TOUCHED, _events, _gap_months, query, r
 
 SPANS = ((0, 3), (0, 1), (-1, 1), (0, 5), (0, 10))
 
@@ -27,32 +29,14 @@ def car_family(spark, sf_dir):
     return _family(spark, sf_dir).select("doc_id", "lo", "hi", r(F.col("car")).alias("car"), r(F.col("scar"), 6).alias("scar"), r(F.col("carma")).alias("carma"))
 
 
-@query(
-    f"WITH {EVENTS} SELECT doc_id, count(*) AS n_obs, round(regr_intercept(ret, mret), 8) AS pre_alpha FROM ok JOIN rets USING (ticker) JOIN mkt USING (idx) "
-    "WHERE idx BETWEEN i0 - 252 AND i0 - 6 AND ret IS NOT NULL AND mret IS NOT NULL AND ret <> 0 GROUP BY doc_id HAVING count(*) >= 80"
-)
+@query(f"WITH {EVENTS}, {PRE} SELECT doc_id, n_obs, round(pre_alpha, 8) AS pre_alpha FROM pa")
 def pre_alpha(spark, sf_dir):
     """The market model's intercept over sessions -252 to -6, cut off at the first session."""
     _, ok, rets, m = _events(spark, sf_dir)
     return mk.market_model(ok, rets, m, 80, -252, -6).select("doc_id", "n_obs", r(F.col("alpha")).alias("pre_alpha"))
 
 
-#: The facts at hand by event: the last order of a customer as shares, half of it less a constant as equity.
-FUND = """fund AS (SELECT doc_id, max_by(o_totalprice, (o_orderdate, o_totalprice)) AS shares, max_by(o_totalprice, (o_orderdate, o_totalprice)) / 2 - 50000 AS equity FROM docs JOIN orders ON o_custkey = 1 + doc_id % 90
-WHERE (o_orderdate::DATE) <= event_date + 3 AND o_orderdate::DATE - 30 > event_date - 400 AND o_orderdate::DATE - 30 <= event_date GROUP BY doc_id)"""
-
-
-def _facts(spark, sf_dir):
-    o, filed = src.table(spark, sf_dir, "orders"), F.to_date("o_orderdate")
-    facts = o.select(F.col("o_custkey").alias("id"), filed.alias("filed"), F.date_sub(filed, 30).alias("end"), F.col("o_totalprice").alias("val"))
-    d = src.disclosures(spark, sf_dir).select("doc_id", (1 + F.col("doc_id") % 90).alias("id"), F.col("event_date").alias("day"))
-    met = mk.latest_fact(d.select("id", "day").distinct(), facts)
-    return d.join(met, ["id", "day"]).select("doc_id", F.col("val").alias("shares"), (F.col("val") / 2 - 50000).alias("equity"))
-
-
-@query(f"""WITH {EVENTS}, {FUND}, v AS (SELECT doc_id, sum(volume) AS v FROM ok JOIN grid USING (ticker) WHERE idx BETWEEN i0 - 252 AND i0 - 6 GROUP BY doc_id),
-m AS (SELECT ok.doc_id, close * shares AS mcap, shares, equity, coalesce(v, 0) AS v FROM ok LEFT JOIN fund USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN grid ON grid.ticker = ok.ticker AND idx = i0 - 1)
-SELECT doc_id, CASE WHEN mcap > 0 THEN round(ln(mcap), 8) END AS log_mcap, CASE WHEN mcap > 0 AND equity > 0 THEN round(equity / mcap, 10) END AS bm, CASE WHEN shares > 0 THEN round(v / shares, 8) END AS turnover FROM m""")
+@query(f"WITH {EVENTS}, {FUND} SELECT doc_id, round(log_mcap, 8) AS log_mcap, round(bm, 10) AS bm, round(turnover, 8) AS turnover FROM funda")
 def event_fundamentals(spark, sf_dir):
     _, ok, rets, _ = _events(spark, sf_dir)
     x = mk.fundamentals(ok, rets, _facts(spark, sf_dir))
@@ -120,38 +104,84 @@ def car_sign_tests(spark, sf_dir):
     return t.select("label", "n", *[r(F.col(c), 6).alias(c) for c in ("mean_pct", "median_pct", "pct_positive", "p_sign")], r(F.col("t"), 5).alias("t"), r(F.col("t_bmp"), 5).alias("t_bmp"))
 
 
-def fit_sql(model: str, y: str, x: str, panel: str = "panel", where: str = "true", digits: int = 6) -> str:
-    """One term with year effects, clustered by ticker, in the within form, as a row of a table of models."""
+def fit_sql(model: str, y: str, x: str, others: Sequence[str] = (), panel: str = "panel", where: str = "true", digits: int = 6) -> str:
+    """One tone with controls and year effects, clustered by ticker, as a row of a table of models.
+
+    Year means are taken off, then each control's part in turn; what is left of y and x gives the
+    tone's coefficient and error as the whole regression would."""
+    names = [y, x, *others]
+    steps = [f"u AS (SELECT ticker, year, {', '.join(f'({c})::DOUBLE AS v{i}' for i, c in enumerate(names))} FROM {panel} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)} AND ({where}))"]
+    steps.append(f"d{len(names)} AS (SELECT ticker, {', '.join(f'v{i} - avg(v{i}) OVER (PARTITION BY year) AS v{i}' for i in range(len(names)))} FROM u)")
+    for k in range(len(names) - 1, 1, -1):
+        steps.append(f"d{k} AS (SELECT ticker, {', '.join(f'v{i} - v{k} * (sum(v{i} * v{k}) OVER ()) / (sum(v{k} * v{k}) OVER ()) AS v{i}' for i in range(k))} FROM d{k + 1})")
     return f"""SELECT '{model}' AS model, '{y}' AS y, '{x}' AS term, round(b, {digits}) AS coef, round(sqrt(m / sxx ^ 2 * g / (g - 1) * (n - 1) / (n - k)), {digits}) AS se, n AS n_obs FROM (
-WITH u AS (SELECT * FROM {panel} WHERE {y} IS NOT NULL AND {x} IS NOT NULL AND ({where})), d AS (SELECT ticker, {x} - avg({x}) OVER (PARTITION BY year) AS x, {y} - avg({y}) OVER (PARTITION BY year) AS y FROM u),
-b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, (SELECT count(DISTINCT year) FROM u) + 1 AS k FROM d), s AS (SELECT ticker, sum(x * (y - b * x)) AS s FROM d, b GROUP BY ticker)
+WITH {', '.join(steps)}, b AS (SELECT sum(v1 * v0) / sum(v1 * v1) AS b, sum(v1 * v1) AS sxx, count(*) AS n, (SELECT count(DISTINCT year) FROM u) + {1 + len(others)} AS k FROM d2), s AS (SELECT ticker, sum(v1 * (v0 - b * v1)) AS s FROM d2, b GROUP BY ticker)
 SELECT b, sxx, n, k, sum(s * s) AS m, count(*) AS g FROM s, b GROUP BY ALL)"""
 
 
 def _rows(fitted, *more):
-    term = fitted.where(~F.col("term").contains("=") & (F.col("term") != "const"))
-    return term.select(*more, "model", "y", "term", r(F.col("coef"), 6).alias("coef"), r(F.col("se"), 6).alias("se"), "n_obs")
+    return fitted.where(F.col("term").endswith("_z")).select(*more, "model", "y", "term", r(F.col("coef"), 6).alias("coef"), r(F.col("se"), 6).alias("se"), "n_obs")
 
 
-ROBUST = {"market-adjusted": "carma", "around": "car_m1_1", "longer": "car_0_5"}
+#: All other returns than the main one.
+ROBUST = {"market-adjusted": "carma", "BHAR": "bhar", "placebo": "placebo", "CAR[0,1]": "car_0_1", "CAR[-1,1]": "car_m1_1", "CAR[0,5]": "car_0_5", "CAR[0,10]": "car_0_10"}
+#: The tones of each model of the main return; a model whose tones the panel lacks falls away.
+OWN = {
+    "M1 base": [], "M2 fin_neg": ["neg_z"], "M3 gen_neg": ["gen_neg_z"], "M4 both": ["neg_z", "gen_neg_z"], "M5 net and unc": ["net_z", "unc_z"],
+    "M6 tf-idf": ["neg_tfidf_z"], "M7 section": ["finA_neg_z"], "M8 model": ["finbert_net_z"],
+}
+MORE = ("gen_neg", "neg_tfidf", "finA_neg")
+WIDE = f"""{PANEL}, {TONE_CTES}, w0 AS (SELECT panel.*, gen_neg, fin_neg_tfidf AS neg_tfidf, finA_neg FROM panel JOIN tp USING (doc_id)),
+wide AS (SELECT *, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}_z' for c in MORE)} FROM w0)"""
 
 
-@query(f"WITH {PANEL} " + " UNION ALL ".join(fit_sql(n, y, "neg_z") for n, y in ROBUST.items()))
-def robustness_fits(spark, sf_dir):
+def _main_sql(digits: int = 6) -> str:
+    there = {f"{c}_z" for c in (*TONES, *MORE)}
+    return " UNION ALL ".join(fit_sql(m, "car", x, [*[t for t in tones if t != x], *CONTROLS_A], "wide", digits=digits) for m, tones in OWN.items() if set(tones) <= there for x in tones)
+
+
+def _robust_sql(digits: int = 6) -> str:
+    return " UNION ALL ".join(fit_sql(n, y, "neg_z", CONTROLS_A, digits=digits) for n, y in ROBUST.items())
+
+
+def _with_general(spark, sf_dir):
+    """The panel with the general lexicon's, the tf-idf and the alternative text's measure, standardised."""
+    t = _tone_panel(spark, sf_dir).select("doc_id", "gen_neg", F.col("fin_neg_tfidf").alias("neg_tfidf"), "finA_neg")
+    x = stored(_panel(spark, sf_dir).join(t, "doc_id"), "panel-general")
+    for c in MORE:
+        x = stats.zscore(x, c, f"{c}_z")
+    return stored(x, "panel-wide")
+
+
+def _main_models(p):
+    controls = inference.chosen_controls(p, CONTROLS_A)
+    return inference.models(p, {n: ("car", [*tones, *controls]) for n, tones in OWN.items()}, "ticker", ["year"])
+
+
+def _robust_models(p):
     """The tone coefficient for other returns; a model needs more than 30 of them, and its columns."""
-    specs = {n: (y, ["neg_z"]) for n, y in ROBUST.items()} | {"absent": ("no_such_return", ["neg_z"])}
-    return _rows(inference.models(_panel(spark, sf_dir), specs, "ticker", ["year"], 30))
+    controls = inference.chosen_controls(p, CONTROLS_A)
+    specs = {n: (y, ["neg_z", *controls]) for n, y in ROBUST.items()} | {"absent": ("no_such_return", ["neg_z"])}
+    return inference.models(p, specs, "ticker", ["year"], 30)
+
+
+@query(f"WITH {PANEL} {_robust_sql()}")
+def robustness_fits(spark, sf_dir):
+    return _rows(_robust_models(_panel(spark, sf_dir)))
 
 
-@query(f"WITH {PANEL}, f AS ({' UNION ALL '.join(fit_sql(n, y, 'neg_z', digits=15) for n, y in ROBUST.items())}) SELECT model, term, round(coef, 5) AS coef, round(100 * coef, 3) AS effect_pct FROM f")
+@query(f"WITH {WIDE}, mag AS (SELECT 'main' AS sheet, * FROM ({_main_sql(15)}) UNION ALL SELECT 'robustness', * FROM ({_robust_sql(15)})) SELECT sheet, model, term, round(coef, 5) AS coef, round(100 * coef, 3) AS effect_pct FROM mag")
 def economic_magnitude(spark, sf_dir):
-    """Points of return, in percent, for one standard deviation of tone."""
-    f = inference.models(_panel(spark, sf_dir), {n: (y, ["neg_z"]) for n, y in ROBUST.items()}, "ticker", ["year"], 30)
-    return inference.magnitudes(f).select("model", "term", r(F.col("coef"), 5).alias("coef"), r(F.col("effect_pct"), 3).alias("effect_pct"))
+    """Points of return, in percent, for one standard deviation of tone, from both tables of models."""
+    p = _with_general(spark, sf_dir)
+    f = _main_models(p).withColumn("sheet", F.lit("main")).unionByName(_robust_models(p).withColumn("sheet", F.lit("robustness")))
+    m = inference.magnitudes(f, "sheet")
+    return m.select("sheet", "model", "term", r(F.col("coef"), 5).alias("coef"), r(F.col("effect_pct"), 3).alias("effect_pct"))
 
 
 CONTAMINATED = "hit AS (SELECT doc_id, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.idx BETWEEN i0 AND i0 + 3) AS overlap FROM ev)"
 SAMPLES = {"all": "true", "clean": "NOT overlap", "overlapping": "overlap"}
+SAMPLE_TONES = ("neg_z", "gen_neg_z")
 
 
 def _overlap(spark, sf_dir, events):
@@ -159,53 +189,80 @@ def _overlap(spark, sf_dir, events):
     return events.select("doc_id").join(met.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("overlap"))
 
 
-@query(f"WITH {PANEL}, {NEWS}, {CONTAMINATED}, marked AS (SELECT * FROM panel JOIN hit USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{s}' AS sample, * FROM ({fit_sql('tone', 'car', 'neg_z', 'marked', w)})" for s, w in SAMPLES.items()))
+@query(
+    f"WITH {WIDE}, {NEWS}, {CONTAMINATED}, marked AS (SELECT * FROM wide JOIN hit USING (doc_id)) "
+    + " UNION ALL ".join(f"SELECT '{s}' AS sample, * FROM ({fit_sql(x, 'car', x, CONTROLS_B, 'marked', w)})" for s, w in SAMPLES.items() for x in SAMPLE_TONES)
+)
 def subsample_fits(spark, sf_dir):
-    """The tone coefficient on all events, and on those without and with other news in sessions 0 to 3."""
-    _, ok, rets, m = _events(spark, sf_dir)
-    p = stored(_panel(spark, sf_dir, _returns_panel(ok, rets, m)).join(_overlap(spark, sf_dir, ok), "doc_id"), "panel-marked")
-    return _rows(inference.by_sample(p, {s: F.expr(w) for s, w in SAMPLES.items()}, {"tone": ("car", ["neg_z"])}, "ticker", ["year"]), "sample")
+    """Both tones' coefficients on all events, and on those without and with other news in sessions 0 to 3."""
+    p = _with_general(spark, sf_dir)
+    p = stored(p.join(_overlap(spark, sf_dir, p.select("doc_id", "ticker", "i0")), "doc_id"), "panel-marked")
+    controls = inference.chosen_controls(p, CONTROLS_B)
+    specs = {x: ("car", [x, *controls]) for x in SAMPLE_TONES}
+    return _rows(inference.by_sample(p, {s: F.expr(w) for s, w in SAMPLES.items()}, specs, "ticker", ["year"]), "sample")
+
+
+#: The registered tests: label, whether by second dates, sample, tone, return. S1 takes second event dates
+#: (documents of even id, three days later), S2 the change of tone over the year before, S3 events that no
+#: other news overlaps (then also none that touches a gap month), S4 all of these.
+TESTS = (
+    ("M2", False, "true", "neg", "car"), ("S1 first dates", False, "dated", "neg", "car"), ("S1", True, "true", "neg", "car"), ("S1", True, "true", "neg", "car_0_5"),
+    ("S2", False, "true", "d_neg", "car"), ("S2", False, "true", "d_neg", "car_0_5"), ("S2 net", False, "true", "d_net", "car"),
+    ("S3", False, "NOT overlap", "neg", "car"), ("S3", False, "NOT overlap", "neg", "car_0_5"), ("S3 no gap", False, "NOT overlap AND NOT touches", "neg", "car"),
+    ("S4", True, "NOT overlap", "d_neg", "car"), ("S4", True, "NOT overlap", "d_neg", "car_0_5"),
+)
+_moved = "event_date) + after_close::INT AS i0 FROM docs d"
+assert _moved in EVENTS
+EVENTS2 = EVENTS.replace(_moved, "event_date + 3) + after_close::INT AS i0 FROM docs d WHERE doc_id % 2 = 0")
+_t = TONE.replace(DOCS + ", ", "")
+_change = """yearly AS (SELECT ticker, year, avg(neg) AS neg, avg(net) AS net FROM tw JOIN docs USING (doc_id) GROUP BY ALL),
+delta AS (SELECT doc_id, t.neg - p.neg AS d_neg, t.net - p.net AS d_net FROM tw t JOIN docs USING (doc_id) JOIN yearly p ON p.ticker = docs.ticker AND p.year + 1 = docs.year)"""
+_columns = "doc_id, ticker, year, neg, net, d_neg, d_net, car, car_0_5, pre_ret, log_tradeval, beta, ln(greatest(n_words, 1)) AS log_len, (ticker % 2 = 0)::INT AS vn30, overlap, touches"
 
 
-# Second event dates: documents of even id are also dated three days later. Tests: S1 by those dates; S2
-# change of tone over the year before; S3 without events that other news overlaps; S4 all of these.
-SECOND = {"event_date) + after_close::INT AS i0 FROM docs d": "event_date + 3) + after_close::INT AS i0 FROM docs d WHERE doc_id % 2 = 0"}
-EVENTS2 = EVENTS
-for _a, _b in SECOND.items():
-    assert _a in EVENTS2
-    EVENTS2 = EVENTS2.replace(_a, _b)
-_t = TONE.replace(DOCS + ", ", "")
-_delta = "yearly AS (SELECT ticker, year, avg(neg) AS neg FROM tone JOIN docs USING (doc_id) GROUP BY ALL), delta AS (SELECT doc_id, t.neg - p.neg AS d_neg FROM tone t JOIN docs USING (doc_id) JOIN yearly p ON p.ticker = docs.ticker AND p.year + 1 = docs.year)"
-_joined = f"""{PANEL_OF}, {NEWS}, {CONTAMINATED}, {_delta}, m0 AS (SELECT * FROM panel JOIN hit USING (doc_id) LEFT JOIN delta USING (doc_id)),
-marked AS (SELECT *, (d_neg - avg(d_neg) OVER ()) / stddev_samp(d_neg) OVER () AS d_neg_z FROM m0)"""
-S_FIRST = f"WITH {EVENTS}, {_t}, {_joined} {fit_sql('S2', 'car', 'd_neg_z', 'marked')} UNION ALL {fit_sql('S3', 'car', 'neg_z', 'marked', 'NOT overlap')}"
-S_SECOND = f"WITH {EVENTS2}, {_t}, {_joined} {fit_sql('S1', 'car', 'neg_z', 'marked')} UNION ALL {fit_sql('S4', 'car', 'd_neg_z', 'marked', 'NOT overlap')}"
+def _base_sql(events: str) -> str:
+    return f"WITH {events}, {_t}, {EVENTS_OF}, {NEWS}, {CONTAMINATED}, {ITEMS}, touch AS ({TOUCHED}), {_change} SELECT {_columns} FROM j0 JOIN hit USING (doc_id) JOIN touch USING (doc_id) LEFT JOIN delta USING (doc_id)"
+
+
+def _test_sql(label: str, second: bool, where: str, x: str, y: str) -> str:
+    q = f"(SELECT quantile_cont({y}, [0.01, 0.99]) AS {y}, quantile_cont(pre_ret, [0.01, 0.99]) AS pre_ret FROM s) q"
+    rows = f"""(WITH s AS (SELECT * FROM base WHERE second = {str(second).lower()} AND ({where})), w AS (SELECT s.* REPLACE ({_clip(y, 's')} AS {y}, {_clip('pre_ret', 's')} AS pre_ret) FROM s, {q})
+SELECT *, ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () AS {x}_z FROM w WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
+    return fit_sql(label, y, f"{x}_z", CONTROLS_A, rows)
+
+
+REGISTERED = f"""WITH b1 AS ({_base_sql(EVENTS)}), b2 AS ({_base_sql(EVENTS2)}),
+base AS MATERIALIZED (SELECT *, doc_id IN (SELECT doc_id FROM b2) AS dated, false AS second FROM b1 UNION ALL SELECT *, true, true FROM b2), f AS ({' UNION ALL '.join(_test_sql(*t) for t in TESTS)})
+SELECT *, 0.0125::DOUBLE AS alpha FROM f"""
 
 
-def _dated(spark, sf_dir, second: bool):
-    """The panel of one set of event dates with `overlap` and the standardised change of tone."""
-    cal, rets, m = _grid(spark, sf_dir)
+def _base(spark, sf_dir):
+    """Events by both sets of dates, with the change of tone, other news, gap months; returns are not clipped."""
+    ev, _, rets, m = _events(spark, sf_dir)
+    cal = mk.calendar(rets.select("date"))
+    study, tones = stored(mk.session_study(rets, m), "session-study"), _clipped_tones(spark, sf_dir)
     d = src.disclosures(spark, sf_dir).drop("text")
-    if second:
-        d = d.where("doc_id % 2 = 0").withColumn("event_date", F.date_add("event_date", 3))
-    n = cal.agg(F.count(F.lit(1)).alias("sessions"))
-    ok = mk.event_sessions(d, cal).crossJoin(F.broadcast(n)).where("i0 >= 150 AND i0 + 10 < sessions").drop("sessions")  # one row
-    x = _tone(spark, sf_dir).select("doc_id", "neg").join(src.disclosures(spark, sf_dir).select("doc_id", "ticker", "year"), "doc_id")
-    last = x.groupBy("ticker", (F.col("year") + 1).alias("year")).agg(F.avg("neg").alias("before"))
-    delta = x.join(last, ["ticker", "year"]).select("doc_id", (F.col("neg") - F.col("before")).alias("d_neg"))
-    p = _panel(spark, sf_dir, _returns_panel(ok, rets, m)).join(_overlap(spark, sf_dir, ok), "doc_id").join(delta, "doc_id", "left")
-    return stored(stats.zscore(p, "d_neg", "d_neg_z"), "panel-dated")
-
-
-@query(f"WITH r AS (SELECT * FROM ({S_FIRST}) UNION ALL SELECT * FROM ({S_SECOND})) SELECT *, 0.0125::DOUBLE AS alpha FROM r")
+    later = mk.event_sessions(d.where("doc_id % 2 = 0").withColumn("event_date", F.date_add("event_date", 3)), cal)
+    both = ev.withColumn("second", F.lit(False)).unionByName(later.withColumn("second", F.lit(True)))
+    x = mk.event_study(both, study).withColumnsRenamed(MAIN)
+    t = stored(tones.join(d.select("doc_id", "ticker", "year"), "doc_id"), "dated-tones")
+    last = t.groupBy("ticker", (F.col("year") + 1).alias("year")).agg(F.avg("neg").alias("neg0"), F.avg("net").alias("net0"))
+    t = t.join(last, ["ticker", "year"], "left").select("doc_id", "n_words", "neg", "net", (F.col("neg") - F.col("neg0")).alias("d_neg"), (F.col("net") - F.col("net0")).alias("d_net"))
+    x = stored(x.join(t, "doc_id").withColumn("event", F.concat_ws(":", "doc_id", "second")), "dated-events")
+    keyed = x.select(F.col("event").alias("doc_id"), "ticker", "i0")
+    marks = [_overlap(spark, sf_dir, keyed), mk.touching(keyed, cal, _gap_months(spark, sf_dir), "month")]
+    for mark in marks:
+        x = x.join(mark.withColumnRenamed("doc_id", "event"), "event")
+    dated = x.where("second").select("doc_id", F.lit(True).alias("dated"))
+    x = x.join(dated, "doc_id", "left").na.fill(False, ["dated"])
+    return stored(x.withColumns({"log_len": F.log(F.greatest("n_words", F.lit(1))), "vn30": (F.col("ticker") % 2 == 0).cast("int")}), "dated-base")
+
+
+@query(REGISTERED)
 def preregistered_tests(spark, sf_dir):
-    """The four tests, and the level each must pass: .05 over their number."""
-    first, second = _dated(spark, sf_dir, False), _dated(spark, sf_dir, True)
-    clean = ~F.col("overlap")
-    f = inference.models(first, {"S2": ("car", ["d_neg_z"])}, "ticker", ["year"])
-    f = f.unionByName(inference.models(first.where(clean), {"S3": ("car", ["neg_z"])}, "ticker", ["year"]))
-    f = f.unionByName(inference.models(second, {"S1": ("car", ["neg_z"])}, "ticker", ["year"]))
-    f = f.unionByName(inference.models(second.where(clean), {"S4": ("car", ["d_neg_z"])}, "ticker", ["year"]))
+    """The registered tests and their controls: a sample's returns are clipped and its tone standardised
+    within the sample; each of four main tests must pass .05 over four."""
+    f = inference.sample_models(_base(spark, sf_dir), [(label, F.expr(f"second = {second} AND ({where})"), x, y) for label, second, where, x, y in TESTS], CONTROLS_A, "ticker", ["year"], clipped=("pre_ret",))
     return _rows(inference.corrected(f, 4), "alpha")
 
 
@@ -232,49 +289,30 @@ def two_way_effects(spark, sf_dir):
     return f.where("term = 'quantity'").select("term", r(F.col("coef"), 7).alias("coef"), r(F.col("se"), 7).alias("se"), "n_obs", "n_clusters")
 
 
-CANDIDATES = ("log_tradeval", "pre_ret", "log_len", "vn30", "beta", "log_mcap")
+CANDIDATES = (*CONTROLS_A, "log_mcap", "no_such_control")
 
 
-@query(f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS control, count({c}) / count(*) > 0.5 AS chosen FROM panel" for c in CANDIDATES[:-1]) + " UNION ALL SELECT 'log_mcap', false")
+@query(f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS control, count({c}) / count(*) > 0.5 AS chosen FROM panel" for c in CANDIDATES[:-1]) + " UNION ALL SELECT 'no_such_control', false")
 def control_choice(spark, sf_dir):
     """Which controls a model takes: columns that exist and are known for over half of the rows."""
     chosen = inference.chosen_controls(_panel(spark, sf_dir), CANDIDATES)
     return spark.createDataFrame([(c, c in chosen) for c in CANDIDATES], "control string, chosen boolean")
 
 
-def _specs(panel):
-    """The eight models; those with a variable the panel lacks fall away."""
-    xs = inference.chosen_controls(panel, CANDIDATES)
-    own = {
-        "M1 base": [], "M2 fin_neg": ["neg_z"], "M3 gen_neg": ["gen_neg_z"], "M4 both": ["neg_z", "gen_neg_z"], "M5 net and unc": ["net_z", "unc_z"],
-        "M6 tf-idf": ["neg_tfidf_z"], "M7 section": ["finA_neg_z"], "M8 model": ["finbert_net_z"],
-    }
-    return {n: ("car", [*t, *xs]) for n, t in own.items()}
-
-
-def _with_general(spark, sf_dir):
-    """The panel with the general lexicon's and the tf-idf measure, standardised."""
-    from ..operators import tone
-
-    d, fin, gen = src.english(spark, sf_dir), src.lexicon(spark, "fin"), src.lexicon(spark, "gen")
-    g = tone.indices(d, gen).select("doc_id", F.col("neg").alias("gen_neg"))
-    w = tone.tf_idf(d, tone.hits(d, fin).where("category = 'negative'")).withColumnRenamed("tfidf", "neg_tfidf")
-    x = stored(_panel(spark, sf_dir).join(g, "doc_id").join(w, "doc_id"), "panel-general")
-    for c in ("gen_neg", "neg_tfidf"):
-        x = stats.zscore(x, c, f"{c}_z")
-    return stored(x, "panel-wide")
-
-
 @query()
 def ols_specifications(spark, sf_dir):
     """All model specifications side by side: a row per model and term; models without their variables
-    are left out."""
-    p = _with_general(spark, sf_dir)
-    return inference.models(p, _specs(p), "ticker", ["year"])
+    are left out. `specification_tones` holds what SQL can say of them."""
+    return _main_models(_with_general(spark, sf_dir))
+
+
+@query(f"WITH {WIDE} {_main_sql()}")
+def specification_tones(spark, sf_dir):
+    """The tones' rows of the table of models."""
+    return _rows(_main_models(_with_general(spark, sf_dir)))
 
 
 @query()
 def regression_cells(spark, sf_dir):
     """The table of models as printed: "b* (se)" by term, N and adjusted R2."""
-    p = _with_general(spark, sf_dir)
-    return inference.cells(inference.models(p, _specs(p), "ticker", ["year"]))
+    return inference.cells(_main_models(_with_general(spark, sf_dir)))
