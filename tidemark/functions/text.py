@@ -31,10 +31,11 @@ def net(pos: Column, neg: Column) -> Column:
     return F.when(pos + neg > 0, (pos - neg) / (pos + neg)).otherwise(F.lit(0.0))
 
 
-def sentences(text: Column, least: int = 8, most: int = 80) -> Column:
-    """Sentences of `least` to `most` words, in order."""
+def sentences(text: Column, least: int = 8, most: int = 80, first: int | None = None) -> Column:
+    """Sentences of `least` to `most` words, in order; the first so many, if asked."""
     parts = F.split(text, r"(?<=[.!?])\s+")
-    return F.filter(parts, lambda s: F.regexp_count(s, F.lit(r"\S+")).between(least, most))
+    kept = F.filter(parts, lambda s: F.regexp_count(s, F.lit(r"\S+")).between(least, most))
+    return kept if first is None else F.slice(kept, 1, first)
 
 
 #: The accented letters of Vietnamese, by which a page's language is told.

@@ -290,27 +290,31 @@ def controls(events: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame
     return events.select("doc_id", "ticker", "i0").join(x, ["ticker", "i0"]).drop("ticker", "i0")
 
 
-def news_windows(events: DataFrame, news: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Every item of the event's ticker in sessions [lo, hi] around it, with its offset k.
+def news_windows(events: DataFrame, news: DataFrame, lo: int, hi: int, topics: Sequence[str] = ()) -> DataFrame:
+    """Every item of the event's ticker in sessions [lo, hi] around it, with its offset k: doc_id, k, kind, n
+    and whether one of them has each topic.
 
     Items are counted per (ticker, idx, kind) before the join, so a busy session is one row.
     """
-    daily = news.groupBy("ticker", "idx", "kind").agg(F.count(F.lit(1)).alias("n"))
+    daily = news.groupBy("ticker", "idx", "kind").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(t).alias(t) for t in topics])
     spread = events.select("doc_id", "ticker", "i0", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
-    return spread.withColumn("idx", F.col("i0") + F.col("k")).join(daily, ["ticker", "idx"]).select("doc_id", "k", "kind", "n")
+    return spread.withColumn("idx", F.col("i0") + F.col("k")).join(daily, ["ticker", "idx"]).select("doc_id", "k", "kind", "n", *topics)
 
 
-def news_counts(events: DataFrame, news: DataFrame, spans: Mapping[str, tuple[int, int]], kinds: Sequence[str]) -> DataFrame:
-    """doc_id and, by window, n_<window> (all items) and <kind>_<window> of the event's ticker; zeros
-    where there are none. spans: window -> sessions (lo, hi) around the event."""
-    lo, hi = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
-    x = news_windows(events.where("i0 IS NOT NULL"), news, lo, hi)
+def news_counts(events: DataFrame, news: DataFrame, spans: Mapping[str, tuple[int, int]], kinds: Sequence[str], topics: Mapping[str, tuple[int, int]] = {}) -> DataFrame:  # noqa: B006
+    """doc_id and, by window, n_<window> (all items) and <kind>_<window> of the event's ticker, zeros where
+    there are none; and by topic whether an item within its sessions has it. spans: window -> sessions
+    (lo, hi) around the event; topics: a boolean column of news -> sessions."""
+    every = [*spans.values(), *topics.values()]
+    lo, hi = min(a for a, _ in every), max(b for _, b in every)
+    x = news_windows(events.where("i0 IS NOT NULL"), news, lo, hi, list(topics))
     sums = []
     for name, (a, b) in spans.items():
         here = F.col("k").between(a, b)
         sums.append(F.sum(F.when(here, F.col("n"))).alias(f"n_{name}"))
         sums += [F.sum(F.when(here & (F.col("kind") == kind), F.col("n"))).alias(f"{kind}_{name}") for kind in kinds]
-    return events.select("doc_id").join(x.groupBy("doc_id").agg(*sums), "doc_id", "left").na.fill(0)
+    met = [F.bool_or(F.col(t) & F.col("k").between(a, b)).alias(t) for t, (a, b) in topics.items()]
+    return events.select("doc_id").join(x.groupBy("doc_id").agg(*sums, *met), "doc_id", "left").na.fill(0).na.fill(False)
 
 
 def coverage(news: DataFrame, unit: str, crawled: Column, least_tickers: int = 10, share: float = 0.25) -> DataFrame:

@@ -12,17 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 
 def _block(value: Column, cuts: Sequence[float]) -> Column:
     return F.size(F.filter(F.lit(list(cuts)), lambda x: x < value)) if cuts else F.lit(0)
 
 
 def counts(df: DataFrame, columns: Sequence[str], blocks: int = 64) -> tuple[DataFrame, dict[tuple[str, int], tuple[int, int]]]:
-    """name, value, n, block of the distinct values of each column but nulls and NaN, persisted; and, by
+    """name, value, n, block of the distinct values of each column but nulls and NaN, written; and, by
     (name, block), the rows in lower blocks and in this one. Values of a block are neighbours; only
     counts by block reach the driver."""
     named = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
-    c = df.select(named).where("value IS NOT NULL AND NOT isnan(value)").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+    c = df.select(named).where("value IS NOT NULL AND NOT isnan(value)").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    c = stored(c, "value-counts")
     cuts = {r["name"]: sorted(set(r["p"])) for r in c.groupBy("name").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("p")).collect()}
     block = F.lit(0)
     for name, limits in cuts.items():
@@ -46,14 +49,12 @@ def quantiles_of(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
     asked = {name: sorted({q for p in ps for q in (int(p), min(int(p) + 1, size[name] - 1))}) for name, ps in places.items()}
     inner = [(name, block, q - a) for (name, block), (a, n) in below.items() for q in asked[name] if a <= q < a + n]
     if not inner:
-        c.unpersist()
         return {name: [None] * len(shares) for name in columns}
     wanted = F.broadcast(df.sparkSession.createDataFrame(inner, "name string, block int, place long"))  # two per share and column at most
     here = c.join(wanted.select("name", "block").distinct(), ["name", "block"])
     last = F.sum("n").over(Window.partitionBy("name", "block").orderBy("value"))
     held = here.withColumn("last", last).join(wanted, ["name", "block"]).where("place < last AND place >= last - n")
     at = {(r["name"], r["block"], r["place"]): r["value"] for r in held.select("name", "block", "place", "value").collect()}
-    c.unpersist()
     value = {(name, below[name, block][0] + place): v for (name, block, place), v in at.items()}
     out: dict[str, list[float | None]] = {name: [None] * len(shares) for name in columns}
     for name, ps in places.items():
@@ -66,6 +67,15 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     return quantiles_of(df, [column], shares)[column]
 
 
+def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """measure, n, mean, std, min, q25, q50, q75, max of each column; a row per column."""
+    q = quantiles_of(df, columns, [0.25, 0.5, 0.75])
+    one = df.agg(*[f(c).alias(f"{k}__{c}") for c in columns for k, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    middle = lambda c: [F.lit(v).cast("double").alias(k) for k, v in zip(("q25", "q50", "q75"), q[c], strict=True)]
+    rows = [F.struct(F.lit(c).alias("measure"), *[F.col(f"{k}__{c}").alias(k) for k in ("n", "mean", "std", "min")], *middle(c), F.col(f"max__{c}").alias("max")) for c in columns]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def bounds(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(quantiles(df, column, [low, high]))], "low double, high double")
 

@@ -10,7 +10,7 @@ from ..operators import market as mk
 from ..operators import phrases, regression, stats, tone
 from ..sources import tables as src
 from ..sources.files import stored
-from .queries import DOCS, EVENTS, LEX, PLACEBO, TOKENS, TONE, VI, _events, _study, _tone, query, r
+from .queries import DOCS, EVENTS, ITEMS, LEX, PLACEBO, TOKENS, TONE, TOUCHED, VI, _events, _gap_months, _study, _tone, query, r
 
 PHRASES = (
     ("la", "negative"), ("de la", "negative"), ("que de la", "uncertainty"), ("de", "positive"), ("et", "positive"), ("que el", "litigious"), ("en", "positive"),
@@ -218,13 +218,20 @@ def fama_macbeth_slopes(spark, sf_dir):
     return f.where("term = 'neg_z'").select("term", "n_periods", r(F.col("mean"), 7).alias("mean"), r(F.col("t"), 4).alias("t"))
 
 
-NEWS = "news AS (SELECT (o_custkey % 5)::INT AS ticker, c.idx, o_orderpriority AS kind FROM orders JOIN cal c ON c.date = (SELECT min(date) FROM cal WHERE date >= o_orderdate::DATE))"
+#: Items: orders at some hour of their day, titled by priority and status; a title's words are its topics.
+TOPICS = {"urgent": "urgent|high", "open": "status o", "odd": "low.*[pf]$"}
+_session = "coalesce((SELECT min(idx) FROM cal WHERE date >= ts::DATE), (SELECT count(*) FROM cal)) + CASE WHEN hour(ts) >= 15 AND ts::DATE IN (SELECT date FROM cal) THEN 1 ELSE 0 END"
+NEWS = f"""said AS (SELECT (o_custkey % 5)::INT AS ticker, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, o_orderpriority AS kind, lower(o_orderpriority || ' status ' || o_orderstatus) AS title FROM orders),
+news0 AS (SELECT *, {_session} AS pos FROM said), news AS (SELECT ticker, kind, {', '.join(f"regexp_matches(title, '{p}') AS {k}" for k, p in TOPICS.items())}, pos, least(pos, (SELECT count(*) FROM cal) - 1) AS idx FROM news0)"""
 
 
-def _news(spark, sf_dir):
-    o = src.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("ticker"), F.to_date("o_orderdate").alias("event_date"), F.col("o_orderpriority").alias("kind"))
-    late = o.withColumn("after_close", F.lit(False))
-    return mk.event_sessions(late, mk.calendar(src.prices(spark, sf_dir))).select("ticker", F.col("i0").alias("idx"), "kind")
+def _news(spark, sf_dir, clamp: bool = True):
+    """ticker, idx, kind and a flag per topic: items after 15 h, or on days without a session, are the
+    next session's; with clamp those after the last session are its own."""
+    o, topic = src.table(spark, sf_dir, "orders"), F.lower(F.concat("o_orderpriority", F.lit(" status "), "o_orderstatus"))
+    ts = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    said = o.select((F.col("o_custkey") % 5).cast("int").alias("ticker"), ts.alias("ts"), F.col("o_orderpriority").alias("kind"), *[topic.rlike(p).alias(k) for k, p in TOPICS.items()])
+    return mk.news_sessions(said, mk.calendar(src.prices(spark, sf_dir)), clamp=clamp).select("ticker", F.col("session").alias("idx"), "kind", *TOPICS)
 
 
 @query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, (idx - i0)::INT AS k, kind, count(*) AS n FROM ev JOIN news USING (ticker) WHERE idx BETWEEN i0 - 3 AND i0 + 3 GROUP BY ALL")
@@ -234,20 +241,25 @@ def news_window_join(spark, sf_dir):
 
 SPREADS = {"pre_m10_m1": (-10, -1), "w0_3": (0, 3), "w0_5": (0, 5), "w0_10": (0, 10)}
 _span = lambda a, b, more="": f"count(n.idx) FILTER (n.idx - i0 BETWEEN {a} AND {b}{more})"
-_counted = ", ".join(f"{_span(a, b)} AS n_{w}, {_span(a, b, chr(32) + 'AND kind = ' + repr('1-URGENT'))} AS urgent_{w}" for w, (a, b) in SPREADS.items())
+_counted = ", ".join(f"{_span(a, b)} AS n_{w}, {_span(a, b, chr(32) + 'AND kind = ' + repr('1-URGENT'))} AS n_notice_{w}" for w, (a, b) in SPREADS.items())
+_topics = ", ".join(f"coalesce(bool_or({k}) FILTER (n.idx - i0 BETWEEN 0 AND 5), false) AS {k}_w0_5" for k in TOPICS)
 
 
-@query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, {_counted} FROM ev LEFT JOIN news n ON n.ticker = ev.ticker AND n.idx BETWEEN i0 - 10 AND i0 + 10 GROUP BY doc_id")
+@query(f"WITH {EVENTS}, {NEWS}, {ITEMS}, t AS ({TOUCHED}), w AS (SELECT doc_id, {_counted}, {_topics} FROM ev LEFT JOIN news n ON n.ticker = ev.ticker AND n.idx BETWEEN i0 - 10 AND i0 + 10 GROUP BY doc_id) SELECT w.*, coalesce(touches, false) AS gap FROM w LEFT JOIN t USING (doc_id)")
 def news_window_counts(spark, sf_dir):
-    """Items around each event by window and kind; an event without items, or after the last session, has zeros."""
-    news = _news(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "1-URGENT", "urgent").otherwise("other"))
-    return mk.news_counts(_events(spark, sf_dir)[0], news, SPREADS, ["urgent"])
+    """Items around each event by window and kind, topics met in sessions 0 to 5, and whether its sessions touch
+    a gap month; an event without items, or after the last session, has zeros."""
+    news = _news(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "1-URGENT", "n_notice").otherwise("other"))
+    ev = _events(spark, sf_dir)[0]
+    x = mk.news_counts(ev, news, SPREADS, ["n_notice"], {k: (0, 5) for k in TOPICS})
+    gap = mk.touching(ev, mk.calendar(src.prices(spark, sf_dir)), _gap_months(spark, sf_dir), "month").withColumnRenamed("touches", "gap")
+    return x.withColumnsRenamed({k: f"{k}_w0_5" for k in TOPICS}).join(gap, "doc_id")
 
 
-@query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, ticker, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.idx BETWEEN i0 AND i0 + 3) AS contaminated FROM ev WHERE i0 IS NOT NULL")
+@query(f"WITH {EVENTS}, {NEWS} SELECT doc_id, ticker, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.pos BETWEEN i0 AND i0 + 3) AS contaminated FROM ev WHERE i0 IS NOT NULL")
 def contaminated_events(spark, sf_dir):
     ev = _events(spark, sf_dir)[0].where("i0 IS NOT NULL")
-    met = mk.news_windows(ev, _news(spark, sf_dir).where("kind = '1-URGENT'"), 0, 3).select("doc_id").distinct()
+    met = mk.news_windows(ev, _news(spark, sf_dir, False).where("kind = '1-URGENT'"), 0, 3).select("doc_id").distinct()
     return ev.join(met.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", "ticker", F.coalesce("hit", F.lit(False)).alias("contaminated"))
 
 
@@ -309,6 +321,28 @@ def tone_panel(spark, sf_dir):
     return x.select("doc_id", "ticker", "year", "lang", "n_words", "n_fin_neg", "n_fin_pos", "n_words_alt", *[r(F.col(c)).alias(c) for c in _COLUMNS])
 
 
+_described = "SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 8) AS std, round(min({c}), 8) AS min, round(quantile_cont({c}, 0.25), 8) AS q25, round(quantile_cont({c}, 0.5), 8) AS q50, round(quantile_cont({c}, 0.75), 8) AS q75, round(max({c}), 8) AS max FROM tp"
+
+
+@query(f"WITH {LEX}, {DOCS}, {TONE_CTES} " + " UNION ALL ".join(_described.format(c=c) for c in _COLUMNS))
+def tone_descriptive(spark, sf_dir):
+    """Count, mean, spread and quartiles of every measure of both lexicons."""
+    t = _tone_panel(spark, sf_dir)
+    return stats.described(t, _COLUMNS).select("measure", "n", *[r(F.col(c)).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+CORRELATED = ("fin_neg", "gen_neg", "fin_net", "gen_net")
+
+
+@query(f"WITH {LEX}, {DOCS}, {TONE_CTES} " + " UNION ALL ".join(f"SELECT '{a}' AS measure, " + ", ".join(f"round(corr({a}, {b}), 6) AS {b}" for b in CORRELATED) + " FROM tp" for a in CORRELATED))
+def dict_correlation(spark, sf_dir):
+    """Correlations of both lexicons' negative share and net tone: a matrix, a row per measure."""
+    t = _tone_panel(spark, sf_dir)
+    one = t.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a in CORRELATED for b in CORRELATED])
+    rows = [F.struct(F.lit(a).alias("measure"), *[r(F.col(f"{a}__{b}"), 6).alias(b) for b in CORRELATED]) for a in CORRELATED]
+    return one.select(F.inline(F.array(*rows)))
+
+
 _net = "CASE WHEN {p} + ng > 0 THEN ({p} - ng) / ({p} + ng) ELSE 0.0 END::DOUBLE"
 DIFF = f"""WITH {LEX}, {DOCS}, tok AS (SELECT doc_id, {TOKENS} AS t FROM docs WHERE lang = 'en'),
 w AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM tok),

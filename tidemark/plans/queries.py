@@ -149,11 +149,13 @@ def _misclassified(spark, sf_dir):
     return g.select("term", "freq", F.col("term").isin(fin).alias("in_fin"))
 
 
-@query(f"WITH {HITS} {NOISE} SELECT term, freq, in_fin, round(100.0 * freq / sum(freq) OVER (), 6) AS share_pct FROM m")
+@query(f"WITH {HITS} {NOISE} SELECT term, freq, in_fin, round(100.0 * freq / sum(freq) OVER (), 2) AS share_pct FROM m ORDER BY freq DESC, term LIMIT 50")
 def misclassified_words(spark, sf_dir):
+    """The 50 most frequent general negative words, whether finance agrees, and their share of all."""
     m = _misclassified(spark, sf_dir)
     total = m.agg(F.sum("freq").alias("total"))
-    return m.crossJoin(F.broadcast(total)).select("term", "freq", "in_fin", r(100.0 * F.col("freq") / F.col("total"), 6).alias("share_pct"))
+    shares = m.crossJoin(F.broadcast(total)).select("term", "freq", "in_fin", r(100.0 * F.col("freq") / F.col("total"), 2).alias("share_pct"))  # one row
+    return shares.orderBy(F.desc("freq"), "term").limit(50)
 
 
 @query(f"WITH {HITS} {NOISE} SELECT round(100.0 * sum(CASE WHEN in_fin THEN 0 ELSE freq END) / greatest(sum(freq), 1), 6) AS noise_pct FROM m")
@@ -219,18 +221,6 @@ def net_pct_rank(spark, sf_dir):
     return stats.average_ranks(t, "net").select("doc_id", r(F.col("rank") / n, 10).alias("net_pct"))
 
 
-@query(f"WITH {TONE} SELECT count(*) AS n, round(avg(neg), 8) AS mean, round(stddev_samp(neg), 8) AS std, round(min(neg), 8) AS min, round(quantile_cont(neg, 0.25), 8) AS q25, round(quantile_cont(neg, 0.5), 8) AS q50, round(quantile_cont(neg, 0.75), 8) AS q75, round(max(neg), 8) AS max FROM tone")
-def tone_descriptive(spark, sf_dir):
-    t = _tone(spark, sf_dir)
-    q = [r(F.lit(v)).alias(a) for v, a in zip(stats.quantiles(t, "neg", [0.25, 0.5, 0.75]), ("q25", "q50", "q75"), strict=True)]
-    return t.agg(F.count("neg").alias("n"), r(F.avg("neg")).alias("mean"), r(F.stddev_samp("neg")).alias("std"), r(F.min("neg")).alias("min"), *q, r(F.max("neg")).alias("max"))
-
-
-@query(f"WITH {TONE} SELECT round(corr(neg, pos), 8) AS r_neg_pos, round(corr(neg, net), 8) AS r_neg_net FROM tone")
-def dict_correlation(spark, sf_dir):
-    return _tone(spark, sf_dir).agg(r(F.corr("neg", "pos")).alias("r_neg_pos"), r(F.corr("neg", "net")).alias("r_neg_net"))
-
-
 @query(f"WITH {TONE}, dev AS (SELECT net - avg(net) OVER () AS d FROM tone), k AS (SELECT count(*) AS n, avg(d ^ 2) AS m2, avg(d ^ 3) AS m3, avg(d ^ 4) AS m4 FROM dev) SELECT round(n / 6.0 * ((m3 / m2 ^ 1.5) ^ 2 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 6) AS jb FROM k")
 def jarque_bera_stat(spark, sf_dir):
     jb = F.count("net") / 6.0 * (F.skewness("net") ** 2 + F.kurtosis("net") ** 2 / 4)

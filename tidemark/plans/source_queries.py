@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences
 from ..sources import files
 from ..sources import tables as src
 from .queries import query, r
@@ -143,10 +144,13 @@ def lexicon_scores(spark, sf_dir):
     return files.scored_words(lines.unionByName(spark.createDataFrame([("# a comment",), ("too\tshort",)], "value string")))
 
 
-@query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS sha16, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS batch FROM documents")
+@query("""WITH s AS (SELECT doc_id, lang, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '\\S+')) BETWEEN 8 AND 80)[1:20] AS s FROM documents)
+SELECT doc_id, substr(sha256(array_to_string(s, chr(10))), 1, 16) AS sha16, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS batch FROM s WHERE len(s) > 0""")
 def append_log(spark, sf_dir):
-    """English texts are logged, then all texts: the second run adds only those that are new."""
+    """The first 20 sentences of English texts are logged, then those of all texts: the second run adds only
+    those that are new. Texts without a sentence have no row."""
     path = files.work_dir(spark, "log")
-    d = src.table(spark, sf_dir, "documents")
+    d = src.table(spark, sf_dir, "documents").select("doc_id", "lang", sentences(F.col("text"), first=20).alias("s")).where(F.size("s") > 0)
+    d = d.select("doc_id", "lang", F.array_join("s", "\n").alias("text"))
     files.append_new(d.where("lang = 'en'"), path, "doc_id", "text", batch=F.lit(1))
     return files.append_new(d, path, "doc_id", "text", batch=F.lit(2))

@@ -10,8 +10,8 @@ from ..operators import inference, regression, stats
 from ..operators import market as mk
 from ..sources import tables as src
 from ..sources.files import stored
-from .panel_queries import CONTROLS_A, CONTROLS_B, EVENTS_OF, FUND, MAIN, NEWS, PANEL, PRE, TONE_CTES, TONES, _clip, _clipped_tones, _facts, _news, _panel, _tone_panel
-from .queries import DOCS, EVENTS, ITEMS, TONE, TOUCHED, _events, _gap_months, query, r
+from .panel_queries import CONTROLS_A, CONTROLS_B, EVENTS_OF, FUND, MAIN, NEWS, PANEL, PRE, TONE_CTES, TONES, WINDOWS, _clip, _clipped_tones, _facts, _news, _panel, _tone_panel
+from .queries import DOCS, EVENTS, ITEMS, PLACEBO, TONE, TOUCHED, _events, _gap_months, _study, query, r
 
 SPANS = ((0, 3), (0, 1), (-1, 1), (0, 5), (0, 10))
 
@@ -79,28 +79,30 @@ def earliest_disclosure(spark, sf_dir):
     return mk.earliest(o.select((F.col("o_custkey") % 50).alias("ticker"), F.col("o_orderdate").alias("ts"), title.alias("title")), "annual report", "(?i)urgent|high")
 
 
+#: Label -> the event study's column that is tested, and that of its standardised form.
+TESTED = {f"CAR[{a},{b}]": mk.span_name("car", a, b) for a, b in SPANS} | {f"CAR market-adjusted[{a},{b}]": mk.span_name("carma", a, b) for a, b in SPANS} | {"BHAR[0,3]": "bhar_0_3", "PLACEBO CAR[0,3]": "placebo_car_0_3"}
+SCALED = {f"CAR[{a},{b}]": mk.span_name("scar", a, b) for a, b in SPANS}
+
+
 def _tested(spark, sf_dir):
-    f, wide = _family(spark, sf_dir), []
-    for a, b in SPANS:
-        here = (F.col("lo") == a) & (F.col("hi") == b)
-        wide += [F.max(F.when(here, F.col(c))).alias(f"{c}_{a}_{b}") for c in ("car", "scar", "carma")]
-    return f.groupBy("doc_id").agg(*wide)
+    return stored(_study(spark, sf_dir).select("doc_id", *TESTED.values(), *SCALED.values()), "car-wide")
 
 
 @query()
 def car_tests(spark, sf_dir):
-    """Tests of mean 0 of every window, with p-values; `car_sign_tests` holds what SQL can say of them."""
-    x = stored(_tested(spark, sf_dir), "car-wide")
-    names = {f"CAR[{a},{b}]": f"car_{a}_{b}" for a, b in SPANS} | {f"CAR market-adjusted[{a},{b}]": f"carma_{a}_{b}" for a, b in SPANS}
-    return inference.mean_tests(x, names, {f"CAR[{a},{b}]": f"scar_{a}_{b}" for a, b in SPANS})
+    """Tests of mean 0 of every window, the market-adjusted, buy-and-hold and placebo returns, with p-values;
+    `car_sign_tests` holds what SQL can say of them."""
+    return inference.mean_tests(_tested(spark, sf_dir), TESTED, SCALED)
+
+
+_values = ["SELECT 'CAR[' || lo || ',' || hi || ']' AS label, car AS v, scar AS z FROM f", "SELECT 'CAR market-adjusted[' || lo || ',' || hi || ']', carma, NULL FROM f", "SELECT 'BHAR[0,3]', bhar, NULL FROM cr", "SELECT 'PLACEBO CAR[0,3]', placebo, NULL FROM pc"]
 
 
-@query(f"""WITH {EVENTS}, f AS ({FAMILY}), s AS (SELECT lo, hi, count(*) AS n, count(*) FILTER (car > 0) AS up, avg(car) AS m, stddev_samp(car) AS sd, quantile_cont(car, 0.5) AS med, avg(scar) AS sm, stddev_samp(scar) AS ss FROM f GROUP BY ALL)
-SELECT 'CAR[' || lo || ',' || hi || ']' AS label, n, round(100 * m, 6) AS mean_pct, round(100 * med, 6) AS median_pct, round(m / (sd / sqrt(n)), 5) AS t, round(100.0 * up / n, 6) AS pct_positive, round(sm / (ss / sqrt(n)), 5) AS t_bmp,
+@query(f"""WITH {EVENTS}, {WINDOWS}, {PLACEBO}, f AS ({FAMILY}), lv AS ({' UNION ALL '.join(_values)}), s AS (SELECT label, count(v) AS n, count(*) FILTER (v > 0) AS up, avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS med, avg(z) AS sm, stddev_samp(z) AS ss, count(z) AS nz FROM lv GROUP BY label)
+SELECT label, n, round(100 * m, 6) AS mean_pct, round(100 * med, 6) AS median_pct, round(m / (sd / sqrt(n)), 5) AS t, round(100.0 * up / n, 6) AS pct_positive, CASE WHEN nz > 0 THEN round(sm / (ss / sqrt(n)), 5) END AS t_bmp,
 round(least(1, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) FROM range(0, least(up, n - up) + 1) g(i))), 6) AS p_sign FROM s""")
 def car_sign_tests(spark, sf_dir):
-    x = stored(_tested(spark, sf_dir), "car-wide")
-    t = inference.mean_tests(x, {f"CAR[{a},{b}]": f"car_{a}_{b}" for a, b in SPANS}, {f"CAR[{a},{b}]": f"scar_{a}_{b}" for a, b in SPANS})
+    t = inference.mean_tests(_tested(spark, sf_dir), TESTED, SCALED)
     return t.select("label", "n", *[r(F.col(c), 6).alias(c) for c in ("mean_pct", "median_pct", "pct_positive", "p_sign")], r(F.col("t"), 5).alias("t"), r(F.col("t_bmp"), 5).alias("t_bmp"))
 
 
@@ -179,13 +181,13 @@ def economic_magnitude(spark, sf_dir):
     return m.select("sheet", "model", "term", r(F.col("coef"), 5).alias("coef"), r(F.col("effect_pct"), 3).alias("effect_pct"))
 
 
-CONTAMINATED = "hit AS (SELECT doc_id, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.idx BETWEEN i0 AND i0 + 3) AS overlap FROM ev)"
+CONTAMINATED = "hit AS (SELECT doc_id, EXISTS (SELECT 1 FROM news n WHERE n.ticker = ev.ticker AND n.kind = '1-URGENT' AND n.pos BETWEEN i0 AND i0 + 3) AS overlap FROM ev)"
 SAMPLES = {"all": "true", "clean": "NOT overlap", "overlapping": "overlap"}
 SAMPLE_TONES = ("neg_z", "gen_neg_z")
 
 
 def _overlap(spark, sf_dir, events):
-    met = mk.news_windows(events, _news(spark, sf_dir).where("kind = '1-URGENT'"), 0, 3).select("doc_id").distinct()
+    met = mk.news_windows(events, _news(spark, sf_dir, False).where("kind = '1-URGENT'"), 0, 3).select("doc_id").distinct()
     return events.select("doc_id").join(met.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("overlap"))
 
 
