@@ -4,6 +4,7 @@ import datetime
 import difflib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,17 +145,23 @@ def test_similarity(spark):
     assert one(spark, compare.similarity(F.col("a"), F.col("b")), a=None, b="") == 1.0
 
 
-def test_word_differences():
+def test_word_differences(spark):
     g = random.Random(2)
-    for _ in range(60):
-        old, new = (" ".join(g.choices("a b c D d".split(), k=g.randint(0, 12))) + g.choice(["", " ", "\n"]) for _ in range(2))
-        d = compare.word_difference(old, new)
+    rows = [tuple(" ".join(g.choices("a b c D d".split(), k=g.randint(0, 12))) + g.choice(["", " ", "\n"]) for _ in range(2)) for _ in range(60)]
+    rows += [("a  b c", "a  x y c"), ("x", "y"), (" x y ", " z "), ("", "")]
+    got = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "old string, new string, i int").select("i", compare.differences(F.col("old"), F.col("new")).alias("d")).collect()
+    for r in got:
+        (old, new), d = rows[r["i"]], r["d"]
         assert "".join(p["text"] for p in d["old"]) == old and "".join(p["text"] for p in d["new"]) == new
-        words = lambda side, kind: [w.lower() for p in d[side] if p["kind"] == kind for w in p["text"].split()]
+        words = lambda side, kind: [w.lower() for p in d[side] if p["kind"] == kind for w in p["text"].split()]  # noqa: E731, B023
         assert words("old", "same") == words("new", "same")
         m = difflib.SequenceMatcher(None, old.lower().split(), new.lower().split(), autojunk=False)
         assert len(words("old", "same")) == sum(n for *_, n in m.get_matching_blocks())
-        assert all(x["kind"] != y["kind"] for x, y in itertools.pairwise(d["old"]))
+        assert all(x["kind"] != y["kind"] and x["text"] for x, y in itertools.pairwise(d["old"]))
+    shown = {r["i"]: [tuple(p) for p in r["d"]["new"]] for r in got}
+    assert shown[60] == [("a  ", "same"), ("x y", "ins"), (" c", "same")] and shown[61] == [("y", "ins")] and shown[62] == [(" ", "same"), ("z", "ins"), (" ", "same")] and shown[63] == []
+    none = spark.createDataFrame([(None, "a")], "old string, new string").select(compare.differences(F.col("old"), F.col("new")).alias("d")).first()["d"]
+    assert none["old"] == [] and [tuple(p) for p in none["new"]] == [("a", "ins")]
 
 
 def test_accept_rule(spark):
@@ -206,11 +213,22 @@ def test_letters(spark):
 
 def test_machine_runs_and_readable_view(spark):
     run = " ".join(["us-gaap:Cash"] * 12 + ["and", "so"] + ["2020-01-31"] * 8)
-    assert layout.machine_ranges("Text " + run + " end") == [(5, 5 + len(run), 20)]
-    assert layout.machine_ranges(run.replace("and so", "a b c")) == []
+    ranges = lambda t: [tuple(r) for r in one(spark, layout.machine_runs(F.col("t")), t=t)]
+    assert ranges("Text " + run + " end") == [(5, 5 + len(run), 20)]
+    assert ranges(run.replace("and so", "a b c")) == [] and ranges(None) == [] and ranges("") == []
+    two = f"é {run}\n\n  a b c d {run} "
+    assert [two[a:b] for a, b, _ in ranges(two)] == [run, run]
     text = "dòng một bị\nngắt giữa câu.\n1 2\n\n|\nTIÊU ĐỀ\nsau đó"
-    shown, hidden = layout.readable(text, "vi")
+    view = lambda t, g="vi": one(spark, layout.readable_view(F.col("t"), F.lit(g)), t=t)
+    shown, hidden = view(text)
     assert len(shown) == len(text) and shown.startswith("dòng một bị ngắt giữa câu.\n")
     assert [(text[a:b], n) for a, b, n in hidden] == [("1 2\n\n|\n", 2)] and "TIÊU ĐỀ\nsau" in shown
-    row = spark.createDataFrame([(None,), (text,)], "t string").select(layout.readable_view(F.col("t"), F.lit("vi")).alias("v")).collect()
-    assert row[0]["v"]["text"] == "" and row[1]["v"]["text"] == shown
+    assert view(None)["text"] == "" and tuple(view("a b", "fr")) == ("a b", []) and [tuple(h) for h in view(run, "en")["hidden"]] == [(0, len(run), 20)]
+    for t in ("1\n2", "\n\n", "\n1\nmột hai ba\n\n-\nbốn năm\n9", "x", "một hai\n", "1\n\n2\nmột hai.\nBa bốn"):
+        shown, hidden = view(t)
+        lines = [(m.start(), m[0]) for m in re.finditer(r"(?:^|(?<=\n))[^\n]*", t)]
+        worded = [(at, x) for at, x in lines if re.search(r"[^\W\d_]{2,}", x)]
+        assert len(shown) == len(t) and all(shown[at : at + len(x)] == x for at, x in worded)
+        marked = {i for a, b, _ in hidden for i in range(a, b)}
+        junk = {i for at, x in lines if x.strip() and (at, x) not in worded for i in range(at, at + len(x))}
+        assert junk <= marked and not any(i in marked for at, x in worded for i in range(at, at + len(x)))

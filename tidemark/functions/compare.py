@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import difflib
-import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import islands, let
 from .unicode import normal
 
-PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))
-DIFFERENCE = T.StructType([T.StructField("old", PIECES), T.StructField("new", PIECES)])
-
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence: rows of the table as the bits of one number."""
@@ -40,49 +38,53 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(normal(F.coalesce(a, F.lit(""))), normal(F.coalesce(b, F.lit(""))))
 
 
-def word_difference(old: str, new: str) -> dict[str, list[dict[str, str]]]:
-    """Both texts in pieces of one kind: same, and del in the old or ins in the new one. Words are
-    compared in lower case; white space between two words of a kind is of that kind, else same."""
-    texts, kinds = (old, new), ("del", "ins")
-    spaced = [re.split(r"(\s+)", x) for x in texts]  # words at even, white space at odd places
-    words = [[w for w in s[::2] if w] for s in spaced]
-    matcher = difflib.SequenceMatcher(None, *[[w.lower() for w in ws] for ws in words], autojunk=False)
-    kept = [set(), set()]
-    for i, j, n in matcher.get_matching_blocks():
-        kept[0].update(range(i, i + n))
-        kept[1].update(range(j, j + n))
-    out = {}
-    for name, parts, same, changed in zip(("old", "new"), spaced, kept, kinds, strict=True):
-        marks, at = [], 0
-        for k, part in enumerate(parts):
-            if k % 2 == 0 and part:
-                marks.append((part, "same" if at in same else changed))
-                at += 1
-            elif k % 2:
-                marks.append((part, None))
-        known = [m for _, m in marks]
-        pieces: list[dict[str, str]] = []
-        for k, (part, mark) in enumerate(marks):
-            if mark is None:
-                before = known[k - 1] if k else "same"
-                after = known[k + 1] if k + 1 < len(known) else "same"
-                mark = before if before == after else "same"
-            if pieces and pieces[-1]["kind"] == mark:
-                pieces[-1]["text"] += part
-            else:
-                pieces.append({"text": part, "kind": mark})
-        out[name] = pieces
-    return out
-
-
-@F.pandas_udf(DIFFERENCE)
-def _difference(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([word_difference(a or "", b or "") for a, b in zip(old, new, strict=True)], columns=["old", "new"])
+KEPT = T.StructType([T.StructField(n, T.ArrayType(T.BooleanType())) for n in ("old", "new")])
+
+
+@F.pandas_udf(KEPT)
+def _kept(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Which words of two lists stand in their matching blocks."""
+    rows = []
+    for a, b in zip(old, new, strict=True):
+        flags = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for i, j, n in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks():
+            flags[0][i : i + n] = flags[1][j : j + n] = True
+        rows.append([f.tolist() for f in flags])
+    return pd.DataFrame(rows, columns=["old", "new"])
 
 
 def differences(old: Column, new: Column) -> Column:
-    """struct(old, new) of arrays of (text, kind); see `word_difference`. Nulls count as empty."""
-    return _difference(old, new)
+    """struct(old, new) of arrays of (text, kind): both texts in pieces that alternate between `same` and `del` in
+    the old or `ins` in the new one. Words are matched in lower case; white space inside a run of changed
+    words changes with it, other white space is the same. Nulls count as empty."""
+    old, new = (F.coalesce(x, F.lit("")) for x in (old, new))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
+    low = lambda x: F.transform(words(x), lambda w: F.lower(w))
+    kept = _kept(low(old), low(new))
+
+    def pieces(x: Column, flags: Column, kind: str) -> Column:
+        spaces = F.split(x, r"(?U)[^\s\x1c-\x1f]+")
+        # Parts in order: space 0, word 0, space 1, word 1, ..., the last space; word i is part 2 i + 1.
+        parts = F.flatten(F.transform(spaces, lambda g, i: F.array_compact(F.array(g, F.get(words(x), i)))))
+        return let(F.struct(parts.alias("p"), F.filter(F.transform(flags, lambda f, i: F.when(~f, i)), lambda i: i.isNotNull()).alias("c")), lambda p: cut(p, kind))
+
+    def cut(p: Column, kind: str) -> Column:
+        return let(F.struct(p["p"].alias("p"), islands(p["c"], 1).alias("r")), lambda q: joined(q, kind))
+
+    def joined(q: Column, kind: str) -> Column:
+        text = lambda lo, hi: F.array_join(F.slice(q["p"], lo + 1, hi - lo), "")  # parts lo to hi - 1
+
+        def run(r: Column, j: Column) -> Column:
+            before = F.coalesce(2 * F.get(q["r"], j - 1)["last"] + 2, F.lit(0))
+            lo, hi = 2 * r["first"] + 1, 2 * r["last"] + 2
+            return F.array(F.struct(text(before, lo).alias("text"), F.lit("same").alias("kind")), F.struct(text(lo, hi).alias("text"), F.lit(kind).alias("kind")))
+
+        rest = F.coalesce(2 * F.get(q["r"], F.size(q["r"]) - 1)["last"] + 2, F.lit(0))
+        end = F.array(F.struct(text(rest, F.size(q["p"])).alias("text"), F.lit("same").alias("kind")))
+        return F.filter(F.concat(F.flatten(F.transform(q["r"], run)), end), lambda x: x["text"] != "")
+
+    # The marks are made once: a lambda names them.
+    return let(F.struct(old.alias("a"), new.alias("b"), kept.alias("k")), lambda p: F.struct(pieces(p["a"], p["k"]["old"], "del").alias("old"), pieces(p["b"], p["k"]["new"], "ins").alias("new")))
 
 
 def accepted(mode: Column, new: Column, likeness: Column, before: Column, after: Column, least: float = 0.8) -> Column:

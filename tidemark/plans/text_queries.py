@@ -124,7 +124,17 @@ def machine_data_runs(spark, sf_dir):
     return x.select("id", F.size("m").cast("long").alias("n_runs"), F.aggregate("m", F.lit(0).cast("long"), lambda n, z: n + z["items"]).alias("items"))
 
 
-@query()
+_word, _bare = "[\\p{L}\\p{Nl}\\p{No}]{2,}", "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+READABLE = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+f AS (SELECT *, regexp_matches(x, '{_word}') AS worded FROM l WHERE {_bare.format(x='x')} <> ''),
+n AS (SELECT doc_id, count(*) FILTER (NOT worded AND before) AS n FROM (SELECT *, coalesce(lag(worded) OVER (PARTITION BY doc_id ORDER BY k), true) AS before FROM f) GROUP BY doc_id),
+s AS (SELECT doc_id, x, k, lead(x) OVER w AS y, lead(k) OVER w AS j FROM f WHERE worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT doc_id, sum(j - k) AS n FROM s WHERE y IS NOT NULL AND NOT ({_bare.format(x='x')} = upper({_bare.format(x='x')}) AND len(regexp_extract_all(x, '{_word}')) <= 12)
+AND NOT (regexp_matches(x, '[.!?:;…”"»)]\\s*$') AND regexp_matches(y, '^\\s*[A-ZÀ-Ỹ0-9\\-–•*(“"+]')) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_hidden, coalesce(c.n, 0)::BIGINT AS n_joined, true AS same_length FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+@query(READABLE)
 def readable_documents(spark, sf_dir):
     """How much of a text, taken as Vietnamese, a reader is spared: hidden ranges and joined lines."""
     d = src.table(spark, sf_dir, "documents")
