@@ -5,7 +5,7 @@ import numpy as np
 from tidemark.llm import near_copies
 
 #: Nodes left with more than 4 members are split here.
-SMALL = {"node": 4, "levels": 2}
+SMALL = {"node": 4, "levels": 1}
 
 
 def test_pairs_that_meet_behind_a_strange_lead_are_linked(spark):
@@ -37,3 +37,14 @@ def test_pairs_that_meet_behind_a_strange_lead_are_linked(spark):
 def test_node_ties_connect_what_agrees():
     sign = np.array([[0] * 8, [1] * 8, [1] * 6 + [2] * 2, [1] * 5 + [2] * 3, [3] * 8, [3] * 7 + [4]], np.uint8)
     assert near_copies.node_ties(sign, 0.75) == [(2, 1), (3, 2), (5, 4)]
+
+
+def test_blocks_bring_any_two_members_together(spark):
+    rows = [(7, i, 30) for i in range(30)] + [(8, i, 3) for i in range(3)]
+    got = near_copies.in_blocks(spark.createDataFrame(rows, "prefix long, rep long, met long"), 4).collect()
+    nodes: dict[int, set[int]] = {}
+    for r in got:
+        nodes.setdefault(r["prefix"], set()).add(r["rep"])
+    assert nodes[8] == {0, 1, 2} and max(map(len, nodes.values())) < 20
+    together = {(a, b) for members in nodes.values() for a in members for b in members}
+    assert all((a, b) in together for a in range(30) for b in range(30))

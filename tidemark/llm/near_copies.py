@@ -168,6 +168,16 @@ def node_ties(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """prefix, rep: members (prefix, rep, met) in nodes of at most about 2 * size. One of `met` members over
+    `size` becomes a node for each pair of its blocks, so that any two of its members meet in one."""
+    blocks = F.ceil(F.col("met") / size).cast("int")
+    x = members.select("prefix", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("mine"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    node = F.xxhash64("prefix", F.least("mine", "other"), F.greatest("mine", "other"))
+    return x.select(F.when(F.col("blocks") == 1, F.col("prefix")).otherwise(node).alias("prefix"), "rep")
+
+
 def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
     """a, b: ties among the members (prefix, rep) of the tries' nodes; signed: rep, signature.
 
@@ -176,9 +186,10 @@ def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
     it in `near` or more, both are tied to it. The members below that are compared all with all; a
     node left with more than p.node of them is dealt to smaller ones by the values of p.splits
     functions, where a pair at p.least stays together but for (1 - p.least) ** p.splits, and led anew.
+    What is still larger after p.levels is cut into blocks of p.node, each pair of which is compared.
+    Small nodes share buckets of about four times p.node members.
     """
     width, near, found = p.trees * p.deepest, p.plausible + 1 - p.sure, []
-    n_buckets = tasks(hung, 64)
 
     def compare(table: pa.Table) -> pa.Table:
         key, rep = table["prefix"].to_numpy(), table["rep"].to_numpy()
@@ -202,7 +213,8 @@ def met_ties(hung: DataFrame, signed: DataFrame, p: Forest) -> DataFrame:
         rest = led.where("met > 2").join(agreed.where(F.col("agree") < near), ["a", "b"]).select("prefix", F.col("a").alias("rep"))
         sizes = rest.groupBy("prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         rest = written(rest.join(sizes, "prefix"), "near-rest")
-        small = rest if level == p.levels else rest.where(F.col("met") <= p.node)
+        small = in_blocks(rest, p.node) if level == p.levels else rest.where(F.col("met") <= p.node).select("prefix", "rep")
+        n_buckets = max(tasks(hung, 64), small.count() // (4 * p.node))
         bucket = F.pmod(F.xxhash64("prefix"), F.lit(n_buckets)).alias("bucket")
         dealt = small.select(bucket, "prefix", "rep").join(signed, "rep").groupBy("bucket")
         found.append(written(dealt.applyInArrow(compare, "a long, b long"), "near-compared"))
