@@ -47,6 +47,15 @@ def test_ranks_with_ties(spark):
     assert got == {0: 3.0, 1: 5.0, 2: 5.0, 3: 5.0, 4: 7.0, 6: 1.5, 7: 1.5}
 
 
+def test_average_ranks_of_a_crowded_value_are_broadcast(spark):
+    v = [0.0] * 1800 + [float(i) for i in range(1, 201)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id int, v double").repartition(4)
+    ranked = stats.average_ranks(df, "v")
+    got = {r["id"]: r["rank"] for r in ranked.collect()}
+    assert got[0] == got[1799] == 900.5 and got[1999] == 2000.0 and len(got) == 2000
+    assert "BroadcastHashJoin" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quantiles_equal_numpy(spark):
     g = np.random.default_rng(1)
     a, b = np.round(g.normal(size=700), 2), np.where(g.random(700) < 0.8, 0.0, g.normal(size=700))

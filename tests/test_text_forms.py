@@ -5,11 +5,13 @@ import difflib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare, html, parse, sections, spelling, unicode
+from tidemark.functions import text as text_functions
 from tidemark.functions.text import character_error_rate, drop_numeric_tables, word_error_rate
 from tidemark.operators import layout
 
@@ -127,6 +129,17 @@ def test_word_error_rate_of_many_words(spark):
     assert one(spark, word_error_rate(F.col("f"), F.col("w")), f=a, w=a + " more") == pytest.approx(1 / 3001)
 
 
+def test_word_distance_of_long_texts_takes_seconds():
+    g = random.Random(7)
+    for _ in range(200):
+        a, b = (g.choices("abcd", k=g.randint(0, 14)) for _ in range(2))
+        assert text_functions.word_distance(a, b) == edit(a, b)
+    a = [f"w{g.randint(0, 4000)}" for _ in range(20_000)]
+    b = a[:9_000] + ["new"] * 7 + a[9_010:]
+    began = time.time()
+    assert text_functions.word_distance(a, b) == 10 and time.time() - began < 20
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .html import drop_numeric_tables  # noqa: F401
 from .unicode import normal
@@ -62,28 +64,32 @@ def character_error_rate(found: Column, wanted: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(b), F.lit(1))
 
 
-#: Characters that can name words: code points from 2**16 on.
-MOST_WORDS = 0x10FFFF - 0xFFFF
+def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Edits that turn one list of words into another: columns of the table of distances, of which only the
+    differences down a column are kept, as the bits of two numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    place: dict[str, int] = {}
+    for i, w in enumerate(a):
+        place[w] = place.get(w, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = full, 0  # rows where the distance is one more, or one less, than in the row above
+    for w in b:
+        same = place.get(w, 0)
+        diagonal = (((same & more) + more) ^ more) | same | less
+        right, back = less | (full & ~(diagonal | more)), more & diagonal
+        distance += bool(right & last) - bool(back & last)
+        right, back = right << 1 | 1, back << 1
+        more, less = (back | ~(diagonal | right)) & full, right & diagonal & full
+    return distance
 
 
-def word_error_rate(found: Column, wanted: Column) -> Column:
-    """Edit distance in words over the words wanted (one at least), both in normal form. Nulls are empty.
-
-    Each distinct word of the pair is named by one character, so that the built-in distance counts
-    words; a pair of more distinct words than there are characters for raises an error.
-    """
-    a, b = (F.array_remove(F.split(normal(F.coalesce(x, F.lit(""))), " "), "") for x in (found, wanted))
-    # One lambda names both arrays, so that what makes them is evaluated outside of it, and once.
-    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
-    return F.get(F.transform(pair, lambda p: _word_rate(p["a"], p["b"])), F.lit(0))
-
+@F.pandas_udf(T.LongType())
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([word_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-def _word_rate(a: Column, b: Column) -> Column:
-    names = F.array_distinct(F.concat(a, b))
 
-    def coded(words: Column) -> Column:
-        place = lambda w: F.array_position(names, w).cast("int") + 0xFFFF
-        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(place(w)), 8, "0")), "")), "UTF-32")
-
-    rate = F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(b), F.lit(1))
-    return F.when(F.size(names) <= MOST_WORDS, rate).otherwise(F.raise_error(F.lit("too many distinct words for one pair")))
+def word_error_rate(found: Column, wanted: Column) -> Column:
+    """Edit distance in words over the words wanted (one at least), both in normal form. Nulls are empty."""
+    a, b = (F.array_remove(F.split(normal(F.coalesce(x, F.lit(""))), " "), "") for x in (found, wanted))
+    return _distances(a, b) / F.greatest(F.size(b), F.lit(1))

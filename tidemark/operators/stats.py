@@ -99,8 +99,19 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     starts = df.sparkSession.createDataFrame([(b, a) for (_, b), (a, _) in below.items()], "block int, start long")
     inner = F.sum("n").over(Window.partitionBy("block").orderBy("value")) - F.col("n")
     mean = F.col("start") + F.col("inner") + (F.col("n") + 1) / 2
-    ranks = c.withColumn("inner", inner).join(F.broadcast(starts), "block").select(F.col("value").alias("__v"), mean.alias("rank"))  # a row per block
-    return df.join(ranks, F.col(column).cast("double") == F.col("__v")).drop("__v")
+    ranks = c.withColumn("inner", inner).join(F.broadcast(starts), "block").select(F.col("value").alias("__v"), mean.alias("rank"), "n")  # a row per block
+    return _met(df, F.col(column).cast("double"), stored(ranks, "ranks"), c)
+
+
+def _met(df: DataFrame, value: Column, ranks: DataFrame, counted: DataFrame, share: int = 512) -> DataFrame:
+    """df with the rank of its value: values that more than one in `share` rows have, at most `share` many, are
+    broadcast with their ranks; the rows of all others are dealt by value."""
+    name = "__v"
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    crowded = F.col("n") > F.lit(total // share)
+    hot = F.broadcast(ranks.where(crowded).drop("n"))
+    rest = ranks.where(~crowded).drop("n")
+    return df.join(hot, value == F.col(name)).unionByName(df.join(hot, value == F.col(name), "left_anti").join(rest, value == F.col(name))).drop(name)
 
 
 def signed_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
