@@ -272,7 +272,7 @@ def test_op10(spark, table):
 
 def direct_ftrl(rows, p):
     """The update written per coordinate with dictionaries."""
-    z, n, l1 = collections.Counter(), collections.Counter(), p.l1 * len(rows) ** 0.5
+    z, n, l1 = collections.Counter(), collections.Counter(), p.l1
     weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
     for _ in range(p.epochs):
         for text, y in rows:

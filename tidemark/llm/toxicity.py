@@ -17,7 +17,8 @@ from .common import documents, map_text, mix, word_hashes
 class Ftrl:
     """alpha, beta: per-coordinate rates; l1, l2: penalties; bits: of the hash space.
 
-    The L1 threshold is l1 * sqrt(rows): a useless slot's summed gradient grows with that root.
+    l1 holds at any number of rows: a slot counts once its gradients add up to it, that is after some
+    six toxic texts, however few rows there are; a lower one learns the accidents of small samples.
 
     The fit reads at most `most_rows` labelled rows, those with the lowest hash of doc_id: a bound
     on the sample, which is the size of one task's work at any corpus size.
@@ -26,7 +27,7 @@ class Ftrl:
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.055
+    l1: float = 6.0
     l2: float = 0.1
     epochs: int = 3
     most_rows: int = 12_000
@@ -51,7 +52,7 @@ def features(text: str, bits: int) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights that are not zero, learnt by passing over `rows` in the order given."""
-    z, n, l1 = np.zeros(1 << p.bits), np.zeros(1 << p.bits), p.l1 * len(rows) ** 0.5
+    z, n, l1 = np.zeros(1 << p.bits), np.zeros(1 << p.bits), p.l1
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2))
