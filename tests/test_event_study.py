@@ -122,3 +122,11 @@ def test_events_touch_flagged_periods_within_their_sessions(spark):
         assert got[i] == any(d.month == 2 for d in days[max(0, i - 3) : i + 4]), i
     assert got[99] is False and got[-1] is False and len(got) == len(days) + 3
     assert not any(r["touches"] for r in mk.touching(events, cal, flagged.where("false"), "month").collect())
+
+
+def test_lags_of_two_dates(spark):
+    lags = spark.createDataFrame([(0,), (0,), (3,), (-2,), (7,), (None,)], "lag int")
+    r = mk.date_lags(lags).first()
+    assert (r["n"], r["median"], r["same"], r["later"], r["earlier"]) == (5, 0.0, 2, 2, 1) and r["p90"] == pytest.approx(5.4) and r["p10"] == pytest.approx(-1.2)
+    none = mk.date_lags(lags.where("false")).first()
+    assert none["n"] == 0 and none["median"] is None

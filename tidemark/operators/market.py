@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import fiscal_year
+from .stats import quantiles
 
 
 def calendar(prices: DataFrame) -> DataFrame:
@@ -352,6 +353,16 @@ def touching(events: DataFrame, sessions: DataFrame, periods: DataFrame, unit: s
     return events.select("doc_id", "i0").join(met, "i0", "left").select("doc_id", F.coalesce("touches", F.lit(False)).alias("touches"))
 
 
+def date_lags(lags: DataFrame, column: str = "lag") -> DataFrame:
+    """n, median, p10, p90, same, later, earlier of the sessions between two dates of events; nulls are left
+    out. Lags are summed up by value, of which there are few, before the quantiles."""
+    known = lags.where(F.col(column).isNotNull())
+    q = quantiles(known, column, [0.5, 0.1, 0.9])
+    lag = F.col(column)
+    made = [F.lit(v).cast("double").alias(n) for v, n in zip(q, ("median", "p10", "p90"), strict=True)]
+    return known.agg(F.count(F.lit(1)).alias("n"), *made, F.count_if(lag == 0).alias("same"), F.count_if(lag > 0).alias("later"), F.count_if(lag < 0).alias("earlier"))
+
+
 def earliest(disclosures: DataFrame, wanted: str, excluded: str) -> DataFrame:
     """ticker, fy, ts, title of the first disclosure (ticker, ts, title) of each ticker and fiscal year
     whose title matches `wanted` and not `excluded`; fy is the last year 20xx it names. Ties by title."""

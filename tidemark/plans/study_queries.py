@@ -260,6 +260,18 @@ def _base(spark, sf_dir):
     return stored(x.withColumns({"log_len": F.log(F.greatest("n_words", F.lit(1))), "vn30": (F.col("ticker") % 2 == 0).cast("int")}), "dated-base")
 
 
+_both = f"WITH a AS (WITH {EVENTS} SELECT doc_id, i0 FROM ev), b AS (WITH {EVENTS2} SELECT doc_id, i0 FROM ev), l AS (SELECT b.i0 - a.i0 AS lag FROM a JOIN b USING (doc_id) WHERE a.i0 IS NOT NULL AND b.i0 IS NOT NULL)"
+
+
+@query(f"{_both} SELECT count(*) AS n, quantile_cont(lag, 0.5) AS median, quantile_cont(lag, 0.1) AS p10, quantile_cont(lag, 0.9) AS p90, count(*) FILTER (lag = 0) AS same, count(*) FILTER (lag > 0) AS later, count(*) FILTER (lag < 0) AS earlier FROM l")
+def event_date_lags(spark, sf_dir):
+    """Sessions from an event's first date to its second: quantiles, and how many agree, are later or earlier."""
+    d, cal = src.disclosures(spark, sf_dir).drop("text"), mk.calendar(stored(src.prices(spark, sf_dir), "prices"))
+    first = mk.event_sessions(d, cal).select("doc_id", "i0")
+    second = mk.event_sessions(d.where("doc_id % 2 = 0").withColumn("event_date", F.date_add("event_date", 3)), cal).select("doc_id", F.col("i0").alias("i1"))
+    return mk.date_lags(first.join(second, "doc_id").select((F.col("i1") - F.col("i0")).alias("lag")))
+
+
 @query(REGISTERED)
 def preregistered_tests(spark, sf_dir):
     """The registered tests and their controls: a sample's returns are clipped and its tone standardised
