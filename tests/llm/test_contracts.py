@@ -307,6 +307,7 @@ def test_empty_tables(spark, tmp_path):
     path = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path + "/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(path + "/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(path + "/embeddings.parquet")
     for name, query in llm.QUERIES.items():
         assert query(spark, path).count() == 0, name
 
