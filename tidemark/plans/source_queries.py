@@ -65,8 +65,8 @@ def text_files(spark, sf_dir):
     path = files.work_dir(spark, "texts")
     lines = src.table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").cast("string").alias("text"))
     lines.repartition("o_orderpriority").write.partitionBy("o_orderpriority").option("compression", "gzip").text(path)
-    x = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return x.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("chars"))
+    x = files.read_texts(spark, path)
+    return x.agg(F.count("name").alias("n_files"), F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("chars"))
 
 
 def _facts_json(spark, sf_dir):

@@ -94,8 +94,8 @@ def read_tree(spark: SparkSession, path: str, date_format: str = "yyyyMMdd", ren
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """name, text of every file of a folder, plain or gzip; the name is without folder and ending."""
-    x = spark.read.text(path, wholetext=True)
+    """name, text of every file below a folder, plain or gzip; the name is without folder and ending."""
+    x = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt(\.gz)?$", "")
     return x.select(name.alias("name"), F.col("value").alias("text"))
 
