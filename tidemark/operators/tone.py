@@ -33,14 +33,30 @@ def lengths(docs: DataFrame, master: DataFrame | None = None) -> DataFrame:
     return t.select("doc_id").join(met, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
 
 
+CATEGORIES = ("negative", "positive", "uncertainty", "litigious")
+
+
+def _counted(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str]) -> DataFrame:
+    """doc_id, n_words and a count per category in one pass over the texts: each word keeps its text's size,
+    meets the small lexicon where it stands, and is summed up before the shuffle."""
+    t = docs.select("doc_id", tokens_en(F.col("text")).alias("tokens"))
+    t = t.select("doc_id", "tokens", F.greatest(F.size("tokens"), F.lit(0)).cast("long").alias("n_words"), F.posexplode_outer("tokens").alias("i", "term"))
+    off = F.coalesce(negated(F.col("tokens"), F.col("i"), negators), F.lit(False)) if negators else F.lit(False)
+    met = t.select("doc_id", "n_words", "term", off.alias("off")).join(lexicon.select("term", "category"), "term", "left")
+    taken = (F.col("category") != "positive") | ~F.col("off")
+    sums = [F.sum(F.when((F.col("category") == c) & taken, 1).otherwise(0)).alias(c) for c in CATEGORIES]
+    return met.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *sums)
+
+
 def indices(docs: DataFrame, lexicon: DataFrame, negators: Sequence[str] = (), master: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_words, n_neg, n_pos and per category its share of the words; net tone."""
-    by = hits(docs, lexicon, negators).groupBy("doc_id").agg(
-        *[F.sum(F.when(F.col("category") == c, F.col("tf")).otherwise(0)).alias(c) for c in ("negative", "positive", "uncertainty", "litigious")]
-    )
-    x = lengths(docs, master).join(by, "doc_id", "left").na.fill(0)
+    """doc_id, n_words, n_neg, n_pos and per category its share of the words; net tone. doc_id tells texts apart."""
+    if master is None:
+        x = _counted(docs, lexicon, negators)
+    else:
+        by = hits(docs, lexicon, negators).groupBy("doc_id").agg(*[F.sum(F.when(F.col("category") == c, F.col("tf")).otherwise(0)).alias(c) for c in CATEGORIES])
+        x = lengths(docs, master).join(by, "doc_id", "left").na.fill(0)
     n = F.greatest(F.col("n_words"), F.lit(1))
-    shares = [(F.col(c) / n).alias(a) for c, a in (("negative", "neg"), ("positive", "pos"), ("uncertainty", "unc"), ("litigious", "lit"))]
+    shares = [(F.col(c) / n).alias(a) for c, a in zip(CATEGORIES, ("neg", "pos", "unc", "lit"), strict=True)]
     counts = [F.col("negative").alias("n_neg"), F.col("positive").alias("n_pos")]
     return x.select("doc_id", "n_words", *counts, *shares, net(F.col("positive"), F.col("negative")).alias("net"))
 
