@@ -122,11 +122,16 @@ def _clipped_tones(spark, sf_dir):
     return stats.winsorize(stored(_tone(spark, sf_dir).select("doc_id", "n_words", *TONES), "panel-tones"), *TONES)
 
 
-def _rows_of(spark, sf_dir, study=None):
-    """Tone, prices and facts of every event that has both a tone and a model, before returns are clipped."""
+def _met_events(spark, sf_dir, study=None):
+    """Every event that has both a tone and a model, with what its prices say."""
     study = _study(spark, sf_dir) if study is None else study
     study = study.withColumnsRenamed(MAIN).drop("lang", "event_date", "after_close", "n_obs", "sigma")
-    x = stored(_clipped_tones(spark, sf_dir).join(study, "doc_id"), "panel-events")
+    return stored(_clipped_tones(spark, sf_dir).join(study, "doc_id"), "panel-events")
+
+
+def _rows_of(spark, sf_dir, study=None):
+    """Tone, prices and facts of those events, before returns are clipped."""
+    x = _met_events(spark, sf_dir, study)
     return x.join(mk.sized(x, _facts(spark, sf_dir)), "doc_id").drop("close_before", "volume_year")
 
 
@@ -180,7 +185,7 @@ SELECT tertile, k::INT AS k, count(c) AS n, round(avg(c) * 100, 6) AS caar_pct F
 def caar_by_tone(spark, sf_dir):
     """Mean cumulative abnormal return by session, for thirds of the events by net tone."""
     ev, _, rets, m = _events(spark, sf_dir)
-    p = _panel(spark, sf_dir, mk.event_study(ev, mk.session_study(rets, m)))
+    p = _met_events(spark, sf_dir, mk.event_study(ev, mk.session_study(rets, m)))
     t = stats.ranked(p.select("doc_id", "net"), ["net", "doc_id"], "net").select("doc_id", stats.tertile(F.col("rank"), F.col("n")).alias("tertile"))
     path = mk.abnormal(p.select("doc_id", "ticker", "i0"), p.select("doc_id", "alpha", "beta", F.lit(None).cast("double").alias("sigma")), rets, m, -10, 10)
     run = F.sum("ar").over(Window.partitionBy("doc_id").orderBy("k"))
