@@ -130,3 +130,25 @@ def test_lags_of_two_dates(spark):
     assert (r["n"], r["median"], r["same"], r["later"], r["earlier"]) == (5, 0.0, 2, 2, 1) and r["p90"] == pytest.approx(5.4) and r["p10"] == pytest.approx(-1.2)
     none = mk.date_lags(lags.where("false")).first()
     assert none["n"] == 0 and none["median"] is None
+
+
+def test_placebo_has_all_measures_of_the_shifted_window(spark, world):
+    """Once the query gave the placebo's car alone."""
+    rets, m, own, market, close = world
+    got = {(r["ticker"], r["i0"]): r for r in mk.session_study(rets, m).where("i0 % 7 = 0").collect()}
+    there = 0
+    for (t, i0), r in got.items():
+        want = event(own[t], market, close[t], i0 - 60)
+        there += want is not None
+        for k in ("car_0_3", "scar_0_3", "bhar_0_3"):
+            assert r[f"placebo_{k}"] == (None if want is None or want[k] is None else pytest.approx(want[k], abs=1e-9)), (t, i0, k)
+    assert 20 < there < len(got)
+
+
+def test_placebo_query_keeps_its_columns(spark):
+    from tidemark.plans.queries import QUERIES
+
+    got = QUERIES["placebo_car"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "car", "scar", "bhar"]
+    whole = got.collect()
+    assert whole and all(r["bhar"] is not None for r in whole if r["car"] is not None)
