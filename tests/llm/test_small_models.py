@@ -65,13 +65,23 @@ def test_equal_passages_share_their_inner_anchors(spark):
 
 def test_score_equals_the_closed_form_of_a_forced_seating(spark):
     """One training text of words that differ: every entry has one customer at one table, in every draw."""
+    check_forced_seating(spark, seating.Seating(least_buckets=3))
+
+
+@pytest.mark.parametrize("contexts, hot", [(0, 0), (0, 3), (1, 64), (2, 1)])
+def test_every_word_before_has_its_restaurant(spark, contexts, hot):
+    """Words beyond the frequent ones once shared one restaurant."""
+    check_forced_seating(spark, seating.Seating(contexts=contexts, hot=hot, least_buckets=3))
+
+
+def check_forced_seating(spark, p):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     learnt = next(i for i in range(100) if not held(i))
     asked = [i for i in range(2000) if held(i)][:3]
     words = ["a", "B", "c", "d", "e"]
     texts = ["a b x c", "", "E D c b a y z"]
     rows = [(learnt, " ".join(words)), *zip(asked, texts, strict=True)]
-    got = {r["doc_id"]: r for r in seating.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), seating.Seating(least_buckets=3)).collect()}
+    got = {r["doc_id"]: r for r in seating.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
     v, d = len(words) + 1, 0.95  # with the end; no entry has two customers, so that the discounts meet their bound
     follows = dict(zip([None, *map(str.lower, words)], [*map(str.lower, words), "</s>"], strict=True))
 
@@ -88,3 +98,29 @@ def test_score_equals_the_closed_form_of_a_forced_seating(spark):
         line = [None, *text.lower().split(), "</s>"]
         assert got[i]["held_out"] and got[i]["n_tokens"] == len(line) - 1 and got[i]["train_tokens"] == v
         assert got[i]["score"] == pytest.approx(sum(math.log10(chance(a, b)) for a, b in itertools.pairwise(line)), abs=1e-4)
+
+
+def test_rare_restaurants_are_seated_as_global_ones(spark):
+    """Where a restaurant is kept changes how its numbers travel, not the model."""
+    rng = random.Random(4)
+    follow = {w: [rng.randrange(60) for _ in range(4)] for w in range(60)}
+    texts = []
+    for _ in range(400):
+        w, text = rng.randrange(60), []
+        for _ in range(30):
+            text.append(f"w{w}")
+            w = rng.choice(follow[w]) if rng.random() < 0.8 else int(rng.expovariate(0.1)) % 60
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"new{i} w1 new{i}") for i in range(20)], "doc_id long, text string")
+    score = lambda **k: {r["doc_id"]: r for r in seating.score_texts(docs, seating.Seating(least_buckets=5, sweeps=6, **k)).collect()}
+    whole = score(contexts=1000, hot=64)
+    for p in ({"contexts": 0, "hot": 0}, {"contexts": 20, "hot": 5}, {"contexts": 5, "hot": 10}):
+        got = score(**p)
+        assert got.keys() == whole.keys()
+        for i, r in got.items():
+            w = whole[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (w["n_tokens"], w["n_known"], w["train_tokens"], w["held_out"])
+            assert r["base_score"] == pytest.approx(w["base_score"])
+            assert r["score"] / r["n_tokens"] == pytest.approx(w["score"] / w["n_tokens"], abs=0.04)
+        mean = lambda x: sum(r["score"] for r in x.values()) / sum(r["n_tokens"] for r in x.values())
+        assert mean(got) == pytest.approx(mean(whole), abs=0.005)

@@ -1,28 +1,34 @@
 """Operator 6: a hierarchical Pitman-Yor language model by Chinese-restaurant seating.
 
 Tokens are words and an end per text. Each token is a customer of the restaurant of its context: the
-word before it if that is one of the `contexts` most frequent, else the text's start or a common
-one. All context restaurants share one parent, the unigram restaurant, whose customers are their
-tables and whose own parent is uniform over the known words and one unknown.
-
-How it spreads: tokens go, packed per task, to buckets by the hash of their word. A bucket so has all
-customers of its words in all contexts, and their parent's; only totals per restaurant are global.
+word before it, whichever it is, or the text's start. All context restaurants share one parent, the
+unigram restaurant, whose customers are their tables and whose own parent is uniform over the known
+words and one unknown.
+
+How it spreads: tokens go, packed per task, to buckets. After one of the `contexts` most frequent words
+or a start that is the bucket of the word's own hash, which so has all customers of its words in these
+restaurants, whose totals are summed up for all buckets. After any other word it is the bucket of that
+word before, which so has the whole restaurant of it; a token there needs its word's place in the parent,
+which for frequent words is global and for others kept by the bucket of the word, its home. Buckets
+tell the homes how many tables their restaurants have, and homes tell them the parent's state, by
+mail: integers in the order of the words that both know since the packing.
 A Gibbs sweep takes every word of every restaurant: its customers leave, and its tables are drawn
 again from their conditional given all others, whose totals and parent's probabilities are those of
-the sweep before; bucket by bucket, then the totals are summed. A lost bucket is seated again alike,
-as its random numbers start from its number and the sweep's.
-Occurrences of the `hot` most frequent words travel as counts only, not by document; their
-probabilities are broadcast (hot * (contexts + 2) at most) and applied where the texts are.
+the sweep before; the parent counts mailed tables from the sweep before, too. A lost bucket is seated again
+alike, as its random numbers start from its number and the sweep's.
+Occurrences of the `hot` most frequent words after frequent ones travel as counts only, not by document;
+their probabilities are broadcast (hot * (contexts + 1) at most) and applied where the texts are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +42,7 @@ NULL_ID = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class Seating:
-    """contexts, hot: see above; sweeps: Gibbs sweeps, of which the first `burn` are not averaged;
+    """contexts: restaurants whose totals are global, others stay in a bucket; hot: see above; sweeps: Gibbs sweeps, of which the first `burn` are not averaged;
     strengths: of the context and of the parent restaurants; flush: tokens packed at a time;
     bucket_tokens: tokens per bucket, of which under half are not hot; least_buckets: at least so many."""
 
@@ -87,14 +93,19 @@ def word_counts(docs: DataFrame, flush: int) -> DataFrame:
 
 
 class Places:
-    """Where words stand among the hot words and the contexts."""
+    """Where words stand among the hot words and the frequent ones, which are numbered as contexts and,
+    with the end as number n, as words of the parent restaurant; counts: theirs, by number."""
 
-    def __init__(self, hot: np.ndarray, contexts: np.ndarray) -> None:
+    def __init__(self, hot: np.ndarray, contexts: np.ndarray, counts: np.ndarray, buckets: int) -> None:
         self.hot = np.sort(hot)
         order = np.argsort(contexts)
         self.contexts, self.number, self.n = contexts[order], order, len(contexts)
+        self.counts, self.buckets = counts, buckets
         self.kind = np.uint16 if self.n + 1 < 1 << 16 else np.uint32  # of a context's number where it is packed
 
+    def home(self, w: np.ndarray) -> np.ndarray:
+        return (mix(w) % np.uint64(self.buckets)).astype(np.int64)
+
     def hot_index(self, w: np.ndarray) -> np.ndarray:
         """The place in `hot`, or -1."""
         if not len(self.hot):
@@ -102,55 +113,118 @@ class Places:
         i = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
         return np.where(self.hot[i] == w, i, -1)
 
-    def context_of(self, w: np.ndarray) -> np.ndarray:
-        """Each token's context number: n is a text's start, n + 1 the common one."""
+    def number_of(self, w: np.ndarray) -> np.ndarray:
+        """Each word's number among the frequent ones: n + 1 if it is none of them."""
         u = np.full(len(w), self.n + 1, self.kind)
-        if self.n and len(w) > 1:
-            i = np.minimum(np.searchsorted(self.contexts, w[:-1]), self.n - 1)
-            same = self.contexts[i] == w[:-1]
-            u[1:][same] = self.number[i[same]]
-        u[0] = self.n
+        if self.n and len(w):
+            i = np.minimum(np.searchsorted(self.contexts, w), self.n - 1)
+            same = self.contexts[i] == w
+            u[same] = self.number[i[same]]
+        u[w == END] = self.n
         return u
 
-
-def pack(docs: DataFrame, places: Places, buckets: int, p: Seating) -> DataFrame:
-    """bucket, payload: the tokens of a task's documents, by bucket of their words."""
+    def context_of(self, w: np.ndarray) -> np.ndarray:
+        """Each token's context: n is a text's start, n + 1 a word before that is not frequent."""
+        return np.append(np.array([self.n], self.kind), self.number_of(w[:-1]))
+
+
+def squeezed(arrays: Sequence[np.ndarray]) -> bytes:
+    """Arrays by planes of their bytes: lowest, second and higher ones are compressed apart, hashes with theirs."""
+    import zstandard
+
+    groups: list[list[bytes]] = [[], [], [], []]
+    for a in arrays:
+        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+        for i, plane in enumerate(planes):
+            groups[(2 if i == 7 else 3) if a.dtype == np.uint64 else min(i, 2)].append(plane.tobytes())
+    frames = [zstandard.ZstdCompressor(level=1).compress(b"".join(g)) for g in groups]
+    return np.array([len(a) for a in arrays] + [len(f) for f in frames], np.uint32).tobytes() + b"".join(frames)
+
+
+def expanded(x: bytes, types: Sequence[type]) -> list[np.ndarray]:
+    import zstandard
+
+    head = np.frombuffer(x, np.uint32, len(types) + 4).tolist()
+    at, groups = 4 * len(head), []
+    for size in head[len(types) :]:
+        groups.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(x[at : at + size]), np.uint8))
+        at += size
+    places, arrays = [0] * 4, []
+    for n, t in zip(head, types, strict=False):
+        size = np.dtype(t).itemsize
+        a = np.empty((n, size), np.uint8)
+        for i in range(size):
+            g = (2 if i == 7 else 3) if t is np.uint64 else min(i, 2)
+            a[:, i] = groups[g][places[g] : places[g] + n]
+            places[g] += n
+        arrays.append(a.view(t).ravel())
+    return arrays
+
+
+def pack(docs: DataFrame, places: Places, p: Seating) -> DataFrame:
+    """bucket, payload: the tokens of a task's documents, by bucket."""
     sent = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=1).compress
+        row = TaskContext.get().partitionId() << 40  # numbers the documents
 
-        def packed(rows):
+        def packed(rows, row):
             at = sent.value
             w = np.concatenate([r[0] for r in rows])
             u = np.concatenate([at.context_of(r[0]) for r in rows])
             d = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(r[0]) for r in rows])
             ids, ties, held = (np.array([r[i] for r in rows], t) for i, t in ((1, np.int64), (2, np.int64), (3, bool)))
-            hot = at.hot_index(w) >= 0
-            # Hot words: counts of training tokens by context. Others: every token with its document.
+            # After words that are not frequent: to the bucket of the word before, and to the word's home.
+            rare = np.flatnonzero(u > at.n)
+            before, after, rare_d = w[rare - 1], w[rare], d[rare]
+            rare_b = at.home(before)
+            order = np.lexsort((rare_d, before, rare_b))
+            before, after, rare_d, rare_b = before[order], after[order], rare_d[order], rare_b[order]
+            number = at.number_of(after)
+            guest = np.flatnonzero(number > at.n)
+            guest_w, guest_from, guest_held = after[guest], rare_b[guest], held[rare_d[guest]]
+            guest_b = at.home(guest_w)
+            order = np.lexsort((guest_w, guest_from, guest_b))
+            guest_w, guest_from, guest_b, guest_held = guest_w[order], guest_from[order], guest_b[order], guest_held[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (guest_w[1:] != guest_w[:-1]) | (guest_from[1:] != guest_from[:-1])
+            first = np.flatnonzero(first)
+            guest_count = np.add.reduceat(~guest_held, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
+            guest_w, guest_from, guest_b = guest_w[first], guest_from[first], guest_b[first]
+            # Hot words after frequent ones: counts of training tokens by context. Others: every token with its document.
+            w, u, d = (np.delete(x, rare) for x in (w, u, d))
+            hot_at = at.hot_index(w)
+            hot = hot_at >= 0
             learnt = hot & ~held[d]
-            pair, hot_count = np.unique(at.hot_index(w[learnt]) << 32 | u[learnt].astype(np.int64), return_counts=True)
+            pair, hot_count = np.unique(hot_at[learnt] << 32 | u[learnt].astype(np.int64), return_counts=True)
             w, u, d = w[~hot], u[~hot], d[~hot]
-            b = (mix(w) % np.uint64(buckets)).astype(np.int64)
+            b = at.home(w)
             order = np.lexsort((d, w, b))
             w, u, d, b = w[order], u[order], d[order], b[order]
-            hot_b = (mix(at.hot[pair >> 32]) % np.uint64(buckets)).astype(np.int64)
-            for bucket in np.union1d(b, hot_b).tolist():
+            hot_b = at.home(at.hot[pair >> 32])
+            far_at = np.cumsum(np.append(0, number > at.n))
+            first_row = np.array([row], np.int64)
+            listed = at.home(first_row.view(np.uint64))  # one bucket has the documents' list
+            for bucket in np.unique(np.concatenate([b, hot_b, rare_b, guest_b, listed])).tolist():
                 lo, hi = np.searchsorted(b, [bucket, bucket + 1])
+                rare_lo, rare_hi = np.searchsorted(rare_b, [bucket, bucket + 1])
+                guest_lo, guest_hi = np.searchsorted(guest_b, [bucket, bucket + 1])
                 mine = hot_b == bucket
                 kinds, repeat = np.unique(w[lo:hi], return_counts=True)
-                used, local = np.unique(d[lo:hi], return_inverse=True)
+                rare_kinds, rare_repeat = np.unique(before[rare_lo:rare_hi], return_counts=True)
+                doc = np.append(d[lo:hi], rare_d[rare_lo:rare_hi])
+                m = len(ids) if bucket == listed[0] else 0
+                far = guest[far_at[rare_lo] : far_at[rare_hi]]
                 arrays = (
-                    kinds, repeat.astype(np.uint32), u[lo:hi], local.astype(np.uint32), ids[used], ties[used], held[used].astype(np.uint8),
+                    kinds, repeat.astype(np.uint32), u[lo:hi], rare_kinds, rare_repeat.astype(np.uint32), number[rare_lo:rare_hi], after[far],
+                    doc, np.packbits(held[doc]), first_row, ids[:m], ties[:m],
                     np.diff(pair[mine], prepend=0), hot_count[mine].astype(np.uint32),
+                    guest_from[guest_lo:guest_hi].astype(np.uint32), guest_w[guest_lo:guest_hi], guest_count[guest_lo:guest_hi],
                 )
-                head = np.array([a.nbytes for a in arrays], np.int64).tobytes()
-                yield bucket, compress(head + b"".join(a.tobytes() for a in arrays))
+                yield bucket, squeezed(arrays)
 
-        def batch_of(rows):
-            got = list(packed(rows))
+        def batch_of(rows, row):
+            got = list(packed(rows, row))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "payload"])
 
         rows, have = [], 0
@@ -159,59 +233,95 @@ def pack(docs: DataFrame, places: Places, buckets: int, p: Seating) -> DataFrame
                 rows.append((tokens(text), NULL_ID if doc is None else doc, tie, held))
                 have += len(rows[-1][0])
                 if have >= p.flush:
-                    yield batch_of(rows)
+                    yield batch_of(rows, row)
+                    row += len(rows)
                     rows, have = [], 0
         if rows:
-            yield batch_of(rows)
+            yield batch_of(rows, row)
 
     return docs.select("doc_id", "tie", "held", "text").mapInArrow(run, "bucket int, payload binary")
 
 
 def payload_types(places: Places) -> tuple[type, ...]:
-    """Of a payload's arrays: words, their repeats, contexts, documents; ids, ties and held of the
-    documents; differences of hot pairs (place << 32 | context) and their counts."""
-    return (np.uint64, np.uint32, places.kind, np.uint32, np.int64, np.int64, np.uint8, np.int64, np.uint32)
+    """Of a payload's arrays: words, their repeats and contexts; words before that are not frequent, their
+    repeats, the numbers of the words after them and the hashes of those without number; documents of
+    all these, a bit whether held out; the row number of the first document, and in one bucket ids and
+    ties of all; differences of hot pairs (place << 32 | context) and their counts; buckets that have words of
+    this one after theirs, the words, their counts."""
+    n = places.kind
+    return (np.uint64, np.uint32, n, np.uint64, np.uint32, n, np.uint64, np.uint32, np.uint8, np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint64, np.uint32)
 
 
 class Bucket:
-    """A bucket's tokens: customers by (word, context) pair, and where each token belongs. Hot words
-    have pairs with all contexts, also those without customers."""
+    """A bucket's tokens: customers by (word, context) pair, and where each token belongs. It has all
+    hot and frequent words that it is the home of; the hot ones have pairs with all frequent contexts,
+    also those without customers.
 
-    def __init__(self, payloads: list[bytes], places: Places) -> None:
-        import zstandard
+    Words of pairs: first its own `words`, then those of other homes that its restaurants hold: the
+    numbered ones, then `far`, ordered by home. Contexts: the numbered ones, then its own.
+    guest_from, guest: buckets whose restaurants hold own words, and these words' places."""
 
-        expand = zstandard.ZstdDecompressor().decompress
+    def __init__(self, payloads: list[bytes | None], places: Places, number: int) -> None:
         types = payload_types(places)
-        parts: list[list[np.ndarray]] = [[] for _ in types]
-        docs = 0
+        parts = [[np.zeros(0, t)] for t in types]
+        split = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        out = ([np.zeros(0, bool)], [np.zeros(0, bool)])
+        listed = [np.zeros(0, np.int64)]
         for x in payloads:
-            raw = expand(x)
-            sizes = np.frombuffer(raw, np.int64, len(types))
-            at, arrays = sizes.nbytes, []
-            for n, t in zip(sizes.tolist(), types, strict=True):
-                arrays.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at))
-                at += n
+            if x is None:
+                continue
+            arrays = expanded(x, types)
             arrays[0] = np.repeat(arrays[0], arrays[1])
-            arrays[3] = arrays[3].astype(np.int64) + docs
-            arrays[7] = np.cumsum(arrays[7])
-            docs += len(arrays[4])
+            arrays[3] = np.repeat(arrays[3], arrays[4])
+            row, near = arrays[9][0], len(arrays[0])
+            doc, held = row + arrays[7].astype(np.int64), np.unpackbits(arrays[8], count=len(arrays[7])).astype(bool)
+            for i, mine in enumerate((slice(None, near), slice(near, None))):
+                split[i].append(doc[mine])
+                out[i].append(held[mine])
+            listed.append(row + np.arange(len(arrays[10])))
+            arrays[12] = np.cumsum(arrays[12])
             for part, a in zip(parts, arrays, strict=True):
                 part.append(a)
-        w, _, u, self.doc, self.ids, self.ties, held, pair, hot_c = (np.concatenate(x) for x in parts)
-        hot, n = np.unique(pair >> 32), places.n + 2
+        w, _, u, before, _, after, far, _, _, _, self.ids, self.ties, pair, hot_c, guest_from, guest_w, guest_c = (np.concatenate(x) for x in parts)
+        self.doc, self.held = (np.concatenate([*x[0], *x[1]]) for x in (split, out))  # of each token: its document's row number, whether held out
+        self.listed = np.concatenate(listed)  # the documents with ids and ties
+        n = places.n + 1
+        hot = np.flatnonzero(places.home(places.hot) == number)
+        numbered = np.append(places.contexts, END)
         hot_w = places.hot[np.append(pair >> 32, np.repeat(hot, n))]
         hot_u = np.append(pair & 0xFFFFFFFF, np.tile(np.arange(n), len(hot)))
         hot_c = np.append(hot_c.astype(np.int64), np.zeros(len(hot) * n, np.int64))
-        self.held = held.astype(bool)
-        self.words = np.unique(np.concatenate([w, hot_w]))
-        code = lambda w, u: np.searchsorted(self.words, w).astype(np.int64) << 32 | u.astype(np.int64)
-        token, hot = code(w, u), code(hot_w, hot_u)
-        self.pairs, inverse = np.unique(np.concatenate([token, hot]), return_inverse=True)
+        self.words = np.unique(np.concatenate([w, hot_w, guest_w, numbered[places.home(numbered) == number]]))
+        self.number = places.number_of(self.words).astype(np.int64)
+        place = lambda w: np.searchsorted(self.words, w).astype(np.int64)
+        # The restaurants of its own, and the words in them.
+        self.far = np.unique(far)
+        home = places.home(self.far)
+        order = np.argsort(home, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        there = after.astype(np.int64)
+        there[after > places.n] = n + rank[np.searchsorted(self.far, far)]
+        self.far, self.far_home = self.far[order], home[order]
+        restaurant = np.unique(before, return_inverse=True)[1]
+        self.n_contexts = n
+        token = np.append(place(w) << 32 | u.astype(np.int64), (len(self.words) + there) << 32 | (n + restaurant))
+        self.pairs, inverse = np.unique(np.append(token, place(hot_w) << 32 | hot_u.astype(np.int64)), return_inverse=True)
         self.token = inverse[: len(token)]  # each token's pair
-        weight = np.concatenate([(~self.held[self.doc]).astype(np.float64), hot_c.astype(np.float64)])
+        weight = np.concatenate([(~self.held).astype(np.float64), hot_c.astype(np.float64)])
         self.c = np.bincount(inverse, weights=weight, minlength=len(self.pairs)).astype(np.int64)
         self.word, self.context = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.of_word = np.bincount(self.word, weights=self.c, minlength=len(self.words)).astype(np.int64)
+        guest = place(guest_w)
+        self.of_word = by_word(self, self.c) + np.bincount(guest, weights=guest_c, minlength=len(self.words)).astype(np.int64)
+        numbered = self.number < n
+        self.of_word[numbered] = places.counts[self.number[numbered]]
+        links = np.unique(guest_from.astype(np.int64) << 32 | guest)
+        self.guest_from, self.guest = links >> 32, links & 0xFFFFFFFF
+
+
+def by_word(b: Bucket, x: np.ndarray) -> np.ndarray:
+    """A number per pair summed by the bucket's own words."""
+    return np.bincount(b.word, weights=x, minlength=len(b.words)).astype(np.int64)[: len(b.words)]
 
 
 #: Up to so many customers of an entry are seated by their exact conditional.
@@ -265,8 +375,9 @@ def seats(customers: np.ndarray, discount: float, mass: np.ndarray, chance: np.n
 
 @dataclass(frozen=True)
 class Totals:
-    """Global state after a sweep: customers and tables by context, customers and tables of the
-    parent; and what does not change: the discounts, words V and training tokens N."""
+    """Global state after a sweep: customers and tables by numbered context, customers and tables of the
+    parent; what does not change: the discounts, words V; and of the numbered words the parent's
+    customers and tables, and the customers from restaurants kept by their bucket."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -274,6 +385,72 @@ class Totals:
     parent_tables: float
     discounts: tuple[float, float]
     v: int
+    word_tables: np.ndarray | None = None
+    word_parents: np.ndarray | None = None
+    away: np.ndarray | None = None
+
+
+#: Kinds of mail. To a word's home: its tables in a bucket's own restaurants. From there: its customers
+#: and tables in the parent, and its count in the training texts. To the bucket itself: its state. To
+#: all: what is summed up.
+TABLES, PARENT, COUNTS, STATE, TOTAL = range(5)
+MAIL = "bucket int, sender int, kind int, sweep int, payload binary"
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs."""
+    import zstandard
+
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return zstandard.ZstdCompressor(level=1).compress(bytes([kind.itemsize]) + x.astype(kind).tobytes())
+
+
+def _counts(x: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(x)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+class Mail:
+    """What a bucket has got: payloads by kind, sweep and sender."""
+
+    def __init__(self, b: Bucket, post: pa.Table) -> None:
+        self.b, self.got = b, {}
+        for sender, kind, sweep, payload in zip(*(post[c].to_pylist() for c in ("sender", "kind", "sweep", "payload")), strict=True):
+            self.got.setdefault((kind, sweep), {})[sender] = _counts(payload)
+
+    def state(self, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (x,) = self.got[STATE, sweep].values()
+        return tuple(np.split(x, [len(self.b.pairs), len(self.b.pairs) + len(self.b.words)]))
+
+    def _of_far(self, kind: int, sweep: int, each: int) -> np.ndarray:
+        """`each` rows of the far words' numbers, from their homes in order."""
+        got = sorted(self.got.get((kind, sweep), {}).items())
+        return np.concatenate([np.zeros((each, 0), np.int64), *[x.reshape(each, -1) for _, x in got]], axis=1)
+
+    def parents(self, t: np.ndarray, s: np.ndarray, x: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """t and s of the own words with those of the words of other homes."""
+        far_t, far_s = self._of_far(PARENT, sweep, 2)
+        return np.concatenate([t, x.word_tables, far_t]), np.concatenate([s, x.word_parents, far_s])
+
+    def counts(self, places: Places) -> np.ndarray:
+        return np.concatenate([self.b.of_word, places.counts, self._of_far(COUNTS, -1, 1)[0]])
+
+    def remote(self, away: np.ndarray, sweep: int) -> np.ndarray:
+        """The own words' tables in restaurants that other buckets keep; `away`: of numbered words."""
+        got = [x for _, x in sorted(self.got.get((TABLES, sweep), {}).items())]
+        x = np.bincount(self.b.guest, weights=np.concatenate([np.zeros(0), *got]), minlength=len(self.b.words)).astype(np.int64)
+        numbered = self.b.number < self.b.n_contexts
+        x[numbered] += away[self.b.number[numbered]].astype(np.int64)
+        return x
+
+
+def in_restaurants(b: Bucket, x: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """A number per pair summed by restaurant: `totals` of the numbered ones, then the bucket's own."""
+    n = len(totals)
+    own = b.context >= n
+    return np.append(totals, np.bincount(b.context[own] - n, weights=x[own])) if own.any() else totals
 
 
 def parent_chance(t: np.ndarray, s: np.ndarray, x: Totals, strength: float) -> np.ndarray:
@@ -281,18 +458,25 @@ def parent_chance(t: np.ndarray, s: np.ndarray, x: Totals, strength: float) -> n
     return (np.maximum(t - d * s, 0) + (strength + d * x.parent_tables) / (x.v + 1)) / (strength + x.parent_customers)
 
 
-def sweep_states(b: Bucket, number: int, history: list[Totals], p: Seating):
+def sweep_states(b: Bucket, number: int, history: list[Totals], p: Seating, mail: Mail | None = None, away: np.ndarray | None = None):
     """The bucket's (tables by pair, parent customers and parent tables by word) after each sweep,
-    the first being one table for every pair and word."""
-    tables = (b.c > 0).astype(np.int64)
-    for k in range(len(history) + 1):
+    the first being one table for every pair and word. With mail: after the one sweep that it is for."""
+    last = len(history)
+    for k in range(last if mail else 0, last + 1):
+        if mail and k:
+            tables, t, s = mail.state(k - 1)
         if k:
             x = history[k - 1]
             rng = np.random.default_rng([number, k])
             d, d0 = x.discounts
-            mass = p.strengths[0] + d * (x.tables[b.context] - tables)
-            tables = seats(b.c, d, mass, parent_chance(t, s, x, p.strengths[1])[b.word], rng)
-        t = np.bincount(b.word, weights=tables, minlength=len(b.words)).astype(np.int64)
+            mass = p.strengths[0] + d * (in_restaurants(b, tables, x.tables)[b.context] - tables)
+            chance = parent_chance(*(mail.parents(t, s, x, k - 1) if mail else (t, s)), x, p.strengths[1])
+            tables = seats(b.c, d, mass, chance[b.word], rng)
+        else:
+            tables = (b.c > 0).astype(np.int64)
+        t = by_word(b, tables)
+        if mail:
+            t = t + mail.remote(away, k - 1)
         if k:
             s = seats(t, d0, p.strengths[1] + d0 * (x.parent_tables - s), np.full(len(t), 1 / (x.v + 1)), rng)
         else:
@@ -300,41 +484,107 @@ def sweep_states(b: Bucket, number: int, history: list[Totals], p: Seating):
         yield tables, t, s
 
 
-def sweep(packed: DataFrame, history: list[Totals], places: Places, v: int, p: Seating) -> Totals:
-    """Reseat all buckets once more, given the history, and sum their totals."""
+def _posted(b: Bucket, number: int, sweep: int, tables: np.ndarray, guests: tuple[int, list[np.ndarray]], state: list[np.ndarray], totals: np.ndarray) -> pa.Table:
+    """A bucket's mail: the tables of far words to their homes, to the guests' buckets the numbers by own
+    word, the state to itself, the totals to all."""
+    out = []
+    far = np.bincount(b.word, weights=tables, minlength=len(b.words) + b.n_contexts + len(b.far))[len(b.words) + b.n_contexts :].astype(np.int64)
+    for to in np.unique(b.far_home).tolist():
+        lo, hi = np.searchsorted(b.far_home, [to, to + 1])
+        out.append((to, TABLES, _small(far[lo:hi])))
+    kind, numbers = guests
+    for to in np.unique(b.guest_from).tolist():
+        lo, hi = np.searchsorted(b.guest_from, [to, to + 1])
+        out.append((to, kind, _small(np.concatenate([x[b.guest[lo:hi]] for x in numbers]))))
+    if state:
+        out.append((number, STATE, _small(np.concatenate(state))))
+    out.append((None, TOTAL, _small(totals.astype(np.int64))))
+    return pa.table(
+        {
+            "bucket": pa.array([x[0] for x in out], pa.int32()),
+            "sender": pa.array([number] * len(out), pa.int32()),
+            "kind": pa.array([x[1] for x in out], pa.int32()),
+            "sweep": pa.array([sweep] * len(out), pa.int32()),
+            "payload": pa.array([x[2] for x in out], pa.binary()),
+        }
+    )
 
-    n_contexts = places.n + 2
 
-    def run(table: pa.Table) -> pa.Table:
-        b = Bucket(table["payload"].to_pylist(), places)
-        for tables, t, s in sweep_states(b, table["bucket"][0].as_py(), history, p):
-            pass
-        once = [float((x == n).sum()) for x in (b.c, t) for n in (1, 2)]
-        by = lambda x: np.bincount(b.context, weights=x, minlength=n_contexts)
-        values = np.concatenate([by(b.c), by(tables), [t.sum(), s.sum()], once])
-        at = np.flatnonzero(values)
-        return pa.table({"at": pa.array(at, pa.int32()), "x": pa.array(values[at])})
-
-    got = packed.groupBy("bucket").applyInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # two numbers a context at most
-    x = np.zeros(2 * n_contexts + 6)
+def _away(b: Bucket, tables: np.ndarray) -> np.ndarray:
+    """Numbered words' tables in the bucket's own restaurants."""
+    return np.bincount(b.word, weights=tables, minlength=len(b.words) + b.n_contexts)[len(b.words) : len(b.words) + b.n_contexts]
+
+
+def _summed(mail: DataFrame, size: int) -> np.ndarray:
+    """The buckets' totals, summed by each task first."""
+
+    def run(batches):
+        x = np.zeros(size)
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                one = _counts(payload)
+                x[: len(one)] += one
+        at = np.flatnonzero(x)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(x[at])], names=["at", "x"])
+
+    parts = mail.where(f"kind = {TOTAL}").select("payload").coalesce(tasks(mail)).mapInArrow(run, "at int, x double")
+    got = parts.groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # a few numbers a context at most
+    x = np.zeros(size)
     x[got["at"].to_numpy()] = got["x"].to_numpy()
-    one, two, parent_one, parent_two = x[-4:]
+    return x
+
+
+def introduce(packed: DataFrame, places: Places) -> tuple[DataFrame, np.ndarray]:
+    """The first mail, a table for each pair and the words' counts; the numbered words' tables in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table["bucket"][0].as_py()
+        b = Bucket(table["payload"].to_pylist(), places, number)
+        tables = (b.c > 0).astype(np.int64)
+        return _posted(b, number, -1, tables, (COUNTS, [b.of_word]), [], _away(b, tables))
+
+    mail = written(packed.groupBy("bucket").applyInArrow(run, MAIL), "seating-mail")
+    return mail, _summed(mail, places.n + 1)
+
+
+def sweep(packed: DataFrame, mail: DataFrame, away: np.ndarray, history: list[Totals], places: Places, v: int, p: Seating) -> tuple[DataFrame, Totals]:
+    """Reseat all buckets once more, given the history and the last mail, and sum their totals."""
+    n, k = places.n + 1, len(history)
+
+    def run(key, table: pa.Table, post: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        b = Bucket(table["payload"].to_pylist(), places, number)
+        ((tables, t, s),) = sweep_states(b, number, history, p, Mail(b, post), away)
+        own = b.context >= n
+        by = lambda x: np.bincount(b.context[~own], weights=x[~own], minlength=n)
+        once = [float((x == m).sum()) for x in (b.c, t) for m in (1, 2)]
+        parent = np.zeros((2, n))
+        numbered = b.number < n
+        parent[:, b.number[numbered]] = t[numbered], s[numbered]
+        values = np.concatenate([by(tables), _away(b, tables), *parent, [t.sum(), s.sum()], *([] if k else [once, by(b.c)])])
+        return _posted(b, number, k, tables, (PARENT, [t, s]), [tables, t, s], values)
+
+    asked = mail.where(F.col("kind").isin(TABLES, PARENT, STATE))
+    mail = written(packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, MAIL), "seating-mail")
+    x = _summed(mail, 5 * n + 6)
+    tables, away, word_tables, word_parents = x[: 4 * n].reshape(4, n)
+    parent_customers, parent_tables, one, two, parent_one, parent_two = x[4 * n : 4 * n + 6]
     discount = lambda a, b: float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5
     discounts = history[0].discounts if history else (discount(one, two), discount(parent_one, parent_two))
-    return Totals(x[:n_contexts], x[n_contexts : 2 * n_contexts], x[-6], x[-5], discounts, v)
+    customers = history[0].customers if history else x[4 * n + 6 :]
+    return mail, Totals(customers, tables, parent_customers, parent_tables, discounts, v, word_tables, word_parents, away)
 
 
-def predictive(b: Bucket, number: int, history: list[Totals], p: Seating) -> np.ndarray:
+def predictive(b: Bucket, mail: Mail, history: list[Totals], p: Seating) -> np.ndarray:
     """P(word | context) of each of the bucket's pairs, averaged over the sweeps after the burn-in."""
-    total, n = np.zeros(len(b.pairs)), 0
-    for k, (tables, t, s) in enumerate(sweep_states(b, number, history[:-1], p)):
-        if k >= p.burn:
-            x = history[k]
-            d = x.discounts[0]
-            back = (p.strengths[0] + d * x.tables[b.context]) * parent_chance(t, s, x, p.strengths[1])[b.word]
-            total += (np.maximum(b.c - d * tables, 0) + back) / (p.strengths[0] + x.customers[b.context])
-            n += 1
-    return total / n
+    total = np.zeros(len(b.pairs))
+    for k in range(p.burn, len(history)):
+        x, (tables, t, s) = history[k], mail.state(k)
+        d = x.discounts[0]
+        back = p.strengths[0] + d * in_restaurants(b, tables, x.tables)[b.context]
+        back *= parent_chance(*mail.parents(t, s, x, k), x, p.strengths[1])[b.word]
+        total += (np.maximum(b.c - d * tables, 0) + back) / (p.strengths[0] + in_restaurants(b, b.c, x.customers)[b.context])
+    return total / (len(history) - p.burn)
 
 
 def score_texts(docs: DataFrame, p: Seating = Seating()) -> DataFrame:
@@ -349,45 +599,59 @@ def score_texts(docs: DataFrame, p: Seating = Seating()) -> DataFrame:
     counts = written(word_counts(rows, p.flush), "word-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = counts.orderBy(F.desc("c"), "w").select("w").limit(max(p.hot, p.contexts + 1)).toArrow()["w"].to_numpy().view(np.uint64)
-    hot = top[: p.hot]
-    places = Places(hot, top[top != END][: p.contexts])
-    n_contexts = places.n + 2
-    buckets = max(tasks(docs), p.least_buckets, n // p.bucket_tokens)
-    packed = pack(rows, places, buckets, p).repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    top = counts.orderBy(F.desc("c"), "w").limit(max(p.hot, p.contexts + 1)).toArrow()
+    top, top_c = top["w"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    hot, frequent = top[: p.hot], np.flatnonzero(top != END)[: p.contexts]
+    ends = counts.where(F.col("w") == int(END.view(np.int64))).first()
+    buckets = max(p.least_buckets, n // p.bucket_tokens)  # by the data alone, as two buckets may write to each other
+    places = Places(hot, top[frequent], np.append(top_c[frequent], ends["c"] if ends else 0).astype(np.int64), buckets)
+    n_contexts = places.n + 1
+    every = docs.sparkSession.range(buckets).selectExpr("cast(id as int) AS bucket", "cast(null as binary) AS payload")  # none is without a row
+    packed = pack(rows, places, p).unionByName(every).repartition(max(tasks(docs), buckets), "bucket").persist(StorageLevel.DISK_ONLY)
     history: list[Totals] = []
-    for _ in range(p.sweeps + 1):
-        history.append(sweep(packed, history, places, v, p))
+    mail, away = introduce(packed, places)
+    mails = [mail.where(F.col("kind") == COUNTS)]
+    for k in range(p.sweeps + 1):
+        mail, x = sweep(packed, mail, away, history, places, v, p)
+        away = x.away
+        history.append(x)
+        if k >= p.burn:
+            mails.append(mail.where(F.col("kind").isin(PARENT, STATE)))
     base_of = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    schema = "doc_id long, tie long, w long, known double, base double, score double, scores array<float>"
+    schema = "row long, doc_id long, tie long, w long, known double, base double, score double, scores array<float>"
 
-    def score(table: pa.Table) -> pa.Table:
-        number = table["bucket"][0].as_py()
-        b = Bucket(table["payload"].to_pylist(), places)
-        logs, base = np.log10(predictive(b, number, history, p)), base_of(b.of_word)
+    def score(table: pa.Table, post: pa.Table) -> pa.Table:
+        b = Bucket(table["payload"].to_pylist(), places, table["bucket"][0].as_py())
+        mail = Mail(b, post)
+        logs, of_word = np.log10(predictive(b, mail, history, p)), mail.counts(places)
+        base = base_of(of_word)
         word = b.word[b.token]
-        kinds, of = np.unique(np.stack([b.ids, b.ties]), axis=1, return_inverse=True)
-        by = lambda x: np.bincount(of[b.doc], weights=x, minlength=kinds.shape[1])
-        # Hot words, a row each: their probabilities in all contexts, which are the word's pairs in order.
+        rows, of = np.unique(b.doc, return_inverse=True)
+        by = lambda x: np.bincount(of, weights=x, minlength=len(rows))
+        # Hot words, a row each: their probabilities in all numbered contexts, which are the word's pairs in order.
         at = places.hot_index(b.words)
-        pairs = np.flatnonzero(at[b.word] >= 0)
+        pairs = np.flatnonzero(np.append(at, np.full(n_contexts + len(b.far), -1))[b.word] >= 0)
         hot = np.flatnonzero(at >= 0)
-        m, k = kinds.shape[1], len(hot)
-        offsets = np.append(np.zeros(m), np.arange(k + 1) * n_contexts).astype(np.int32)
+        # Rows of documents with their sums, of those listed here with ids and ties, and of hot words.
+        m, o, k = len(rows), len(b.listed), len(hot)
+        offsets = np.append(np.zeros(m + o), np.arange(k + 1) * n_contexts).astype(np.int32)
         null = lambda n: pa.nulls(n, pa.int64())
+        sums = lambda x, of_hot: pa.array(np.concatenate([by(x), np.zeros(o), of_hot]))
         return pa.table(
             {
-                "doc_id": pa.concat_arrays([pa.array(kinds[0]), null(k)]),
-                "tie": pa.concat_arrays([pa.array(kinds[1]), null(k)]),
-                "w": pa.concat_arrays([null(m), pa.array(at[hot].astype(np.int64))]),
-                "known": pa.array(np.append(by((b.of_word[word] > 0).astype(float)), np.zeros(k))),
-                "base": pa.array(np.append(by(base[word]), base[hot])),
-                "score": pa.array(np.append(by(logs[b.token]), np.zeros(k))),
+                "row": pa.concat_arrays([pa.array(rows), pa.array(b.listed), null(k)]),
+                "doc_id": pa.concat_arrays([null(m), pa.array(b.ids), null(k)]),
+                "tie": pa.concat_arrays([null(m), pa.array(b.ties), null(k)]),
+                "w": pa.concat_arrays([null(m + o), pa.array(at[hot].astype(np.int64))]),
+                "known": sums((of_word[word] > 0).astype(float), np.zeros(k)),
+                "base": sums(base[word], base[hot]),
+                "score": sums(logs[b.token], np.zeros(k)),
                 "scores": pa.ListArray.from_arrays(pa.array(offsets), pa.array(logs[pairs].astype(np.float32))),
             }
         )
 
-    scored = written(packed.groupBy("bucket").applyInArrow(score, schema), "bucket-scores")
+    asked = reduce(DataFrame.unionByName, mails)
+    scored = written(packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(score, schema), "bucket-scores")
     packed.unpersist()
     got = scored.where("w IS NOT NULL").select("w", "base", "scores").toArrow()  # at most hot rows
     table, hot_base = np.zeros((len(hot), n_contexts), np.float32), np.zeros(len(hot))
@@ -405,7 +669,7 @@ def score_texts(docs: DataFrame, p: Seating = Seating()) -> DataFrame:
                 for text in batch.column(2).to_pylist():
                     w = tokens(text)
                     i, u = places.hot_index(w), places.context_of(w)
-                    is_hot = i >= 0
+                    is_hot = (i >= 0) & (u < n_contexts)
                     out.append((len(w), is_hot.sum(), hot_base[i[is_hot]].sum(), table[i[is_hot], u[is_hot]].sum(dtype=np.float64)))
                 a = np.array(out, np.float64)
                 ids = batch.column(0).fill_null(NULL_ID)
@@ -417,7 +681,8 @@ def score_texts(docs: DataFrame, p: Seating = Seating()) -> DataFrame:
     here = rows.select("doc_id", "tie", "text").mapInArrow(
         local, "doc_id long, tie long, rows long, tokens double, known double, base double, score double"
     )
-    there = scored.where("w IS NULL").select("doc_id", "tie", F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("tokens"), "known", "base", "score")
+    there = scored.where("w IS NULL").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tie").alias("tie"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    there = there.select("doc_id", "tie", F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("tokens"), "known", "base", "score")
     sums = here.unionByName(there).groupBy("doc_id", "tie").agg(*[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "score")])
     each = sums.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
     each = each.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
