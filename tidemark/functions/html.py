@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import plain_characters, unescape
+from .unicode import plain_characters, unescape, unescape_whole
 
 #: Tags that join what they divide, tags that break the line, and the filing types taken.
 INLINE = "span|font|b|i|u|strong|em|a|sup|sub|small|ix:[a-z]+"
@@ -37,13 +37,14 @@ def primary_body(filing: Column) -> Column:
     return F.regexp_extract(filing, PRIMARY, 1)
 
 
-def clean_filing(raw: Column) -> Column:
+def clean_filing(raw: Column, cut_entities: bool = True) -> Column:
     """Upper-case text of a page or filing, lines kept; null for null.
 
     A submission of several documents is taken by its annual report alone ("" without one). Where that
     is plain text every tag is a space; in HTML inline tags vanish, so that no word is cut, block tags
     break the line and other tags are a space. Scripts, styles, heads, inline XBRL headers and hidden
-    facts, encoded files and tables of numbers go.
+    facts, encoded files and tables of numbers go. Entities without their semicolon are read as a browser
+    does, unless `cut_entities` is false: then they stay as they stand.
     """
     sgml = raw.rlike(r"(?is)<DOCUMENT>\s*<TYPE>")
     body = F.when(sgml, primary_body(raw)).otherwise(raw)
@@ -56,7 +57,7 @@ def clean_filing(raw: Column) -> Column:
     x = either(body, files, F.regexp_replace(body, r"(?is)<(style|script|head)\b.*?</\1>", " "))
     for hidden in ("ix:header", "ix:hidden"):
         x = F.regexp_replace(x, rf"(?is)<{hidden}\b[^>]*>.*?</{hidden}>", " ")
-    x = drop_numeric_tables(unescape(x))
+    x = drop_numeric_tables(unescape(x) if cut_entities else unescape_whole(x))
     joined = F.regexp_replace(F.regexp_replace(x, rf"(?i)</?(?:{INLINE})\b[^>]*>", ""), rf"(?i)</?(?:{BLOCK})\b[^>]*>", "\n")
     x = F.regexp_replace(either(x, x, joined), r"-\s*\n\s*", "-")
     x = F.upper(plain_characters(F.regexp_replace(x, r"<[^>]+>", " ")))

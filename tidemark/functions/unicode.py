@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,9 +47,23 @@ def _unescaped(x: str) -> str:
     return html.unescape(x) if "&" in x else x
 
 
+_WHOLE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _character(reference: re.Match) -> str:
+    x = reference[0]
+    return html.unescape(x) if x[1] == "#" or x[1:] in html5 else x
+
+
+def _unescaped_whole(x: str) -> str:
+    return _WHOLE.sub(_character, x) if "&" in x else x
+
+
 nfc = _mapped(_nfc)
 plain_characters = _mapped(_plain)
 unescape = _mapped(_unescaped)
+#: Those that end in a semicolon only: `&amp` cut off before it stays as it is.
+unescape_whole = _mapped(_unescaped_whole)
 _without_marks = _mapped(_unmarked)
 
 
