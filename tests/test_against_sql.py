@@ -28,7 +28,7 @@ TEXTS = [
 TEXTS += ["the of and to was that in on at " * 12 + w for w in ("loss", "straße of", "of ß the")]
 
 
-@pytest.mark.parametrize("query", ["docs_ok_filter", "en_token_count", "en_tone_master", "zscore", "tone_indices", "tone_panel_join", "tone_tertiles"])
+@pytest.mark.parametrize("query", ["docs_ok_filter", "en_token_count", "en_tone_master", "zscore", "tone_indices", "tone_panel", "tone_panel_join", "tone_tertiles", "tone_descriptive"])
 def test_letters_that_grow_in_upper_case(spark, tmp_path, query):
     got, want = rows(spark, tmp_path, query, documents=(DOCUMENTS, [(i, t, "en", "web", len(t)) for i, t in enumerate(TEXTS)]))
     assert got and got == want
