@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import compare, html, parse, sections, spelling, unicode
 from tidemark.functions import text as text_functions
+from tidemark.functions.arrays import running
 from tidemark.functions.text import character_error_rate, drop_numeric_tables, word_error_rate
 from tidemark.operators import layout
 
@@ -245,3 +246,15 @@ def test_machine_runs_and_readable_view(spark):
         marked = {i for a, b, _ in hidden for i in range(a, b)}
         junk = {i for at, x in lines if x.strip() and (at, x) not in worded for i in range(at, at + len(x))}
         assert junk <= marked and not any(i in marked for at, x in worded for i in range(at, at + len(x)))
+
+
+def test_running_sums_and_many_runs_in_one_text(spark):
+    n = [1, 2, 3, 4, 5, 16, 17, 64, 65, 300]
+    df = spark.createDataFrame([(list(range(k, 2 * k)),) for k in n] + [([],), (None,)], "a array<int>")
+    got = [(r[0], r[1]) for r in df.select("a", running(F.col("a"))).collect()]
+    assert all(sums == (None if a is None else [sum(a[: i + 1]) for i in range(len(a))]) for a, sums in got)
+    text = " é bb  ccc d ".join(["2020-01-31 " * 19 + "2020-02-28"] * 4000)  # by sums up to each run: 4000 times 96,000 words
+    began = time.monotonic()
+    runs = [tuple(r) for r in one(spark, layout.machine_runs(F.col("t")), t=text)]
+    assert time.monotonic() - began < 60 and len(runs) == 4000
+    assert all(text[a:b].split() == ["2020-01-31"] * 19 + ["2020-02-28"] and k == 20 for a, b, k in runs)
