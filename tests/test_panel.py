@@ -145,3 +145,38 @@ def test_news_windows_pass_busy_sessions_as_counts(spark):
     events = spark.createDataFrame([(1, 7, 10), (2, 8, 10)], "doc_id long, ticker int, i0 int")
     news = spark.createDataFrame([(7, 9, "x")] * 5 + [(7, 14, "x"), (None, 9, "x")], "ticker int, idx int, kind string")
     assert [tuple(r) for r in market.news_windows(events, news, -3, 3).collect()] == [(1, -1, "x", 5)]
+
+
+def test_parts_of_two_effects_in_tasks_and_by_shuffles(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    n = 1200
+    part = g.choice(3, n, p=[0.8, 0.15, 0.05])  # parts of about 960, 180 and 60 rows
+    a, b = part * 100 + g.integers(0, 30, n), part * 100 + g.integers(0, 20, n)
+    x = g.normal(size=n) + 0.05 * (a % 100)
+    y = 5 + 0.3 * x + 0.1 * a + np.sin(b) + g.normal(size=n)
+    df = spark.createDataFrame([(float(p), float(q), int(c), int(d)) for p, q, c, d in zip(y, x, a, b)], "y double, x double, a int, b int")
+    dummies = np.column_stack([*[(a == v).astype(float) for v in np.unique(a)], *[(b == v).astype(float) for v in np.unique(b)]])
+    left = np.column_stack([y, x]) - dummies @ np.linalg.lstsq(dummies, np.column_stack([y, x]), rcond=None)[0] + [y.mean(), x.mean()]
+    wanted = sorted(zip(a.tolist(), b.tolist(), left[:, 0], left[:, 1]))
+    for in_task in (1_000_000, 500):  # all parts in tasks, the largest by shuffles
+        out, free = regression.absorb_two(df, ["y", "x"], "a", "b", in_task=in_task)
+        got = sorted((r["a"], r["b"], r["y"], r["x"]) for r in out.collect())
+        assert free == len(np.unique(a)) + len(np.unique(b)) - 3
+        assert np.allclose(np.array(got), np.array(wanted), atol=1e-9)
+    written, write = [], regression.stored
+    monkeypatch.setattr(regression, "stored", lambda df, what: written.append(what) or write(df, what))
+    regression.clustered(df.withColumn("k", F.col("b") % 7), "y", ["x"], "k", absorbed=("a", "b"))
+    assert "less-effects" in written and "level-pairs" not in written  # parts that fit a task shuffle no pairs of levels
+
+
+def test_levels_that_only_inner_pairs_link(spark, monkeypatch):
+    """Least and greatest partners leave p and r apart here; their pairs with 4 make them one part."""
+    rows = [(a, b) for a, bs in {"a": (1, 4, 9), "p": (1, 4, 9), "z": (1, 4, 9), "r": (2, 4, 8), "b": (2, 8), "t": (20,)}.items() for b in bs]
+    df = spark.createDataFrame([(float(i * i % 7), *r) for i, r in enumerate(rows)], "y double, a string, b int")
+    written, write = [], regression.stored
+    monkeypatch.setattr(regression, "stored", lambda df, what: written.append(what) or write(df, what))
+    lines, free = regression._parted(df, "a", "b")
+    assert "part-links" in written
+    parts = {r["a"]: r["__part"] for r in lines.collect()}
+    assert lines.count() == len(rows) and len(set(parts.values())) == 2 and parts["a"] == parts["p"] == parts["r"] == parts["b"] == parts["z"] != parts["t"]
+    assert free == 6 + 6 - 2
